@@ -88,6 +88,7 @@ CV_FOLDS = 3
 TFIDF_TERMS = 20000
 NGRAM_RANGE = (1, 2)
 MAX_ITER = 200
+TOLERANCE = 1e-4
 GRID_C = [0.1, 1.0, 10.0]
 GRID_TERMS = [10000, 20000]
 SEQUENCE_WORDS = 10000

@@ -18,7 +18,8 @@ def _severity_from_digits(digits: Column) -> Column:
     significant = F.regexp_replace(digits, "^0+", "")
     top = V.ONLINE_MAX_SEVERITY
     return (
-        F.when(F.length(significant) == 0, F.lit(0))
+        F.when(digits.isNull(), F.lit(None))
+        .when(F.length(significant) == 0, F.lit(0))
         .when(F.length(significant) > 1, F.lit(top))
         .otherwise(F.least(F.lit(top), significant.try_cast("int")))
     )

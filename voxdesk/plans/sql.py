@@ -63,7 +63,7 @@ MESSAGES_WITH_NULLS = MESSAGES + """, nulled AS (
   SELECT message_id,
     CASE WHEN author_id <> 'system' THEN author_id END AS author_id,
     CASE WHEN author_id <> 'system' THEN inbound END AS inbound,
-    CASE WHEN length(text) < 60 THEN ' ' || chr(9) || ' ' WHEN length(text) < 100 THEN ''
+    CASE WHEN length(text) < 60 THEN ' ' || chr(9) || chr(160) WHEN length(text) < 100 THEN ''
          WHEN length(text) <= 300 THEN text END AS text
   FROM messages)"""
 

@@ -32,7 +32,7 @@ class Tables:
             "message_id",
             F.when(~system, F.col("author_id")).alias("author_id"),
             F.when(~system, F.col("inbound")).alias("inbound"),
-            F.when(size < 60, " \t ")
+            F.when(size < 60, " \t\u00a0")
             .when(size < 100, "")
             .when(size <= 300, F.col("text"))
             .alias("text"),
