@@ -25,9 +25,11 @@ def _severity_from_digits(digits: Column) -> Column:
     )
 
 
-def parse_label(c: Column) -> Column:
-    """Struct (intent, severity) of a two-line answer; null if no line is left."""
-    lines = answer_lines(c)
+def label_from_lines(lines: Column) -> Column:
+    """Struct (intent, severity) of an answer's lines; null if there is none.
+
+    lines is used several times, so pass a column rather than an expression.
+    """
     intent = strip(
         F.replace(F.lower(F.try_element_at(lines, F.lit(1))), F.lit("intent:"), F.lit(""))
     )

@@ -6,13 +6,21 @@ from pyspark.sql import functions as F
 from voxdesk import fixed_values as V
 
 
+# Most characters of a text are plain letters. A look-ahead that turns them away
+# first spares the long character classes; it does not change what matches.
+_NOT_LETTER = "(?![a-z ])"
+_NOT_PRINTABLE = "(?![ -~])"
+_NOT_SINGLE_BLANK = "(?! ?[!-~])"
+_EMOTICON_START = "(?=[:;=o-])"
+
+
 def _drop(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, pattern, "")
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode white space; Spark's trim removes U+0020 only."""
-    return _drop(c, f"^{V.WS}+|{V.WS}+$")
+    """Trim Unicode white space; Spark's trim removes U+0020 by default."""
+    return F.btrim(c, F.lit(V.WS_TEXT))
 
 
 def is_blank(c: Column) -> Column:
@@ -37,21 +45,28 @@ def strip_hashtags(c: Column) -> Column:
 
 
 def strip_emoticons(c: Column) -> Column:
-    return _drop(c, V.EMOTICON_PATTERN)
+    return _drop(c, f"{_EMOTICON_START}(?:{V.EMOTICON_PATTERN})")
 
 
 def strip_emoji(c: Column) -> Column:
-    return _drop(c, V.EMOJI_PATTERN)
+    return _drop(c, _NOT_PRINTABLE + V.EMOJI_PATTERN)
 
 
 def collapse_ws(c: Column) -> Column:
     """Turn white-space runs into one blank and strip the ends."""
-    return F.trim(F.regexp_replace(c, V.WS + "+", " "))
+    return F.trim(F.regexp_replace(c, f"{_NOT_SINGLE_BLANK}{V.WS}+", " "))
 
 
-def strip_special(c: Column, keep_punctuation: bool = True) -> Column:
+def strip_special(c: Column, keep_punctuation: bool = True, emoji: bool = False) -> Column:
+    """Remove special characters and collapse white space.
+
+    With emoji, the emoji ranges go in the same pass. Special characters cover
+    all of them but U+3000, which would otherwise stay as white space.
+    """
     pattern = V.SPECIAL_KEEP_PATTERN if keep_punctuation else V.SPECIAL_DROP_PATTERN
-    return collapse_ws(_drop(c, pattern))
+    if emoji:
+        pattern = pattern.replace(r"\x{3000}", "")
+    return collapse_ws(_drop(c, _NOT_LETTER + pattern))
 
 
 def clean_text(
@@ -70,8 +85,9 @@ def clean_text(
         (urls, strip_urls),
         (mentions, strip_mentions),
         (hashtags, strip_hashtags),
-        (emoticons, lambda x: strip_emoji(strip_emoticons(x))),
-        (special, lambda x: strip_special(x, keep_punctuation)),
+        (emoticons, strip_emoticons),
+        (emoticons and not special, strip_emoji),
+        (special, lambda x: strip_special(x, keep_punctuation, emoji=emoticons)),
     ]
     for wanted, stage in stages:
         c = stage(c) if wanted else c
@@ -106,26 +122,18 @@ def tokenize(c: Column) -> Column:
 
 
 def with_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
-    """All n-grams from low to high words, joined by one blank."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        # arrays_zip of shifted copies keeps this linear in the token count
-        shifted = [
-            F.slice(tokens, k + 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-            for k in range(n)
-        ]
-        parts.append(_joined(shifted))
-    return F.concat(*parts)
-
-
-def _joined(columns: list[Column]) -> Column:
-    out = columns[0]
-    for nxt in columns[1:]:
-        out = F.zip_with(out, nxt, lambda a, b: F.concat_ws(" ", a, b))
-    return out
+    """All n-grams from low to high words, joined by one blank.
+
+    tokens is used several times, so pass a column rather than an expression.
+    """
+    grams = {1: tokens}
+    for n in range(2, high + 1):
+        # an n-gram is the (n-1)-gram at its place followed by the n-th word
+        ends = F.slice(tokens, F.lit(n), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+        grams[n] = F.array_compact(
+            F.zip_with(grams[n - 1], ends, lambda a, b: F.concat(a, F.lit(" "), b))
+        )
+    return F.concat(*[grams[n] for n in range(low, high + 1)])
 
 
 def seq_tokens(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxdesk import fixed_values as V
-from voxdesk.functions.responses import is_quota_error, sample_lines
+from voxdesk.functions.responses import answer_lines, is_quota_error, label_from_lines, sample_lines
 
 Model = Callable[[pd.DataFrame], Iterable[tuple[str | None, str | None]]]
 
@@ -92,6 +92,13 @@ def cut_at_first_quota(df: DataFrame, order: Column) -> DataFrame:
     return df.where(F.coalesce(order < first.scalar(), F.lit(True)))
 
 
+def parse_labels(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """Add intent and severity read from an answer; both null if it has no line."""
+    lines = df.withColumn("__lines", answer_lines(F.col(answer)))
+    parsed = lines.withColumn("__parsed", label_from_lines(F.col("__lines")))
+    return parsed.select(*df.columns, "__parsed.intent", "__parsed.severity")
+
+
 def explode_samples(df: DataFrame, answer: str, n: Column) -> DataFrame:
     """One row (pos, sample) per usable line of a generated list, at most n."""
     return df.select("*", F.posexplode(sample_lines(F.col(answer), n)).alias("pos", "sample"))

@@ -13,10 +13,11 @@ from voxdesk.functions.text import pad, seq_tokens, tokenize, with_ngrams
 from voxdesk.operators.sizing import small_side
 
 
-def grams(text: Column) -> Column:
-    """All word n-grams of a text, repeats included."""
+def grams(df: DataFrame, *keep: str) -> DataFrame:
+    """All word n-grams of each text as an array column, repeats included."""
     low, high = V.NGRAM_RANGE
-    return with_ngrams(tokenize(text), low, high)
+    tokens = df.select(*keep, tokenize(F.col("text")).alias("__tokens"))
+    return tokens.select(*keep, with_ngrams(F.col("__tokens"), low, high).alias("grams"))
 
 
 def ngram_counts(df: DataFrame) -> DataFrame:
@@ -25,16 +26,15 @@ def ngram_counts(df: DataFrame) -> DataFrame:
     Within a row, every gram counts once for the corpus and every distinct gram
     once for the documents. Both are combined before the shuffle by term.
     """
-    per_row = df.select(grams(F.col("text")).alias("__grams"))
     marks = F.concat(
-        F.transform("__grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
+        F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
         F.transform(
-            F.array_distinct("__grams"),
+            F.array_distinct("grams"),
             lambda g: F.struct(g.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")),
         ),
     )
     return (
-        per_row.select(F.inline(marks))
+        grams(df).select(F.inline(marks))
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
     )
@@ -43,7 +43,8 @@ def ngram_counts(df: DataFrame) -> DataFrame:
 def _term_counts(df: DataFrame, id_col: str) -> DataFrame:
     by_doc = df.select(id_col, "text").repartition(id_col)
     return (
-        by_doc.select(id_col, F.explode(grams(F.col("text"))).alias("term"))
+        grams(by_doc, id_col)
+        .select(id_col, F.explode("grams").alias("term"))
         .groupBy(id_col, "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
 from voxdesk.functions.prompts import augmentation_prompt, label_prompt
-from voxdesk.functions.responses import parse_label
 from voxdesk.functions.text import is_blank
-from voxdesk.operators.asking import Model, ask, cut_at_first_quota, explode_samples
+from voxdesk.operators.asking import Model, ask, cut_at_first_quota, explode_samples, parse_labels
 from voxdesk.operators.corpus import class_deficits
 from voxdesk.operators.joins import unlabelled
 from voxdesk.operators.ranking import hash_key
@@ -38,19 +37,19 @@ def label_messages(
     # Answers are written once: a lost executor must not repeat paid calls that
     # finished, and the two uses below must see the same answers.
     answered = ask(prompted, labeler, parallelism=parallelism).checkpoint()
-    parsed = answered.withColumn("parsed", parse_label(F.col("answer")))
+    parsed = parse_labels(answered)
     if on_error == "default":
         return parsed.select(
             id_col,
             "text",
-            F.coalesce("parsed.intent", F.lit(V.DEFAULT_INTENT)).alias("intent"),
-            F.coalesce("parsed.severity", F.lit(V.OFFLINE_DEFAULT_SEVERITY)).alias("severity"),
+            F.coalesce("intent", F.lit(V.DEFAULT_INTENT)).alias("intent"),
+            F.coalesce("severity", F.lit(V.OFFLINE_DEFAULT_SEVERITY)).alias("severity"),
         )
     if on_error != "drop":
         raise ValueError(f"on_error must be 'drop' or 'default', not {on_error!r}")
     before = cut_at_first_quota(parsed, hash_key(seed, id_col))
-    return before.where((F.col("status") == "ok") & F.col("parsed").isNotNull()).select(
-        id_col, "text", "parsed.intent", "parsed.severity"
+    return before.where((F.col("status") == "ok") & F.col("intent").isNotNull()).select(
+        id_col, "text", "intent", "severity"
     )
 
 
@@ -83,12 +82,11 @@ def augment(
         .withColumn("prompt", label_prompt(F.col("text")))
     )
     answered = ask(samples, labeler, parallelism=parallelism).checkpoint()
+    before = cut_at_first_quota(answered, F.struct("turn", "pos"))
     usable = (
-        cut_at_first_quota(answered, F.struct("turn", "pos"))
-        .where(F.col("status") == "ok")
-        .select("text", parse_label(F.col("answer")).alias("parsed"))
-        .where(F.col("parsed").isNotNull())
-        .select("text", "parsed.intent", "parsed.severity", F.lit(True).alias("is_synthetic"))
+        parse_labels(before.where(F.col("status") == "ok"))
+        .where(F.col("intent").isNotNull())
+        .select("text", "intent", "severity", F.lit(True).alias("is_synthetic"))
     )
     real = labeled.select("text", "intent", "severity", F.lit(False).alias("is_synthetic"))
     return real.unionByName(usable)

@@ -61,12 +61,8 @@ QUERIES = {
     "augmentation_prompts": lambda t: corpus.class_deficits(_rare(t), "intent").select(
         "intent", prompts.augmentation_prompt(F.col("intent"), F.col("needed")).alias("prompt")
     ),
-    "parsed_labels": lambda t: t.responses()
-    .withColumn("parsed", responses.parse_label(F.col("answer")))
-    .select("event_id", "parsed.intent", "parsed.severity"),
-    "parsed_documents": lambda t: t.documents()
-    .withColumn("parsed", responses.parse_label(F.col("text")))
-    .select("doc_id", "parsed.intent", "parsed.severity"),
+    "parsed_labels": lambda t: asking.parse_labels(t.responses()).drop("answer"),
+    "parsed_documents": lambda t: asking.parse_labels(t.documents(), "text").drop("text"),
     "augmented_lines": lambda t: asking.explode_samples(t.documents(), "text", F.lit(5)).select(
         "doc_id", "pos", "sample"
     ),

@@ -54,21 +54,20 @@ QUERIES |= {
         "doc_id", text.text_length(F.col("text")).alias("n")
     ),
     "created_at_parsed": lambda t: _created_at(t),
-    "tokens": lambda t: t.documents().select(
-        "doc_id",
-        F.size(text.tokenize(F.col("text"))).alias("n"),
-        F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"),
-    ),
-    "seq_tokens": lambda t: t.documents().select(
-        "doc_id",
-        F.size(text.seq_tokens(F.col("text"))).alias("n"),
-        F.array_join(text.seq_tokens(F.col("text")), " ").alias("tokens"),
-    ),
+    "tokens": lambda t: _listed(t, text.tokenize),
+    "seq_tokens": lambda t: _listed(t, text.seq_tokens),
     "cleaned_labeled": lambda t: filters.clean_labeled(t.labeled(), keep=("doc_id",)),
     "labels_clean": lambda t: filters.clean_label_rows(_raw_labels(t)),
 }
 
 
+def _listed(t, tokenizer):
+    found = t.documents().select("doc_id", tokenizer(F.col("text")).alias("found"))
+    return found.select(
+        "doc_id", F.size("found").alias("n"), F.array_join("found", " ").alias("tokens")
+    )
+
+
 def _created_at(t):
     stamp = dates.parse_created_at(F.col("created_at"))
     return t.created_at_text().select(

@@ -16,6 +16,16 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
+    def read_texts(self, name: str) -> DataFrame:
+        """A text table, spread if its files would leave cores idle.
+
+        Text work is bound by CPU. A table of many files has partitions enough
+        and is left as it lies.
+        """
+        rows = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
     def messages(self) -> DataFrame:
         return self.read("conversations").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
@@ -58,16 +68,16 @@ class Tables:
 
     def noisy_text(self) -> DataFrame:
         pages = self.read("pages").select(F.col("page_id").alias("doc_id"), "url")
-        return self.read("documents").join(pages, "doc_id", "left").select(
+        return self.read_texts("documents").join(pages, "doc_id", "left").select(
             "doc_id", F.concat_ws(" ", "text", "url").alias("text")
         )
 
     def documents(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "text")
+        return self.read_texts("documents").select("doc_id", "text")
 
     def labeled(self) -> DataFrame:
         severity = 2 * F.col("toxic") + F.col("quality")
-        return self.read("documents").join(self.read("labels"), "doc_id").select(
+        return self.read_texts("documents").join(self.read("labels"), "doc_id").select(
             "doc_id", "text", F.col("lang").alias("intent"), severity.alias("severity")
         )
 
