@@ -101,7 +101,9 @@ def parse_labels(df: DataFrame, answer: str = "answer") -> DataFrame:
 
 def explode_samples(df: DataFrame, answer: str, n: Column) -> DataFrame:
     """One row (pos, sample) per usable line of a generated list, at most n."""
-    return df.select("*", F.posexplode(sample_lines(F.col(answer), n)).alias("pos", "sample"))
+    # The outer form avoids an added size filter that would parse every answer twice.
+    lines = F.posexplode_outer(sample_lines(F.col(answer), n)).alias("pos", "sample")
+    return df.select("*", lines).where(F.col("pos").isNotNull())
 
 
 def top_label(

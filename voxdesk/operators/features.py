@@ -3,9 +3,13 @@
 A document is exploded only after its rows are partitioned by id. The grouping
 and windows per document that follow then need no further shuffle, and what is
 shuffled is the raw text rather than the larger token rows.
+
+Arrays are exploded with the outer form and nulls dropped after it. The plain
+form adds a filter on the array's size below the explode, which would clean and
+tokenise every text a second time.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
@@ -34,20 +38,22 @@ def ngram_counts(df: DataFrame) -> DataFrame:
         ),
     )
     return (
-        grams(df).select(F.inline(marks))
+        grams(df)
+        .select(F.inline_outer(marks))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
     )
 
 
-def _term_counts(df: DataFrame, id_col: str) -> DataFrame:
-    by_doc = df.select(id_col, "text").repartition(id_col)
-    return (
-        grams(by_doc, id_col)
-        .select(id_col, F.explode("grams").alias("term"))
-        .groupBy(id_col, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def _by_document(df: DataFrame, id_col: str) -> DataFrame:
+    """Texts partitioned by id, before they are exploded.
+
+    The partition count is given, as adaptive execution would merge partitions
+    by the size of the raw text, which grows many times when exploded.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(id_col, "text").repartition(partitions, id_col)
 
 
 def ngram_vocabulary(df: DataFrame, k: int = V.TFIDF_TERMS) -> DataFrame:
@@ -67,9 +73,11 @@ def tfidf_weights(df: DataFrame, k: int = V.TFIDF_TERMS, id_col: str = "doc_id")
         ngram_vocabulary(df, k).select("term", idf.alias("idf"))
     )
     weighted = (
-        _term_counts(df, id_col)
+        grams(_by_document(df, id_col), id_col)
+        .select(id_col, F.explode_outer("grams").alias("term"))
         .join(vocabulary, "term")
-        .withColumn("raw", F.col("tf") * F.col("idf"))
+        .groupBy(id_col, "term", "idf")
+        .agg((F.count("*") * F.col("idf")).alias("raw"))
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
@@ -81,7 +89,8 @@ def token_index(df: DataFrame, cap: int = V.SEQUENCE_WORDS) -> DataFrame:
     The window sees fewer than cap rows.
     """
     counts = (
-        df.select(F.explode(seq_tokens(F.col("text"))).alias("word"))
+        df.select(F.explode_outer(seq_tokens(F.col("text"))).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -97,10 +106,8 @@ def token_index(df: DataFrame, cap: int = V.SEQUENCE_WORDS) -> DataFrame:
 def encode_sequences(df: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Add seq, the word numbers of each text in order; unknown words are 1."""
     known = index.where(F.col("word") != V.OOV_TOKEN).select("word", "idx")
-    words = (
-        df.select(id_col, "text")
-        .repartition(id_col)
-        .select(id_col, F.posexplode_outer(seq_tokens(F.col("text"))).alias("pos", "word"))
+    words = _by_document(df, id_col).select(
+        id_col, F.posexplode_outer(seq_tokens(F.col("text"))).alias("pos", "word")
     )
     numbered = words.join(small_side(known), "word", "left").select(
         id_col,

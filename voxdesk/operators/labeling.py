@@ -10,6 +10,7 @@ from voxdesk.operators.asking import Model, ask, cut_at_first_quota, explode_sam
 from voxdesk.operators.corpus import class_deficits
 from voxdesk.operators.joins import unlabelled
 from voxdesk.operators.ranking import hash_key
+from voxdesk.operators.sizing import small_side
 from voxdesk.operators.splits import sample_n
 from voxdesk.session import ensure_checkpoint_dir
 
@@ -32,7 +33,11 @@ def label_messages(
     """
     ensure_checkpoint_dir(messages.sparkSession)
     fresh = messages if existing is None else unlabelled(messages, existing, id_col=id_col)
-    sample = sample_n(fresh.select(id_col, "text"), n, seed, id_col)
+    # Sampling reads its input several times. From written ids that is cheap,
+    # while the anti join over the texts runs once.
+    ids = fresh.select(id_col).checkpoint()
+    chosen = small_side(sample_n(ids, n, seed, id_col))
+    sample = messages.select(id_col, "text").join(chosen, id_col, "left_semi")
     prompted = sample.withColumn("prompt", label_prompt(F.col("text")))
     # Answers are written once: a lost executor must not repeat paid calls that
     # finished, and the two uses below must see the same answers.

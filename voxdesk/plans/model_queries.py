@@ -13,7 +13,8 @@ from voxdesk.streaming.scoring import run_scoring
 
 
 def _labeled(t):
-    return filters.clean_labeled(t.labeled(), keep=("doc_id",))
+    """Cleaned labelled documents, kept because splits and fits read them often."""
+    return filters.clean_labeled(t.labeled(), keep=("doc_id",)).persist()
 
 
 def _parts(t, label):
