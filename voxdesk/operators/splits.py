@@ -16,6 +16,12 @@ from voxdesk.operators.ranking import hash_bucket, hash_key, rank_cutoffs, value
 from voxdesk.operators.sizing import small_side
 
 _ALL = "__all"
+_CLASS = "__class"
+
+
+def _with_class(df: DataFrame, label: str) -> DataFrame:
+    """Labels as a struct, so that rows without a label join as a class too."""
+    return df.withColumn(_CLASS, F.struct(F.col(label)))
 
 
 def _keyed(df: DataFrame, seed, id_col: str) -> DataFrame:
@@ -133,11 +139,12 @@ def safe_split(
     plan = plan_split(df, label, fraction, need_room)
     if not plan.stratified:
         return _tagged(df, _first_n(df, plan.test_rows, seed, id_col), names)
-    slim = _keyed(df.select(id_col, label), seed, id_col)
+    classed = _with_class(df, label)
+    slim = _keyed(classed.select(id_col, _CLASS), seed, id_col)
     cuts = rank_cutoffs(
-        slim, class_quotas(df, label, plan.test_rows), label, ["__key", id_col]
-    ).select(label, F.col("cut").alias("__cut"))
-    keyed = df.withColumn("__key", hash_key(seed, id_col)).join(small_side(cuts), label, "left")
+        slim, class_quotas(classed, _CLASS, plan.test_rows), _CLASS, ["__key", id_col]
+    ).select(_CLASS, F.col("cut").alias("__cut"))
+    keyed = classed.withColumn("__key", hash_key(seed, id_col)).join(small_side(cuts), _CLASS, "left")
     is_test = F.coalesce(_place(id_col) <= F.col("__cut"), F.lit(False))
     return _tagged(keyed, is_test, names).select(*df.columns, "split")
 
@@ -182,8 +189,8 @@ def assign_folds(
     Classes stand in order of first appearance. Fold i of a class holds as many
     rows as the class has positions p with p mod k = i in the class-sorted order.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
-    earlier = Window.orderBy("first", label).rowsBetween(Window.unboundedPreceding, -1)
+    counts = _with_class(df, label).groupBy(_CLASS).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    earlier = Window.orderBy("first", _CLASS).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
     def positions_below(limit: Column, i: Column) -> Column:
@@ -191,7 +198,7 @@ def assign_folds(
         return F.floor((limit - i + (k - 1)) / F.lit(k))
 
     sizes = starts.select(
-        label,
+        _CLASS,
         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"),
         "start",
         (F.col("start") + F.col("n")).alias("stop"),
@@ -199,18 +206,25 @@ def assign_folds(
         "size",
         positions_below(F.col("stop"), F.col("fold")) - positions_below(F.col("start"), F.col("fold")),
     )
-    upto = Window.partitionBy(label).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    targets = sizes.select(label, F.sum("size").over(upto).cast("long").alias("target"))
-    rows = value_buckets(df.select(id_col, label), id_col)
+    upto = Window.partitionBy(_CLASS).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    targets = sizes.select(_CLASS, F.sum("size").over(upto).cast("long").alias("target"))
+    rows = value_buckets(_with_class(df, label).select(id_col, _CLASS), id_col)
+    found = rank_cutoffs(rows, targets.distinct(), _CLASS, [id_col])
     cuts = (
-        rank_cutoffs(rows, targets.distinct(), label, [id_col])
-        .join(small_side(targets), [label, "target"])
-        .groupBy(label)
-        .agg(F.collect_list(f"cut.{id_col}").alias("__cuts"))
+        targets.join(small_side(found), [_CLASS, "target"], "left")
+        .groupBy(_CLASS)
+        .agg(
+            F.count_if(F.col("target") == 0).alias("__skipped"),
+            F.collect_list(f"cut.{id_col}").alias("__cuts"),
+        )
     )
-    fold = F.size(F.filter("__cuts", lambda cut: cut < F.col(id_col)))
+    # leading folds without rows, then the folds that end before this row
+    fold = (
+        F.col("__skipped") + F.size(F.filter("__cuts", lambda cut: cut < F.col(id_col)))
+    ).cast("int")
     return (
-        df.join(small_side(cuts), label, "left")
+        _with_class(df, label)
+        .join(small_side(cuts), _CLASS, "left")
         .withColumn("fold", fold)
         .select(*df.columns, "fold")
     )

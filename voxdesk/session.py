@@ -24,22 +24,28 @@ def local_session(cpus: int = 8, app: str = "voxdesk") -> SparkSession:
     )
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder path under the shared folder named by spark.checkpoint.dir.
+def _base_dir(spark: SparkSession) -> str:
+    """The shared folder of the session.
 
-    Only a local session may fall back to a folder of its own. On a cluster a
-    machine-local folder would be lost with its executor, so that is an error.
+    Only a local session without the setting gets a folder of its own. On a
+    cluster a machine-local folder would be lost with its executor.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="voxdesk-")
-        spark.conf.set(CHECKPOINT_CONF, base)
-    return os.path.join(base.rstrip("/"), f"{purpose}-{uuid.uuid4().hex}")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path for one job under the session's shared folder."""
+    return os.path.join(_base_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make DataFrame.checkpoint() usable without overriding a cluster's choice."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
+    _base_dir(spark)
