@@ -133,11 +133,8 @@ def test_guards(spark):
         filters.require_rows(df, "nothing to do")
 
 
-def test_drop_emptied_counts_in_the_same_pass(spark):
-    from pyspark.sql import Observation
-
+def test_cleaning_drops_emptied_rows_and_counts_them(spark):
     df = spark.createDataFrame([("@a", "x", "1"), ("text", " y ", "2")], "text string, intent string, severity string")
-    seen = Observation("cleaning")
-    rows = filters.clean_labeled(df, seen).collect()
-    assert [tuple(r) for r in rows] == [("text", "y", "2")]
-    assert seen.get == {"processed": 2, "dropped": 1}
+    cleaned = filters.clean_labeled(df)
+    assert [tuple(r) for r in cleaned.collect()] == [("text", "y", "2")]
+    assert corpus.job_counts(df, cleaned).first().asDict() == {"processed": 2, "kept": 1, "dropped": 1}

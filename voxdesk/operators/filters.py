@@ -1,6 +1,6 @@
 """Filters, null fills, label normalisation and guards."""
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
@@ -29,19 +29,6 @@ def with_clean_column(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(f"{column}_processed", clean_text(F.col(column)))
 
 
-def drop_emptied(
-    df: DataFrame, column: str = "text", observation: Observation | None = None
-) -> DataFrame:
-    """Drop rows without text; an Observation gets the counts in the same pass."""
-    if observation is not None:
-        df = df.observe(
-            observation,
-            F.count("*").alias("processed"),
-            F.count_if(is_blank(F.col(column))).alias("dropped"),
-        )
-    return non_blank(df, column)
-
-
 def normalise_labels(df: DataFrame) -> DataFrame:
     """Labels as trimmed strings."""
     return df.withColumns({
@@ -50,14 +37,15 @@ def normalise_labels(df: DataFrame) -> DataFrame:
     })
 
 
-def clean_labeled(
-    df: DataFrame, observation: Observation | None = None, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Replace text by its cleaned form, trim labels, drop emptied rows."""
+def clean_labeled(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Replace text by its cleaned form, trim labels, drop emptied rows.
+
+    corpus.job_counts tells how many were dropped. It needs one count of each
+    frame; Observation would save that, but a session that has used one can no
+    longer run one-vs-rest models, whose closures then fail to serialise.
+    """
     cleaned = normalise_labels(df.withColumn("text", clean_text(F.col("text"))))
-    return drop_emptied(
-        cleaned.select(*keep, "text", "intent", "severity"), observation=observation
-    )
+    return non_blank(cleaned.select(*keep, "text", "intent", "severity"))
 
 
 def clean_label_rows(df: DataFrame) -> DataFrame:
