@@ -106,6 +106,19 @@ def explode_samples(df: DataFrame, answer: str, n: Column) -> DataFrame:
     return df.select("*", lines).where(F.col("pos").isNotNull())
 
 
+def _best_labels(scores: DataFrame, id_col: str, allowed: list[str]) -> DataFrame:
+    """One row (id, best) per id.
+
+    Scores first shrink to one per (id, label), so a hot id is combined before
+    it meets in one task.
+    """
+    per_label = scores.groupBy(id_col, "label").agg(F.max("score").alias("score"))
+    place = F.array_position(F.array(*[F.lit(a) for a in allowed]), F.col("label"))
+    place = F.when(place == 0, len(allowed) + 1).otherwise(place)
+    lowest = F.min(F.struct((-F.col("score")).alias("s"), place.alias("p"), F.col("label")))
+    return per_label.groupBy(id_col).agg(lowest["label"].alias("best"))
+
+
 def top_label(
     ids: DataFrame, scores: DataFrame, id_col: str, allowed: list[str],
     default: str = V.DEFAULT_INTENT,
@@ -114,26 +127,19 @@ def top_label(
 
     Equal scores go to the label that stands first in the allowed list, then by name.
     """
-    best = scores.groupBy(id_col).agg(_best(allowed).alias("best"))
+    best = _best_labels(scores, id_col, allowed)
     known = F.when(F.col("best").isin(allowed), F.col("best"))
     return ids.select(id_col).join(best, id_col, "left").select(
         id_col, F.coalesce(known, F.lit(default)).alias("intent")
     )
 
 
-def _best(allowed: list[str]) -> Column:
-    place = F.array_position(F.array(*[F.lit(a) for a in allowed]), F.col("label"))
-    place = F.when(place == 0, len(allowed) + 1).otherwise(place)
-    lowest = F.min(F.struct((-F.col("score")).alias("s"), place.alias("p"), F.col("label")))
-    return lowest["label"]
-
-
 def top_severity(
     ids: DataFrame, scores: DataFrame, id_col: str,
     allowed: list[str] = V.OFFLINE_SEVERITIES, default: int = V.OFFLINE_DEFAULT_SEVERITY,
 ) -> DataFrame:
     """Best-scored severity per id as int; outside the scale or missing is the default."""
-    best = scores.groupBy(id_col).agg(_best(allowed).alias("best"))
+    best = _best_labels(scores, id_col, allowed)
     value = F.col("best").try_cast("int")
     known = F.when(value.isin([int(a) for a in allowed]), value)
     return ids.select(id_col).join(best, id_col, "left").select(

@@ -26,6 +26,9 @@ def unlabelled(
     if not dedupe:
         return fresh
     rest = [c for c in fresh.columns if c not in ("text", id_col)]
+    if not rest:
+        # a minimum of plain ids stays in the hash aggregate
+        return fresh.groupBy("text").agg(F.min(id_col).alias(id_col)).select(*fresh.columns)
     first = F.min(F.struct(F.col(id_col), *[F.col(c) for c in rest])).alias("__first")
     return fresh.groupBy("text").agg(first).select(
         *[F.col("text") if c == "text" else F.col(f"__first.{c}").alias(c) for c in fresh.columns]

@@ -8,14 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxdesk.operators.ranking import ROWS_PER_BUCKET, running_totals
+from voxdesk.session import ensure_checkpoint_dir
 
 
 def score_counts(scores: DataFrame, groups: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score; needs a boolean positive."""
-    return scores.groupBy(*groups, "score").agg(
+    """Positives and negatives per distinct score; needs a boolean positive.
+
+    Written once, because running_totals reads its input three times.
+    """
+    ensure_checkpoint_dir(scores.sparkSession)
+    counts = scores.groupBy(*groups, "score").agg(
         F.count_if(F.col("positive")).alias("pos"),
         F.count_if(~F.col("positive")).alias("neg"),
     )
+    return counts.checkpoint()
 
 
 def one_vs_rest(scores: DataFrame) -> DataFrame:

@@ -17,14 +17,14 @@ class Tables:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def read_texts(self, name: str) -> DataFrame:
-        """A text table, spread if its files would leave cores idle.
+        """A text table, spread if its scan has fewer partitions than cores.
 
-        Text work is bound by CPU. A table of many files has partitions enough
-        and is left as it lies.
+        Text work is bound by CPU. A big table has partitions enough and is left
+        as it lies.
         """
         rows = self.read(name)
         cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
     def messages(self) -> DataFrame:
         return self.read("conversations").select(
