@@ -5,6 +5,7 @@ pair per row. It runs inside mapInPandas on the executors; the library has no
 network code. Status and parsing are column expressions.
 """
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -18,8 +19,14 @@ from voxdesk.functions.responses import answer_lines, is_quota_error, label_from
 Model = Callable[[pd.DataFrame], Iterable[tuple[str | None, str | None]]]
 
 
-def per_row(answer_one: Callable[[str], str], column: str = "prompt") -> Model:
-    """A model from a function of one text; what it raises becomes the error."""
+def per_row(
+    answer_one: Callable[[str], str], column: str = "prompt", delay: float = 0.0
+) -> Model:
+    """A model from a function of one text; what it raises becomes the error.
+
+    delay is the pause in seconds after each call. With ask's parallelism it
+    bounds the call rate.
+    """
 
     def answer(batch: pd.DataFrame):
         for value in batch[column]:
@@ -27,6 +34,8 @@ def per_row(answer_one: Callable[[str], str], column: str = "prompt") -> Model:
                 yield answer_one(value), None
             except Exception as error:  # any failure of the called service
                 yield None, str(error)
+            if delay:
+                time.sleep(delay)
 
     return answer
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxdesk.operators.sizing import small_side
+from voxdesk.session import ensure_checkpoint_dir
 
 HASH_BUCKET_DIGITS = 4  # 65,536 buckets of the leading hex digits
 ROWS_PER_BUCKET = 1_000_000
@@ -53,22 +54,30 @@ def value_buckets(
     )
 
 
+def bucket_counts(rows: DataFrame, group: str, *extra: Column) -> DataFrame:
+    """Rows per (group, bucket), written once since several steps read them."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.groupBy(group, "bucket").agg(F.count("*").alias("n"), *extra).checkpoint()
+
+
 def rank_cutoffs(
-    rows: DataFrame, targets: DataFrame, group: str, order: list[str]
+    rows: DataFrame, counts: DataFrame, targets: DataFrame, group: str, order: list[str]
 ) -> DataFrame:
     """For each (group, target), the order values of the target-th row.
 
-    rows holds group, bucket and the order columns; targets holds group and
-    target (1-based). A target of zero, or beyond the group, gives no row.
-    Sorting touches only buckets that contain a target.
+    rows holds group, bucket and the order columns, counts their bucket_counts;
+    targets holds group and target (1-based). A target of zero, or beyond the
+    group, gives no row. Sorting touches only buckets that contain a target.
     """
-    counts = rows.groupBy(group, "bucket").agg(F.count("*").alias("n"))
     up_to = Window.partitionBy(group).orderBy("bucket")
-    running = counts.withColumn(
-        "upto", F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, 0))
+    running = counts.select(
+        group,
+        "bucket",
+        "n",
+        F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
     )
     hits = (
-        running.join(small_side(targets), group)
+        running.join(targets, group)
         .where((F.col("target") > F.col("upto") - F.col("n")) & (F.col("target") <= F.col("upto")))
         .select(group, "bucket", "target", (F.col("target") - F.col("upto") + F.col("n")).alias("need"))
     )

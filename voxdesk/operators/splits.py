@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
-from voxdesk.operators.ranking import hash_bucket, hash_key, rank_cutoffs, value_buckets
+from voxdesk.operators.ranking import (
+    bucket_counts,
+    hash_bucket,
+    hash_key,
+    rank_cutoffs,
+    value_buckets,
+)
 from voxdesk.operators.sizing import small_side
 
 _ALL = "__all"
@@ -34,13 +40,22 @@ def _place(id_col: str) -> Column:
     return F.struct(F.col("__key"), F.col(id_col))
 
 
-def _first_n(df: DataFrame, n: int, seed, id_col: str) -> Column:
-    """Condition that holds for the first n rows of df in hash order."""
+def _all_first_n(keyed: DataFrame, counts: DataFrame, n: int, seed, id_col: str) -> Column:
+    """Condition that holds for the first n rows in hash order.
+
+    keyed holds id, key and bucket; counts the rows per bucket.
+    """
     if n <= 0:
         return F.lit(False)
-    rows = _keyed(df.select(id_col, F.lit(0).alias(_ALL)), seed, id_col)
-    target = df.sparkSession.range(1).select(F.lit(0).alias(_ALL), F.lit(n).cast("long").alias("target"))
-    cut = rank_cutoffs(rows, target, _ALL, ["__key", id_col]).first()
+    everything = F.lit(0).alias(_ALL)
+    target = keyed.sparkSession.range(1).select(everything, F.lit(n).cast("long").alias("target"))
+    cut = rank_cutoffs(
+        keyed.select("*", everything),
+        counts.groupBy("bucket").agg(F.sum("n").alias("n")).select("*", everything),
+        target,
+        _ALL,
+        ["__key", id_col],
+    ).first()
     if cut is None:
         return F.lit(True)
     key, last_id = cut["cut"]
@@ -48,9 +63,16 @@ def _first_n(df: DataFrame, n: int, seed, id_col: str) -> Column:
     return (here < key) | ((here == key) & (F.col(id_col) <= F.lit(last_id)))
 
 
+def _counted(df: DataFrame, seed, id_col: str, group: str | None = None):
+    """Keyed ids and their counts per bucket, for all rows or per group."""
+    keyed = _keyed(df.select(id_col, group or F.lit(0).alias(_ALL)), seed, id_col)
+    return keyed, bucket_counts(keyed, group or _ALL)
+
+
 def sample_n(df: DataFrame, n: int, seed=V.SEED, id_col: str = "message_id") -> DataFrame:
     """min(n, rows) rows without replacement."""
-    return df.where(_first_n(df, n, seed, id_col))
+    keyed, counts = _counted(df, seed, id_col)
+    return df.where(_all_first_n(keyed.drop(_ALL), counts, n, seed, id_col))
 
 
 @dataclass(frozen=True)
@@ -71,12 +93,13 @@ def plan_split(
     Every class needs two rows, and the floor of the test size must reach the
     number of classes (need_room). The test part has ceil(fraction * rows) rows.
     """
-    stats = (
-        df.groupBy(label)
-        .agg(F.count("*").alias("n"))
-        .agg(F.sum("n").alias("rows"), F.count("*").alias("classes"), F.min("n").alias("smallest"))
-        .first()
-    )
+    return _plan(df.groupBy(label).agg(F.count("*").alias("n")), fraction, need_room)
+
+
+def _plan(class_counts: DataFrame, fraction: float, need_room: bool) -> SplitPlan:
+    stats = class_counts.agg(
+        F.sum("n").alias("rows"), F.count("*").alias("classes"), F.min("n").alias("smallest")
+    ).first()
     rows, classes, smallest = stats["rows"] or 0, stats["classes"], stats["smallest"] or 0
     if smallest < 2:
         reason = "class_below_two"
@@ -89,18 +112,18 @@ def plan_split(
     )
 
 
-def class_quotas(df: DataFrame, label: str, test_rows: int) -> DataFrame:
+def class_quotas(class_counts: DataFrame, label: str, test_rows: int) -> DataFrame:
     """Test rows per class: proportional floor, then largest remainder by label.
 
-    Works on one row per class.
+    Works on one row (label, n) per class.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
     everything = Window.partitionBy()
-    share = F.lit(test_rows).cast("long") * F.col("n")
-    parts = counts.withColumn("total", F.sum("n").over(everything)).select(
+    # exact in decimals; the product of two counts would overflow a long
+    product = f"(CAST({test_rows} AS DECIMAL(18, 0)) * CAST(n AS DECIMAL(18, 0)))"
+    parts = class_counts.withColumn("total", F.sum("n").over(everything)).select(
         label,
-        F.expr(f"({test_rows}L * n) div total").alias("floor"),
-        (share % F.col("total")).alias("rest"),
+        F.expr(f"{product} div total").alias("floor"),
+        F.expr(f"{product} % total").alias("rest"),
     )
     missing = F.lit(test_rows).cast("long") - F.sum("floor").over(everything)
     place = F.row_number().over(Window.orderBy(F.col("rest").desc(), label))
@@ -117,8 +140,10 @@ def split(
     names: tuple[str, str] = ("train", "test"),
 ) -> DataFrame:
     """Tag rows: the first ceil(fraction * rows) in hash order are test."""
-    n = math.ceil(fraction * df.count())
-    return _tagged(df, _first_n(df, n, seed, id_col), names)
+    keyed, counts = _counted(df, seed, id_col)
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    n = math.ceil(fraction * rows)
+    return _tagged(df, _all_first_n(keyed.drop(_ALL), counts, n, seed, id_col), names)
 
 
 def _tagged(df: DataFrame, is_test: Column, names: tuple[str, str]) -> DataFrame:
@@ -136,14 +161,17 @@ def safe_split(
     names: tuple[str, str] = ("train", "test"),
 ) -> DataFrame:
     """Split that follows the label where possible, else the plain split."""
-    plan = plan_split(df, label, fraction, need_room)
-    if not plan.stratified:
-        return _tagged(df, _first_n(df, plan.test_rows, seed, id_col), names)
     classed = _with_class(df, label)
-    slim = _keyed(classed.select(id_col, _CLASS), seed, id_col)
-    cuts = rank_cutoffs(
-        slim, class_quotas(classed, _CLASS, plan.test_rows), _CLASS, ["__key", id_col]
-    ).select(_CLASS, F.col("cut").alias("__cut"))
+    keyed, counts = _counted(classed, seed, id_col, _CLASS)
+    class_counts = counts.groupBy(_CLASS).agg(F.sum("n").alias("n"))
+    plan = _plan(class_counts, fraction, need_room)
+    if not plan.stratified:
+        first = _all_first_n(keyed.drop(_CLASS), counts, plan.test_rows, seed, id_col)
+        return _tagged(df, first, names)
+    quotas = class_quotas(class_counts, _CLASS, plan.test_rows)
+    cuts = rank_cutoffs(keyed, counts, quotas, _CLASS, ["__key", id_col]).select(
+        _CLASS, F.col("cut").alias("__cut")
+    )
     keyed = classed.withColumn("__key", hash_key(seed, id_col)).join(small_side(cuts), _CLASS, "left")
     is_test = F.coalesce(_place(id_col) <= F.col("__cut"), F.lit(False))
     return _tagged(keyed, is_test, names).select(*df.columns, "split")
@@ -189,9 +217,11 @@ def assign_folds(
     Classes stand in order of first appearance. Fold i of a class holds as many
     rows as the class has positions p with p mod k = i in the class-sorted order.
     """
-    counts = _with_class(df, label).groupBy(_CLASS).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    rows = value_buckets(_with_class(df, label).select(id_col, _CLASS), id_col)
+    counts = bucket_counts(rows, _CLASS, F.min(id_col).alias("first"))
+    classes = counts.groupBy(_CLASS).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     earlier = Window.orderBy("first", _CLASS).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    starts = classes.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
     def positions_below(limit: Column, i: Column) -> Column:
         # how many p in [0, limit) leave the remainder i modulo k
@@ -208,8 +238,7 @@ def assign_folds(
     )
     upto = Window.partitionBy(_CLASS).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
     targets = sizes.select(_CLASS, F.sum("size").over(upto).cast("long").alias("target"))
-    rows = value_buckets(_with_class(df, label).select(id_col, _CLASS), id_col)
-    found = rank_cutoffs(rows, targets.distinct(), _CLASS, [id_col])
+    found = rank_cutoffs(rows, counts, targets.distinct(), _CLASS, [id_col])
     cuts = (
         targets.join(small_side(found), [_CLASS, "target"], "left")
         .groupBy(_CLASS)

@@ -6,6 +6,7 @@ engines add doubles in different orders.
 
 from pyspark.sql import functions as F
 
+from voxdesk.functions.decisions import above_threshold, argmax
 from voxdesk.operators import comparison, evaluation, joins, ratings, roc
 from voxdesk.plans import sql
 from voxdesk.plans.views import PRIORITIES
@@ -56,7 +57,18 @@ def _two_models(t):
     return comparison.compare_two(_long(t), names, others)
 
 
+def _decisions(t):
+    """Class of the greatest of the first ten components, and the sign of the first."""
+    scores = F.slice("embedding", 1, 10)
+    return t.read("embeddings").select(
+        "vec_id",
+        argmax(scores).alias("predicted"),
+        above_threshold(F.get("embedding", 0).cast("double"), 0.0).alias("decision"),
+    )
+
+
 QUERIES = {
+    "class_decisions": _decisions,
     "paired_predictions": lambda t: joins.pair_predictions(
         t.pairs().select("id", "y_true"), t.pairs().select("id", "y_pred")
     ),
@@ -183,6 +195,9 @@ _OVR = f"{sql.SCORES}, positives AS (SELECT class, score, class = truth AS posit
 _CLASS_COLUMNS = "round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1"
 
 ORACLE = {
+    "class_decisions": """SELECT vec_id,
+  (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INTEGER AS predicted,
+  CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS decision FROM embeddings""",
     "paired_predictions": f"WITH {sql.PAIRS} SELECT id, y_true, y_pred FROM pairs",
     "label_universe": f"""WITH {sql.PAIRS}
 SELECT y_true AS label FROM pairs UNION SELECT y_pred FROM pairs""",

@@ -61,6 +61,19 @@ def _curve(t):
     return classifiers.training_curve(classifiers.fit_task(_labeled(t), "intent"))
 
 
+def _tuned(t):
+    """Mean macro F1 of three candidates over three folds of the labelled documents."""
+    folded = splits.assign_folds(_labeled(t), "intent")
+    candidates = [
+        classifiers.Candidate(c=c, terms=terms) for c, terms in ((0.1, 10000), (0.1, 20000), (1.0, 10000))
+    ]
+    rows = [
+        F.struct(F.lit(c.c).alias("c"), F.lit(c.terms).alias("terms"), F.lit(score).alias("f1_macro"))
+        for c, score in classifiers.tuning_scores(folded, "intent", candidates)
+    ]
+    return t.spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def _scored(t):
     sent = t.read("documents").select("doc_id", "text")
     return scoring.score_messages(sent, *_models(t), _reply, _reply, keep=("doc_id",))
@@ -117,10 +130,12 @@ QUERIES = {
     "intent_scores": _intent_scores,
     "model_evaluation": _evaluation,
     "training_curve": _curve,
+    "tuning_scores": _tuned,
     "scored_messages": _scored,
     "stream_direction_counts": lambda t: run_counts(_messages_stream(t), corpus.direction_counts),
     "stream_length_histogram": lambda t: run_counts(_messages_stream(t), corpus.length_histogram),
     "stream_monthly_volume": lambda t: run_counts(_volume_stream(t), corpus.monthly_volume),
+    "stream_top_authors": lambda t: run_counts(_volume_stream(t), corpus.top_authors),
     "stream_scored_messages": _stream_scores,
 }
 
@@ -136,4 +151,5 @@ SELECT 'Customer (inbound)' AS type, count(*) FILTER (inbound) AS count FROM kep
 UNION ALL SELECT 'Support (outbound)', count(*) FILTER (NOT inbound) FROM kept""",
     "stream_length_histogram": CORPUS_ORACLE["length_histogram"],
     "stream_monthly_volume": CORPUS_ORACLE["monthly_volume"],
+    "stream_top_authors": CORPUS_ORACLE["top_authors"],
 }
