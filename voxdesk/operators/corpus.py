@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from voxdesk import fixed_values as V
 from voxdesk.functions.dates import month_key
 from voxdesk.functions.text import length_bin, text_length
+from voxdesk.session import ensure_checkpoint_dir
 
 
 def direction_counts(df: DataFrame) -> DataFrame:
@@ -22,15 +23,23 @@ def direction_counts(df: DataFrame) -> DataFrame:
 
 
 def monthly_volume(df: DataFrame) -> DataFrame:
-    return (
+    """Messages per month and direction; rows without a time are left out.
+
+    Rows are grouped by the first day of the month; only the few groups are
+    turned into text.
+    """
+    first_day = F.trunc(F.col("created_at").cast("date"), "month")
+    counts = (
         df.where(F.col("created_at").isNotNull())
-        .groupBy(month_key(F.col("created_at")).alias("month"))
+        .groupBy(first_day.alias("__first_day"))
         .agg(
             F.count_if(F.col("inbound")).alias("inbound"),
             F.count_if(~F.col("inbound")).alias("outbound"),
         )
-        .orderBy("month")
     )
+    return counts.select(
+        month_key(F.col("__first_day")).alias("month"), "inbound", "outbound"
+    ).orderBy("month")
 
 
 def top_authors(df: DataFrame, n: int = V.TOP_AUTHORS) -> DataFrame:
@@ -65,10 +74,11 @@ def label_counts(df: DataFrame, column: str, by_label: bool = False) -> DataFram
 def cross_table(df: DataFrame, a: str, b: str, normalize: bool = False) -> DataFrame:
     """Dense counts of a x b, or shares within each a.
 
-    The grid is exploded from the two sets of distinct labels, taken from the
-    counts. The data itself is aggregated once; the counts' exchange is reused.
+    The data is read once, for the counts, which are written. The grid is
+    exploded from the two sets of distinct labels in them.
     """
-    counts = df.groupBy(a, b).agg(F.count("*").alias("count"))
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = df.groupBy(a, b).agg(F.count("*").alias("count")).checkpoint()
     labels = counts.agg(F.collect_set(a).alias("rows"), F.collect_set(b).alias("cols"))
     grid = labels.select(F.explode("rows").alias(a), "cols").select(
         a, F.explode("cols").alias(b)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
+from voxdesk.session import ensure_checkpoint_dir
 
 
 def pair_counts(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -23,10 +24,13 @@ def confusion(pairs: DataFrame, labels: list | None = None) -> DataFrame:
     """Dense confusion matrix (y_true, y_pred, n).
 
     With a label list, pairs outside it are ignored. Otherwise the grid is the
-    union of the labels that occur.
+    union of the labels that occur; the pairs are then counted once and the
+    counts written, as grid and cells both come from them.
     """
     counts = pair_counts(pairs)
     if labels is None:
+        ensure_checkpoint_dir(pairs.sparkSession)
+        counts = counts.checkpoint()
         domain = counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).agg(
             F.collect_set("label").alias("labels")
         )
