@@ -66,3 +66,12 @@ def test_text_is_cleaned_once_before_an_explode(spark, tmp_path):
     cleaned = spark.read.parquet(path).withColumn("text", clean_text(F.col("text")))
     plan = features.ngram_counts(cleaned)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("https?://") == 1
+
+
+def test_text_is_cleaned_once_before_a_filter(spark, tmp_path):
+    from voxdesk.operators.filters import clean_labeled
+
+    path = str(tmp_path / "labels")
+    spark.createDataFrame([("@a", "x", "1")], "text string, intent string, severity string").write.parquet(path)
+    plan = clean_labeled(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https?://") == 1

@@ -44,8 +44,11 @@ def clean_labeled(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     frame; Observation would save that, but a session that has used one can no
     longer run one-vs-rest models, whose closures then fail to serialise.
     """
-    cleaned = normalise_labels(df.withColumn("text", clean_text(F.col("text"))))
-    return non_blank(cleaned.select(*keep, "text", "intent", "severity"))
+    # A filter on a projected text is pushed below the projection, which would
+    # clean every text twice. It is not pushed below an explode.
+    once = F.explode_outer(F.array(clean_text(F.col("text")))).alias("text")
+    cleaned = normalise_labels(df.select(*keep, once, "intent", "severity"))
+    return non_blank(cleaned)
 
 
 def clean_label_rows(df: DataFrame) -> DataFrame:

@@ -44,6 +44,14 @@ def _bins() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+_CELLS = f"""{sql.LABELED}, domain AS (
+  SELECT list(DISTINCT intent) AS intents, list(DISTINCT severity) AS severities FROM labeled),
+side AS (SELECT unnest(intents) AS intent, severities FROM domain),
+grid AS (SELECT intent, unnest(severities) AS severity FROM side),
+cells AS (
+  SELECT g.intent, g.severity, count(l.doc_id) AS n
+  FROM grid g LEFT JOIN labeled l ON l.intent = g.intent AND l.severity = g.severity GROUP BY ALL)"""
+
 ORACLE = {
     "length_histogram": f"""WITH {sql.MESSAGES}, sized AS (
   SELECT length(text) AS n FROM messages WHERE inbound AND {sql.has_text('text')}),
@@ -62,15 +70,8 @@ SELECT author_id, count(*) AS count FROM volume WHERE NOT inbound
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""",
     "intent_counts": f"WITH {sql.LABELED} SELECT intent, count(*) AS count FROM labeled GROUP BY 1",
     "severity_counts": f"WITH {sql.LABELED} SELECT severity, count(*) AS count FROM labeled GROUP BY 1",
-    "intent_severity_counts": f"""WITH {sql.LABELED}
-SELECT i.intent, s.severity, count(l.doc_id) AS count
-FROM (SELECT DISTINCT intent FROM labeled) i CROSS JOIN (SELECT DISTINCT severity FROM labeled) s
-LEFT JOIN labeled l ON l.intent = i.intent AND l.severity = s.severity
-GROUP BY ALL""",
-    "intent_severity_share": f"""WITH {sql.LABELED}, cells AS (
-  SELECT i.intent, s.severity, count(l.doc_id) AS n
-  FROM (SELECT DISTINCT intent FROM labeled) i CROSS JOIN (SELECT DISTINCT severity FROM labeled) s
-  LEFT JOIN labeled l ON l.intent = i.intent AND l.severity = s.severity GROUP BY ALL)
+    "intent_severity_counts": f"WITH {_CELLS} SELECT intent, severity, n AS count FROM cells",
+    "intent_severity_share": f"""WITH {_CELLS}
 SELECT intent, severity,
   round(n::DOUBLE / (sum(n) OVER (PARTITION BY intent))::DOUBLE, 9) AS share FROM cells""",
     "class_deficits": f"""WITH {sql.LABELED}

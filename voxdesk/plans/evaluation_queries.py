@@ -121,14 +121,21 @@ QUERIES = {
 }
 
 _LISTED_SQL = f"listed AS (SELECT unnest([{sql.values(_LISTED)}]) AS label)"
-_LISTED_CELLS = f"""{sql.PAIRS}, {_LISTED_SQL}, cells AS (
-  SELECT a.label AS y_true, b.label AS y_pred, count(p.id) AS n
-  FROM listed a CROSS JOIN listed b
-  LEFT JOIN pairs p ON p.y_true = a.label AND p.y_pred = b.label GROUP BY ALL)"""
-_ALL_CELLS = f"""{sql.PAIRS}, u AS (SELECT y_true AS label FROM pairs UNION SELECT y_pred FROM pairs),
+
+
+def _cells_sql(labels: str) -> str:
+    """CTEs of dense counts over the labels of one CTE."""
+    return f"""domain AS (SELECT list(label) AS names FROM {labels}),
+side AS (SELECT unnest(names) AS y_true, names FROM domain),
+grid AS (SELECT y_true, unnest(names) AS y_pred FROM side),
 cells AS (
-  SELECT a.label AS y_true, b.label AS y_pred, count(p.id) AS n
-  FROM u a CROSS JOIN u b LEFT JOIN pairs p ON p.y_true = a.label AND p.y_pred = b.label GROUP BY ALL)"""
+  SELECT g.y_true, g.y_pred, count(p.id) AS n
+  FROM grid g LEFT JOIN pairs p ON p.y_true = g.y_true AND p.y_pred = g.y_pred GROUP BY ALL)"""
+
+
+_LISTED_CELLS = f"{sql.PAIRS}, {_LISTED_SQL}, {_cells_sql('listed')}"
+_ALL_CELLS = f"""{sql.PAIRS}, u AS (SELECT y_true AS label FROM pairs UNION SELECT y_pred FROM pairs),
+{_cells_sql('u')}"""
 
 
 def _evaluate_sql(key: str = "") -> str:
