@@ -1,13 +1,22 @@
-"""Queries that fit models or run streams. Models have no SQL form."""
+"""Queries that write and read files, fit models or run streams. Models have no SQL form."""
 
 from pyspark.sql import functions as F
 
+from voxdesk import fixed_values as V
 from voxdesk.functions.text import is_blank
-from voxdesk.operators import classifiers, corpus, evaluation, filters, joins, scoring, splits
-from voxdesk.plans.corpus_queries import ORACLE as CORPUS_ORACLE
+from voxdesk.operators import classifiers, corpus, evaluation, features, filters, joins, scoring, splits
 from voxdesk.plans import sql
-from voxdesk.sources.messages import read_inbound, read_messages
+from voxdesk.plans.corpus_queries import ORACLE as CORPUS_ORACLE
 from voxdesk.session import shared_dir
+from voxdesk.sources.labels import (
+    append_labels,
+    read_labels,
+    read_labels_or_empty,
+    read_ratings,
+    write_ratings,
+)
+from voxdesk.sources.messages import read_inbound, read_messages
+from voxdesk.sources.results import load_encoders, save_encoders
 from voxdesk.streaming.counts import read_stream, run_counts
 from voxdesk.streaming.scoring import run_scoring
 
@@ -115,6 +124,41 @@ def _written_csv(t):
     return path
 
 
+def _labels_file(t):
+    """Labelled texts written in two steps, then read back cleaned."""
+    labeled = t.labeled().select("text", "intent", "severity")
+    calm, urgent = (labeled.where(c) for c in ("severity < 2", "severity >= 2"))
+    first, second = (shared_dir(t.spark, "labels") for _ in range(2))
+    append_labels(read_labels_or_empty(t.spark, first), calm, first)
+    append_labels(read_labels_or_empty(t.spark, first), urgent, second)
+    return read_labels(t.spark, second)
+
+
+def _ratings_file(t):
+    path = shared_dir(t.spark, "ratings")
+    rated = t.ratings().select(
+        F.col("generated_reply").alias("original_tweet"),
+        F.lit("other").alias("predicted_intent"),
+        F.lit(1).alias("predicted_severity"),
+        "generated_reply",
+        "rating",
+        "rater_id",
+    )
+    write_ratings(rated, path)
+    return read_ratings(t.spark, path)
+
+
+def _encoders(t):
+    """Token numbers of the documents, saved and loaded."""
+    path = shared_dir(t.spark, "encoders")
+    index = features.token_index(t.documents())
+    run = t.spark.range(1).select(F.lit(V.SEQUENCE_LENGTH).alias("length"))
+    save_encoders(path, index, {"intent": joins.label_map(t.labeled(), "intent")}, run)
+    loaded, labels, _ = load_encoders(t.spark, path, ["intent"])
+    names = labels["intent"].select(F.col("label").alias("name"), F.col("label_id").alias("idx"))
+    return loaded.select(F.col("word").alias("name"), "idx").unionByName(names)
+
+
 def _csv_read(t):
     read = read_messages(t.spark, _written_csv(t))
     return read.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
@@ -123,6 +167,9 @@ def _csv_read(t):
 QUERIES = {
     "messages_csv": _csv_read,
     "inbound_csv": lambda t: read_inbound(t.spark, _written_csv(t)).select("tweet_id", "text"),
+    "labels_file": _labels_file,
+    "ratings_file": _ratings_file,
+    "encoder_tables": _encoders,
     "intent_predictions": lambda t: _pairs(t, "intent"),
     "severity_predictions": lambda t: _pairs(t, "severity", "multinomial"),
     "intent_scores": _intent_scores,
@@ -143,6 +190,19 @@ SELECT message_id AS tweet_id, author_id, inbound, '2017-10-31 22:10:47' AS crea
   CASE WHEN text <> '' THEN text END AS text FROM nulled""",
     "inbound_csv": f"""WITH {sql.MESSAGES_WITH_NULLS}
 SELECT message_id AS tweet_id, text FROM nulled WHERE inbound AND {sql.has_text('text')}""",
+    "labels_file": f"""WITH {sql.LABELED}
+SELECT text, intent, severity::VARCHAR AS severity FROM labeled WHERE {sql.has_text('text')}""",
+    "ratings_file": f"""WITH {sql.RATINGS}
+SELECT generated_reply AS original_tweet, 'other' AS predicted_intent, 1 AS predicted_severity,
+  generated_reply, rating, rater_id FROM ratings""",
+    "encoder_tables": f"""WITH {sql.LABELED}, words AS (
+  SELECT unnest({sql.sequence_words('text')}) AS word FROM documents),
+counts AS (SELECT word, count(*) AS n FROM words GROUP BY 1),
+top AS (SELECT * FROM counts ORDER BY n DESC, word LIMIT {V.SEQUENCE_WORDS - 2})
+SELECT word AS name, (row_number() OVER (ORDER BY n DESC, word) + 1)::INTEGER AS idx FROM top
+UNION ALL SELECT '<OOV>', 1
+UNION ALL SELECT intent, (row_number() OVER (ORDER BY intent) - 1)::INTEGER
+  FROM (SELECT DISTINCT intent FROM labeled)""",
     "stream_direction_counts": f"""WITH {sql.MESSAGES}, kept AS (
   SELECT inbound FROM messages WHERE {sql.has_text('text')})
 SELECT 'Customer (inbound)' AS type, count(*) FILTER (inbound) AS count FROM kept

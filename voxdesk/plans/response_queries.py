@@ -23,6 +23,19 @@ def _labeler():
     return asking.keyword_model(_INTENT_WORDS, _SEVERITY_WORDS)
 
 
+def _failing_labeler():
+    """Answers with a severity from the text's length; marked texts fail."""
+
+    def answer_one(text):
+        if "#" in text:
+            raise RuntimeError("Quota exceeded, try again later")
+        if "@" in text:
+            raise RuntimeError("connection lost")
+        return f"seen\n{len(text) % 4}"
+
+    return asking.per_row(answer_one, column="text")
+
+
 def _list_generator(batch):
     """As many numbered lines as asked for, naming the class."""
     for intent, needed in zip(batch["wanted"], batch["needed"]):
@@ -93,6 +106,12 @@ QUERIES = {
         existing=t.labeled().select("text"),
         id_col="doc_id",
     ),
+    "label_job_offline": lambda t: labeling.label_messages(
+        t.documents(), _failing_labeler(), n=V.OFFLINE_SAMPLE, on_error="default", id_col="doc_id"
+    ),
+    "label_job_quota": lambda t: labeling.label_messages(
+        t.documents(), _failing_labeler(), n=V.OFFLINE_SAMPLE, id_col="doc_id"
+    ),
     "augment_stub": lambda t: labeling.augment(_rare(t), _list_generator, _labeler()),
     "score_empty_fallback": _emptied,
 }
@@ -191,6 +210,15 @@ FROM customer LEFT JOIN best ON o_custkey = c_custkey AND place = 1""",
   WHERE NOT EXISTS (SELECT 1 FROM labeled l WHERE l.text = d.text)),
 sampled AS (SELECT * FROM fresh ORDER BY md5('42|' || doc_id), doc_id LIMIT 5000)
 SELECT doc_id, text, {_INTENT_SQL} AS intent, {_SEVERITY_SQL} AS severity FROM sampled""",
+    "label_job_offline": """SELECT doc_id, text,
+  CASE WHEN contains(text, '#') OR contains(text, '@') THEN 'other' ELSE 'seen' END AS intent,
+  CASE WHEN contains(text, '#') OR contains(text, '@') THEN 2 ELSE length(text) % 4 END::INTEGER AS severity
+FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 5000""",
+    "label_job_quota": """WITH sampled AS (
+  SELECT doc_id, text, md5('42|' || doc_id) AS place FROM documents ORDER BY place LIMIT 5000)
+SELECT doc_id, text, 'seen' AS intent, (length(text) % 4)::INTEGER AS severity FROM sampled
+WHERE NOT contains(text, '@')
+  AND place < coalesce((SELECT min(place) FROM sampled WHERE contains(text, '#')), 'z')""",
     "augment_stub": f"""WITH {_RARE}, made AS (
   SELECT 'the complaint number ' || i || ' about ' || intent AS text
   FROM (SELECT intent, unnest(range(1, needed + 1)) AS i FROM short_of))

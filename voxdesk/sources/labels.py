@@ -8,6 +8,15 @@ from voxdesk.operators.filters import clean_label_rows, require_columns, require
 from voxdesk.schemas import LABELS, RATINGS
 from voxdesk.sources.messages import CSV_OPTIONS
 
+# Written values keep their white space, quotes and line breaks.
+CSV_WRITE_OPTIONS = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def _read_labels(spark: SparkSession, path: str) -> DataFrame:
     names = spark.read.options(**CSV_OPTIONS).csv(path).columns
@@ -42,15 +51,13 @@ def appended_labels(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def append_labels(existing: DataFrame, new: DataFrame, path: str) -> None:
     """Write old and new rows to a new path; the path read from stays whole."""
-    appended_labels(existing, new).write.mode("errorifexists").options(
-        header="true", quote='"', escape='"'
-    ).csv(path)
+    rows = appended_labels(existing, new)
+    rows.write.mode("errorifexists").options(**CSV_WRITE_OPTIONS).csv(path)
 
 
 def write_ratings(df: DataFrame, path: str) -> None:
-    df.select(*RATINGS.fieldNames()).write.mode("errorifexists").options(
-        header="true", quote='"', escape='"'
-    ).csv(path)
+    rows = df.select(*RATINGS.fieldNames())
+    rows.write.mode("errorifexists").options(**CSV_WRITE_OPTIONS).csv(path)
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
