@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from voxdesk import fixed_values as V
 from voxdesk.functions.responses import answer_lines, is_quota_error, label_from_lines, sample_lines
+from voxdesk.session import ship_package
 
 Model = Callable[[pd.DataFrame], Iterable[tuple[str | None, str | None]]]
 
@@ -64,6 +65,7 @@ def ask(
     Rows whose needed column is null are passed on unasked with a null status.
     parallelism bounds how many callers run at once.
     """
+    ship_package(df.sparkSession)
     schema = T.StructType(
         [*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]
     )

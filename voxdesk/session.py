@@ -1,12 +1,15 @@
 """Session for local runs, and the shared folder jobs write to."""
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int = 8, app: str = "voxdesk") -> SparkSession:
@@ -49,3 +52,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make DataFrame.checkpoint() usable without overriding a cluster's choice."""
     _base_dir(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Models run on the executors, where the package need not be installed and the
+    driver's working folder is not on the path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="voxdesk-"), "voxdesk")
+    parent, name = os.path.split(_PACKAGE)
+    context.addPyFile(shutil.make_archive(target, "zip", parent, name))
+    _shipped.add(context.applicationId)
