@@ -31,3 +31,18 @@ def test_stream_equals_batch(spark, corpus_folder, count):
     got = sorted(map(tuple, run_counts(stream, function).collect()), key=repr)
     assert got == sorted(map(tuple, function(batch).collect()), key=repr)
     assert got
+
+
+def test_a_later_run_goes_on_from_the_state(spark, tmp_path):
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    spark.createDataFrame([(True,), (False,)], "inbound boolean").write.parquet(source)
+
+    def run():
+        stream = read_stream(spark, source, "inbound boolean")
+        rows = run_counts(stream, corpus.direction_counts, state).collect()
+        return [r["count"] for r in sorted(rows, key=lambda r: r["type"])]
+
+    assert run() == [1, 1]
+    spark.createDataFrame([(True,)] * 3, "inbound boolean").write.mode("append").parquet(source)
+    assert run() == [4, 1]
+    assert run() == [4, 1]

@@ -20,15 +20,18 @@ def read_stream(
     return reader.load(folder)
 
 
-def run_counts(stream: DataFrame, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def run_counts(
+    stream: DataFrame, count: Callable[[DataFrame], DataFrame], folder: str | None = None
+) -> DataFrame:
     """Run an aggregation over all files there are and return its last result.
 
-    The state and every result live in the shared folder, so a restarted query
-    goes on from its last batch. A batch writes its own folder; repeating it
+    State and results live in the folder, by default a fresh one under the
+    shared folder. A later run with the same folder reads only new files and
+    goes on from the last state. A batch writes its own folder; repeating it
     after a failure overwrites the same one.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, "stream-counts")
+    base = folder or shared_dir(spark, "stream-counts")
     results = os.path.join(base, "results")
 
     def keep(result: DataFrame, batch_id: int) -> None:

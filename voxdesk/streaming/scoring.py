@@ -16,14 +16,16 @@ def run_scoring(
     severity_model: PipelineModel,
     responder: Model | None = None,
     keep: tuple[str, ...] = (),
+    folder: str | None = None,
 ) -> DataFrame:
     """Score every message there is and return the sink's rows.
 
+    A later run with the same folder scores only new files.
     Scoring keeps no state. The file sink's log makes each batch appear once,
     also when a batch is repeated after a failure.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, "stream-scores")
+    base = folder or shared_dir(spark, "stream-scores")
     sink = os.path.join(base, "scored")
     scored = score_messages(stream, intent_model, severity_model, responder, keep=keep)
     query = (
