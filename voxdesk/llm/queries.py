@@ -3,7 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxdesk.llm import decontamination, mixing, quality, sharding, simhash
+from voxdesk.llm import (
+    decontamination,
+    language,
+    licenses,
+    line_dedup,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    warc,
+)
 from voxdesk.llm.common import Scratch
 
 
@@ -19,6 +30,23 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document that a similar earlier line makes redundant."""
+    return line_dedup.line_counts(read(spark, folder, "documents"), Scratch(spark, "lines"))
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    bundles = warc.write_bundles(read(spark, folder, "pages"), Scratch(spark, "warc"))
+    return warc.read_bundles(bundles)
+
+
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence statements of every document."""
+    docs = read(spark, folder, "documents")
+    return licenses.summary(licenses.scan(docs, licenses.learn(docs)))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     scratch = Scratch(spark, "simhash")
@@ -38,6 +66,19 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; the models never see the held-out fold."""
+    docs = read(spark, folder, "documents")
+    models = language.learn(docs, Scratch(spark, "language"), "doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % language.FOLDS
+    return language.identify(docs, models).withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated 20-word windows."""
+    return substrings.without_repeats(read(spark, folder, "documents"), Scratch(spark, "substrings"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document, the shards' bytes near equal."""
     scratch = Scratch(spark, "sharding")
@@ -60,8 +101,13 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
+    "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
@@ -97,6 +143,78 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
+
+_SUBSTRINGS = f"""
+WITH doc AS (
+    SELECT doc_id, {_WORDS} AS w FROM documents
+), windows AS (
+    SELECT doc_id, k, w[k:k + 19] AS part
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM doc WHERE len(w) >= 20)
+), later AS (
+    SELECT doc_id, k FROM (
+        SELECT doc_id, k, row_number() OVER (PARTITION BY part ORDER BY doc_id, k) AS place FROM windows
+    ) WHERE place > 1
+), gone AS (
+    SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(k, k + 20)) AS p FROM later)
+), word AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS rest, count(*) AS n
+    FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+_BASE32 = " + ".join(f"{16 >> k} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
+
+_WARC = f"""
+WITH page AS (
+    SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+), digest AS (
+    SELECT payload, min(page_id) AS first, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits
+    FROM page GROUP BY payload
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32),
+           lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + {_BASE32} AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to, url AS target_uri, true AS payload_ok
+FROM page JOIN digest USING (payload)
+"""
+
+_LINES = """
+WITH line AS (
+    SELECT doc_id, i - 1 AS line_no, list_distinct(regexp_extract_all(
+        translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS w
+    FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+), class AS (
+    SELECT list_sort(w) AS w, len(w) AS n, min((doc_id, line_no)) AS first, row_number() OVER () AS class
+    FROM line WHERE len(w) >= 5 GROUP BY list_sort(w), len(w)
+), word AS (
+    SELECT class, n, first, unnest(w) AS word FROM class
+), linked AS (
+    SELECT b.class FROM word a JOIN word b USING (word)
+    WHERE a.first < b.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+    GROUP BY a.class, b.class, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+), gone AS (
+    SELECT doc_id, line_no FROM line JOIN class ON list_sort(line.w) = class.w
+    WHERE len(line.w) >= 5 AND ((doc_id, line_no) > first OR class IN (SELECT class FROM linked))
+), listed AS (
+    SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS names
+    FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(names, '') AS removed_lines
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op8_substring_dedup": _SUBSTRINGS,
     "op1_decontamination": _DECONTAMINATION,
+    "op2_line_dedup": _LINES,
+    "op3_warc": _WARC,
 }

@@ -43,7 +43,7 @@ def text_crc(text: Column) -> Column:
 
 
 def points(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """Weight, dimensions and tie-breakers of each row.
+    """Weight, dimensions, tie-breaker and root node of each row.
 
     The dimensions are the logarithm of the size, the bytes a character takes
     (which tells scripts apart) and a digest of the text; equal texts have equal
@@ -58,6 +58,7 @@ def points(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
         F.floor(size / chars * (1 << 26)).cast("bigint").alias("density"),
         text_crc(text).alias("digest"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 32)).alias("row_hash"),
+        F.lit(1).cast("bigint").alias("node"),
     ]
 
 
@@ -66,8 +67,7 @@ def _key(dimension: Column) -> Column:
 
 
 def place(rows: DataFrame, levels: list[list[Cut]]) -> DataFrame:
-    """Add `node`, the leaf each row reaches through the cuts of all levels."""
-    rows = rows.withColumn("node", F.lit(1).cast("bigint"))
+    """Turn `node`, 1 at the root, into the leaf each row reaches through the cuts of all levels."""
     spark = rows.sparkSession
     for cuts in levels:
         table = small_table(
@@ -185,7 +185,7 @@ def learn(rows: DataFrame, shards: int) -> tuple[list[list[Cut]], dict[int, int]
 
 def assign_points(table: DataFrame, shards: int) -> DataFrame:
     """Add `shard` to a stored table with the columns of points()."""
-    levels, names = learn(table.select("weight", *DIMENSIONS, "row_hash"), shards)
+    levels, names = learn(table.select("weight", *DIMENSIONS, "row_hash", "node"), shards)
     known = small_table(table.sparkSession, list(names.items()), "node bigint, shard int")
     return place(table, levels).join(F.broadcast(known), "node").drop("node")
 
