@@ -27,7 +27,7 @@ SPAN = 20
 PREFIX = 6
 #: Stretches of suffixes that a group should hold, and an anchor's stretches beyond which it is lengthened.
 GROUP_ROWS = 40_000
-HOT_ROWS = 10_000
+HOT_ROWS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = (1 << 63) - 1
 
@@ -183,22 +183,30 @@ def _words(packed: bytes) -> list[bytes]:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, hot, key, id, low, content) of each repeated stretch."""
+    """(anchor, hot, key, id, low, high, content) of each repeated stretch.
+
+    Of stretches with equal words in one batch only the first goes on. The
+    others come without content: each of their windows stands earlier.
+    """
     for batch in batches:
-        out = {n: [] for n in ("anchor", "hot", "key", "id", "low", "content")}
+        first: dict[tuple[int, bytes], tuple] = {}
+        out = []
         columns = (batch.column(n).to_pylist() for n in ("key", "id", "packed", "runs"))
         for key, doc, packed, runs in zip(*columns, strict=True):
             words = _words(packed)
             for run in runs:
-                out["anchor"].append(run["anchor"])
-                out["hot"].append(run["hot"])
-                out["key"].append(key)
-                out["id"].append(doc)
-                out["low"].append(run["low"])
-                out["content"].append(b" ".join(words[run["low"] : run["high"] + SPAN]))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                content = b" ".join(words[run["low"] : run["high"] + SPAN])
+                own, name = (doc, key, run["low"], run["high"], run["hot"]), (run["anchor"], content)
+                other = first.setdefault(name, own)
+                if own < other:
+                    first[name], own, other = own, other, own
+                if own > other:
+                    out.append((run["anchor"], own[4], own[1], own[0], own[2], own[3], None))
+        out += [(anchor, hot, key, doc, low, high, c) for (anchor, c), (doc, key, low, high, hot) in first.items()]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out)
+            [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)],
+            names=["anchor", "hot", "key", "id", "low", "high", "content"],
         )
 
 
@@ -255,9 +263,11 @@ def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     )
     documents = scratch.store(joined, "documents")
     contents = documents.where("runs IS NOT NULL").select("key", "id", "packed", "runs").mapInArrow(
-        _contents, "anchor bigint, hot boolean, key bigint, id bigint, low int, content binary"
+        _contents, "anchor bigint, hot boolean, key bigint, id bigint, low int, high int, content binary"
     )
-    stretches = scratch.store(contents, "stretches")
+    found = scratch.store(contents, "stretches")
+    copies = found.where("content IS NULL").select("key", "low", "high")
+    stretches = found.where("content IS NOT NULL").drop("high")
     groups = partitions_for(spark, stretches.count(), GROUP_ROWS)
     usual = (
         stretches.where("NOT hot").withColumn("bucket", F.pmod("anchor", F.lit(groups)))
@@ -269,7 +279,7 @@ def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     hot = windows.join(firsts, ["h1", "h2"]).where(place > F.col("first")).select(
         "key", F.col("start").alias("low"), F.col("start").alias("high")
     )
-    return documents.drop("runs"), usual.unionByName(hot)
+    return documents.drop("runs"), usual.unionByName(hot).unionByName(copies)
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
