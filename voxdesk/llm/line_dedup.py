@@ -6,29 +6,39 @@ such pairs are compared. Which of two words counts as rarer decides how many
 pairs are compared and never which pairs are found.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxdesk.llm.common import Scratch, ascii_lower
+from voxdesk.llm.common import Scratch
 
 #: Least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
 #: Lines of fewer distinct words are never removed.
 MIN_WORDS = 5
-BLANKS = " \t\n\x0b\f\r"
-#: Word counts are kept for so many classes of words.
+BLANKS = "\t\x0b\f\r"
+#: Word counts are kept for so many buckets of words, on a logarithmic scale of so many steps a doubling.
 BUCKETS = 65_536
-#: Classes with so many times the mean count hold common words, rarest first.
-COMMON = (16, 64, 256)
+STEPS = 4
 #: Lines whose place is sent to every task at once.
 BROADCAST_ROWS = 400_000
 _LAST = (1 << 63) - 1
 
 
+def _plain(text: Column) -> Column:
+    """Lower case, with spaces for other blanks but line ends."""
+    text = F.lower(text)
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
 def word_set(line: Column) -> Column:
-    """Hashes of a line's distinct words, lower-cased A-Z."""
-    words = F.split(F.btrim(ascii_lower(line), F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    """Hashes of a line's distinct lower-cased words."""
+    # Splitting at one character needs no regular expression.
+    words = F.array_distinct(F.transform(F.split(_plain(line), " "), lambda w: F.xxhash64(w)))
+    return F.array_remove(words, F.xxhash64(F.lit("")))
 
 
 def _lines(named: DataFrame) -> DataFrame:
@@ -42,35 +52,41 @@ def _bucket(word: Column) -> Column:
     return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def common_buckets(sets: DataFrame) -> list[list[int]]:
-    """Buckets of words by how common they are, one list for each factor of COMMON.
+def rarity(texts: DataFrame) -> bytes:
+    """For each bucket of words how common they are, a byte each.
 
-    Every word of every line is counted. BUCKETS rows at most reach the driver.
+    Every word of every text is counted. BUCKETS rows at most reach the driver,
+    and BUCKETS bytes go out to the tasks.
     """
-    words = sets.select(F.explode_outer("words").alias("word"))
-    counts = words.groupBy(_bucket(F.col("word")).alias("bucket")).count().collect()
-    mean = sum(r["count"] for r in counts) / BUCKETS
-    limits = [*(f * mean for f in COMMON), float("inf")]
-    return [
-        sorted(r["bucket"] for r in counts if low <= r["count"] < high)
-        for low, high in zip(limits, limits[1:], strict=False)
-    ]
+    text = F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" "))
+    words = texts.select(F.explode_outer(F.split(text, " ")).alias("word")).where("word != ''")
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().collect()
+    out = bytearray(BUCKETS)
+    for r in counts:
+        out[r["bucket"]] = min(127, int(STEPS * math.log2(r["count"] + 1)))
+    return bytes(out)
 
 
-def by_rarity(words: Column, common: list[list[int]]) -> Column:
+def by_rarity(words: Column, common: bytes) -> Column:
     """The words in order: those of rare buckets first, then by hash."""
 
     def key(word: Column) -> Column:
-        tier = F.lit(0)
-        for rank, buckets in enumerate(common, 1):
-            if buckets:
-                tier = F.when(_bucket(word).isin(buckets), rank).otherwise(tier)
-        low = word.bitwiseAND(F.lit((1 << 60) - 1))
-        return low.bitwiseOR(F.shiftleft(tier.cast("bigint"), 60))
+        step = F.ascii(F.substring(F.lit(common), _bucket(word) + 1, F.lit(1)).cast("string"))
+        low = word.bitwiseAND(F.lit((1 << 56) - 1))
+        return low.bitwiseOR(F.shiftleft(step.cast("bigint"), 56))
 
     return F.sort_array(F.transform(words, key))
 
 
+def signature(words: Column) -> Column:
+    """64 bits, each telling whether an odd number of the words fall on it.
+
+    Two sets' signatures differ in no more bits than the sets differ in words.
+    """
+    bit = lambda w: F.shiftleft(F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda sum_, w: sum_.bitwiseXOR(bit(w)))
+
+
 def _at_least(part: Column) -> Column:
     """The smallest whole number that is SIMILAR times part or more."""
     top, bottom = SIMILAR
@@ -95,8 +111,8 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str)
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"),
         F.col(id_col).alias("doc"), text.alias("text"),
     )
-    common = common_buckets(_lines(named).select(word_set(F.col("line")).alias("words")))
-    ranked = _lines(named).select("key", "id", "line_no", by_rarity(word_set(F.col("line")), common).alias("words"))
+    words = by_rarity(word_set(F.col("line")), rarity(named.select("text")))
+    ranked = _lines(named).select("key", "id", "line_no", words.alias("words"))
     n = F.size("words")
     # For candidates 32 bits of a word do; the verification compares all 64.
     prefix = F.transform(F.slice("words", 1, n - _at_least(n) + 1), lambda w: F.hash(w))
@@ -105,28 +121,36 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str)
             "key", "id", "line_no", n.alias("n"),
             F.when(n >= MIN_WORDS, F.xxhash64("words")).alias("h1"),
             F.when(n >= MIN_WORDS, F.xxhash64(F.lit(1), "words")).alias("h2"),
+            F.when(n >= MIN_WORDS, signature(F.col("words"))).alias("bits"),
             F.when(n >= MIN_WORDS, prefix).alias("prefix"),
         ), "lines",
     )
     classes = (
         lines.where("h1 IS NOT NULL").groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "key", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        .agg(F.min(F.struct("id", "key", "line_no")).alias("first"), F.first("n").alias("n"),
+             F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
         .withColumn("class", F.monotonically_increasing_id())
     )
     return named, lines, scratch.store(classes, "classes")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a prefix word and pass the length and position filters; a is no larger."""
-    words = classes.select("class", "n", F.posexplode("prefix").alias("place", "word"))
-    a = words.select("word", F.col("class").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    b = words.select("word", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    long_enough = F.col("na") >= _at_least(F.col("nb"))
-    # Shared words before this place lie in the shorter of what precedes it.
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    enough = most >= _shared_at_least(F.col("na"), F.col("nb"))
-    return a.join(b, "word").where(first & long_enough & enough).select("a", "b", "na", "nb").distinct()
+    """(a, b): classes that share a prefix word and pass the other filters; a is no larger.
+
+    The length filter leaves pairs whose sizes allow the similarity, the position
+    filter those whose words up to and behind the shared one do, and the
+    signatures those that may differ in few enough words.
+    """
+    words = classes.select("class", "n", "bits", F.posexplode("prefix").alias("place", "word"))
+    a = words.select("word", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "bits", "place")))
+    b = words.select("word", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "bits", "place")))
+    na, nb, pa, pb = (F.col(c) for c in ("n_a", "n_b", "place_a", "place_b"))
+    first = (na < nb) | ((na == nb) & (F.col("class_a") < F.col("class_b")))
+    least = _shared_at_least(na, nb)
+    position = F.least(pa, pb) + F.least(na - pa, nb - pb) >= least
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * least
+    pairs = a.join(b, "word").where(first & (na >= _at_least(nb)) & apart & position)
+    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
 def similar_classes(named: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:

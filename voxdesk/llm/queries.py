@@ -187,8 +187,7 @@ FROM page JOIN digest USING (payload)
 
 _LINES = """
 WITH line AS (
-    SELECT doc_id, i - 1 AS line_no, list_distinct(regexp_extract_all(
-        translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS w
+    SELECT doc_id, i - 1 AS line_no, list_distinct(regexp_extract_all(lower(l[i]), '[^\\x20\\x09-\\x0D]+')) AS w
     FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
           FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 ), class AS (
