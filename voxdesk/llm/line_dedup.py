@@ -83,7 +83,8 @@ def signature(words: Column) -> Column:
 
     Two sets' signatures differ in no more bits than the sets differ in words.
     """
-    bit = lambda w: F.shiftleft(F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
+    one = F.lit(1).cast("bigint")
+    bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda sum_, w: sum_.bitwiseXOR(bit(w)))
 
 
