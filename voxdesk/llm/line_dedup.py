@@ -138,19 +138,24 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str)
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b): classes that share a prefix word and pass the other filters; a is no larger.
 
-    The length filter leaves pairs whose sizes allow the similarity, the position
-    filter those whose words up to and behind the shared one do, and the
-    signatures those that may differ in few enough words.
+    The length filter leaves pairs whose sizes allow the similarity, and the
+    signatures those that may differ in few enough words. The position filter
+    takes the shared word for the first one: enough words must stand behind it in
+    both sets. A pair whose words before it are equal was found at those.
     """
-    words = classes.select("class", "n", "bits", F.posexplode("prefix").alias("place", "word"))
-    a = words.select("word", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "bits", "place")))
-    b = words.select("word", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "bits", "place")))
+    columns = ("class", "n", "bits", "place", "before")
+    words = classes.select("class", "n", "bits", "prefix", F.posexplode("prefix").alias("place", "word")).withColumn(
+        "before", F.get("prefix", F.col("place") - 1)
+    )
+    a = words.select("word", *(F.col(c).alias(f"{c}_a") for c in columns))
+    b = words.select("word", *(F.col(c).alias(f"{c}_b") for c in columns))
     na, nb, pa, pb = (F.col(c) for c in ("n_a", "n_b", "place_a", "place_b"))
     first = (na < nb) | ((na == nb) & (F.col("class_a") < F.col("class_b")))
     least = _shared_at_least(na, nb)
-    position = F.least(pa, pb) + F.least(na - pa, nb - pb) >= least
+    position = F.least(na - pa, nb - pb) >= least
+    new = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
     apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * least
-    pairs = a.join(b, "word").where(first & (na >= _at_least(nb)) & apart & position)
+    pairs = a.join(b, "word").where(first & (na >= _at_least(nb)) & apart & position & new)
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
