@@ -23,7 +23,7 @@ from voxdesk.llm.common import Scratch, as_bytes, fresh, word_ids
 
 WINDOW = 10
 #: Text bytes after which a segment is closed; a longer document is a segment of its own.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Test words sent to the executors at once.
 CHUNK_WORDS = 1 << 20
 
