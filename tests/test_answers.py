@@ -176,3 +176,36 @@ def test_empty_fallback(spark):
     assert len(rows) == 2
     assert rows[0]["predicted_intent"] == "other" and rows[0]["predicted_severity"] == 1
     assert rows[0]["reply"] == V.EMPTY_REPLY and rows[0]["explanation"] == V.EMPTY_EXPLANATION
+
+
+def test_ask_keeps_large_ids_beside_nulls(spark):
+    ids = [927384650192837465, None, 9007199254740993]
+    seen = spark.createDataFrame([(i, f"p{k}") for k, i in enumerate(ids)], "id long, prompt string").coalesce(1)
+    rows = asking.ask(seen, asking.per_row(str.upper)).orderBy("prompt").collect()
+    assert [r["id"] for r in rows] == ids
+    assert [r["answer"] for r in rows] == ["P0", "P1", "P2"]
+
+
+def test_ask_stops_after_a_quota_error(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def answer_one(text):
+        calls.add(1)
+        if text == "p2":
+            raise RuntimeError("quota exceeded")
+        return text
+
+    seen = spark.createDataFrame([(k, f"p{k}") for k in range(9)], "id long, prompt string").coalesce(1)
+    model = asking.per_row(answer_one)
+    rows = asking.ask(seen, model, stop_on_quota=True, order=F.col("id")).orderBy("id").collect()
+    assert [r["status"] for r in rows] == ["ok", "ok"] + ["quota"] * 7
+    assert calls.value == 3
+
+
+def test_labels_without_a_score_are_no_candidates(spark):
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    scores = spark.createDataFrame(
+        [(1, "a", None), (1, "b", 0.9), (2, "a", None)], "id long, label string, score double"
+    )
+    rows = asking.top_label(ids, scores, "id", ["a", "b"]).orderBy("id").collect()
+    assert [r["intent"] for r in rows] == ["b", "other"]

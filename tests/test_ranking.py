@@ -196,3 +196,20 @@ def test_small_side_over_the_limit_is_not_broadcast(spark):
         plan = joined._jdf.queryExecution().optimizedPlan().toString()
         assert ("strategy=broadcast" in plan) is hinted
         assert joined.count() == 100
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1, 5, 10**6])
+def test_odd_scores_count_alike_at_every_size(spark, rows_per_bucket):
+    inf, nan = float("inf"), float("nan")
+    scored = [(0.1, False), (0.4, False), (0.4, True), (0.8, True), (inf, True), (-inf, False), (-inf, True)]
+    odd = [(None, True), (nan, False)]
+    df = spark.createDataFrame(scored + odd, "score double, positive boolean")
+    pairs = [(p, n) for p, a in scored if a for n, b in scored if not b]
+    want = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p, n in pairs) / len(pairs)
+    assert roc.roc_auc(df, [], rows_per_bucket).first()["auc"] == pytest.approx(want, abs=1e-12)
+
+
+def test_folds_of_text_ids(spark):
+    df = spark.createDataFrame([(f"id{i:03d}", "ab"[i % 2]) for i in range(30)], "doc_id string, y string")
+    rows = splits.assign_folds(df, "y", 3).collect()
+    assert sorted(r["fold"] for r in rows) == [0] * 10 + [1] * 10 + [2] * 10

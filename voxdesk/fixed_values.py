@@ -78,6 +78,7 @@ OFFLINE_INTENTS = [
 ]
 OFFLINE_SEVERITIES = ["1", "2", "3"]
 DEFAULT_INTENT = "other"
+NOT_ASKED = "not asked after a quota error"
 ONLINE_DEFAULT_SEVERITY = 1
 ONLINE_MAX_SEVERITY = 3
 OFFLINE_DEFAULT_SEVERITY = 2

@@ -69,6 +69,11 @@ def is_quota_error(c: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def speaks_of_quota(error: str) -> bool:
+    """is_quota_error for one message."""
+    return any(marker in error.lower() for marker in V.QUOTA_MARKERS)
+
+
 def _fallback(status: Column, generated: Column, quota: str, error: str) -> Column:
     return (
         F.when(status == "ok", strip(generated))

@@ -9,12 +9,19 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxdesk import fixed_values as V
-from voxdesk.functions.responses import answer_lines, is_quota_error, label_from_lines, sample_lines
+from voxdesk.functions.responses import (
+    answer_lines,
+    is_quota_error,
+    label_from_lines,
+    sample_lines,
+    speaks_of_quota,
+)
 from voxdesk.session import ship_package
 
 Model = Callable[[pd.DataFrame], Iterable[tuple[str | None, str | None]]]
@@ -46,46 +53,71 @@ def keyword_model(
 ) -> Model:
     """A deterministic labeler: the first keyword found in the text decides."""
 
+    def first_found(texts: pd.Series, listed: list[tuple], default) -> pd.Series:
+        out = pd.Series(default, index=texts.index, dtype=object)
+        for word, value in reversed(listed):
+            out[texts.str.contains(word, regex=False)] = value
+        return out
+
     def answer(batch: pd.DataFrame):
-        for value in batch[column].str.lower():
-            intent = next((i for word, i in intents if word in value), V.DEFAULT_INTENT)
-            severity = next(
-                (s for word, s in severities if word in value), V.ONLINE_DEFAULT_SEVERITY
-            )
-            yield f"Intent: {intent}\nSeverity: {severity}", None
+        texts = batch[column].str.lower()
+        intent = first_found(texts, intents, V.DEFAULT_INTENT)
+        severity = first_found(texts, severities, V.ONLINE_DEFAULT_SEVERITY)
+        answers = "Intent: " + intent.astype(str) + "\nSeverity: " + severity.astype(str)
+        return zip(answers, [None] * len(answers), strict=True)
 
     return answer
 
 
+def _answers(model: Model, batch: pd.DataFrame, stop: bool) -> tuple[list, bool]:
+    """(pairs, whether a quota error ended them); rows behind that error are not asked."""
+    pairs = []
+    for pair in model(batch):
+        pairs.append(pair)
+        if stop and pair[1] is not None and speaks_of_quota(pair[1]):
+            return pairs + [(None, V.NOT_ASKED)] * (len(batch) - len(pairs)), True
+    return pairs, False
+
+
 def ask(
-    df: DataFrame, model: Model, needs: str = "prompt", parallelism: int | None = None
+    df: DataFrame, model: Model, needs: str = "prompt", parallelism: int | None = None,
+    stop_on_quota: bool = False, order: Column | None = None,
 ) -> DataFrame:
     """Add answer, error and status ('ok', 'quota', 'error').
 
     Rows whose needed column is null are passed on unasked with a null status.
-    parallelism bounds how many callers run at once.
+    parallelism bounds how many callers run at once. With stop_on_quota a caller
+    makes no further call after its first quota error, provided the model yields
+    its answers one by one; its later rows get the status 'quota'. order sorts
+    each caller's rows, so that all rows it leaves out stand behind the error.
+
+    The model sees a pandas batch in which whole numbers stay whole numbers even
+    beside nulls; the rows themselves never pass through pandas.
     """
     ship_package(df.sparkSession)
     schema = T.StructType(
         [*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stopped = False
         for batch in batches:
-            asked = batch[needs].notna()
-            pairs = list(model(batch[asked]))
-            out = batch.assign(answer=None, error=None)
-            out.loc[asked, "answer"] = pd.Series(
-                [a for a, _ in pairs], index=batch.index[asked], dtype=object
-            )
-            out.loc[asked, "error"] = pd.Series(
-                [e for _, e in pairs], index=batch.index[asked], dtype=object
-            )
-            yield out
+            asked = batch.column(needs).is_valid()
+            rows = batch.filter(asked).to_pandas(integer_object_nulls=True)
+            if stopped:
+                pairs = [(None, V.NOT_ASKED)] * len(rows)
+            else:
+                pairs, stopped = _answers(model, rows, stop_on_quota)
+            found = iter(pairs)
+            listed = [next(found) if a else (None, None) for a in asked.to_pylist()]
+            columns = [pa.array([pair[k] for pair in listed], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
     spread = df.repartition(parallelism) if parallelism else df
+    if order is not None:
+        spread = spread.sortWithinPartitions(order)
     status = F.when(F.col(needs).isNotNull(), answer_status(F.col("error")))
-    return spread.mapInPandas(run, schema).withColumn("status", status)
+    return spread.mapInArrow(run, schema).withColumn("status", status)
 
 
 def answer_status(error: Column) -> Column:
@@ -120,10 +152,10 @@ def explode_samples(df: DataFrame, answer: str, n: Column) -> DataFrame:
 def _best_labels(scores: DataFrame, id_col: str, allowed: list[str]) -> DataFrame:
     """One row (id, best) per id.
 
-    Scores first shrink to one per (id, label), so a hot id is combined before
-    it meets in one task.
+    Labels without a score are no candidates. Scores first shrink to one per
+    (id, label), so a hot id is combined before it meets in one task.
     """
-    per_label = scores.groupBy(id_col, "label").agg(F.max("score").alias("score"))
+    per_label = scores.where(F.col("score").isNotNull()).groupBy(id_col, "label").agg(F.max("score").alias("score"))
     place = F.array_position(F.array(*[F.lit(a) for a in allowed]), F.col("label"))
     place = F.when(place == 0, len(allowed) + 1).otherwise(place)
     lowest = F.min(F.struct((-F.col("score")).alias("s"), place.alias("p"), F.col("label")))

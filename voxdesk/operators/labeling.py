@@ -28,8 +28,9 @@ def label_messages(
     """Sample messages, have them labelled, and keep what can be used.
 
     Texts that existing labels hold are left out first. on_error 'drop' removes
-    failed rows and everything after the first quota error in sample order;
-    'default' gives failed rows the offline fallback labels instead.
+    failed rows and everything after the first quota error in sample order, and
+    a caller that meets one makes no further call; 'default' takes only labels of
+    the offline sets and gives all other rows the offline fallback labels.
     """
     ensure_checkpoint_dir(messages.sparkSession)
     fresh = messages if existing is None else unlabelled(messages, existing, id_col=id_col)
@@ -41,18 +42,23 @@ def label_messages(
     prompted = sample.withColumn("prompt", label_prompt(F.col("text")))
     # Answers are written once: a lost executor must not repeat paid calls that
     # finished, and the two uses below must see the same answers.
-    answered = ask(prompted, labeler, parallelism=parallelism).checkpoint()
+    place = hash_key(seed, id_col)
+    answered = ask(
+        prompted, labeler, parallelism=parallelism, stop_on_quota=on_error == "drop", order=place
+    ).checkpoint()
     parsed = parse_labels(answered)
     if on_error == "default":
+        intent, severity = F.col("intent"), F.col("severity")
+        scale = [int(s) for s in V.OFFLINE_SEVERITIES]
         return parsed.select(
             id_col,
             "text",
-            F.coalesce("intent", F.lit(V.DEFAULT_INTENT)).alias("intent"),
-            F.coalesce("severity", F.lit(V.OFFLINE_DEFAULT_SEVERITY)).alias("severity"),
+            F.when(intent.isin(V.OFFLINE_INTENTS), intent).otherwise(V.DEFAULT_INTENT).alias("intent"),
+            F.when(severity.isin(scale), severity).otherwise(V.OFFLINE_DEFAULT_SEVERITY).alias("severity"),
         )
     if on_error != "drop":
         raise ValueError(f"on_error must be 'drop' or 'default', not {on_error!r}")
-    before = cut_at_first_quota(parsed, hash_key(seed, id_col))
+    before = cut_at_first_quota(parsed, place)
     return before.where((F.col("status") == "ok") & F.col("intent").isNotNull()).select(
         id_col, "text", "intent", "severity"
     )
@@ -78,7 +84,9 @@ def augment(
         "needed",
         augmentation_prompt(F.col("intent"), F.col("needed")).alias("prompt"),
     )
-    generated = ask(prompts, generator, parallelism=parallelism).checkpoint()
+    generated = ask(
+        prompts, generator, parallelism=parallelism, stop_on_quota=True, order=F.col("turn")
+    ).checkpoint()
     kept = cut_at_first_quota(generated, F.col("turn")).where(F.col("status") == "ok")
     samples = (
         explode_samples(kept, "answer", F.col("needed"))
@@ -86,8 +94,9 @@ def augment(
         .select("turn", "pos", F.col("sample").alias("text"))
         .withColumn("prompt", label_prompt(F.col("text")))
     )
-    answered = ask(samples, labeler, parallelism=parallelism).checkpoint()
-    before = cut_at_first_quota(answered, F.struct("turn", "pos"))
+    place = F.struct("turn", "pos")
+    answered = ask(samples, labeler, parallelism=parallelism, stop_on_quota=True, order=place).checkpoint()
+    before = cut_at_first_quota(answered, place)
     usable = (
         parse_labels(before.where(F.col("status") == "ok"))
         .where(F.col("intent").isNotNull())

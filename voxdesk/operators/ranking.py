@@ -16,7 +16,6 @@ from voxdesk.session import ensure_checkpoint_dir
 
 HASH_BUCKET_DIGITS = 4  # 65,536 buckets of the leading hex digits
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1_000
 
 
 def hash_key(seed, *ids: str) -> Column:
@@ -32,22 +31,30 @@ def hash_bucket(key: Column) -> Column:
 def value_buckets(
     df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Add an order-preserving bucket of a numeric column with even row counts.
+    """Add an order-preserving bucket of a number or string column with even row counts.
 
-    The split points come from approximate quantiles. They are literals in the
-    plan, so a retried task assigns the same buckets.
+    Rows whose value is null or NaN have no place in an order and are left out,
+    whatever the number of rows; infinite values stand at the ends. The split
+    points come from approximate quantiles, strings counting by their first six
+    bytes. They are literals in the plan, so a retried task assigns the same
+    buckets. The number of buckets grows with the rows.
     """
-    probabilities = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = df.agg(
-        F.count("*").alias("n"),
-        F.percentile_approx(F.col(column).cast("double"), probabilities, 10 * MAX_BUCKETS).alias("q"),
-    ).first()
-    wanted = min(MAX_BUCKETS, math.ceil(row["n"] / rows_per_bucket))
+    text = dict(df.dtypes)[column] == "string"
+    if text:
+        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), F.lit(1), F.lit(6))), 12, "0")
+        value = F.conv(head, 16, 10).cast("double")
+    else:
+        value = F.col(column).cast("double")
+    df = df.where(F.col(column).isNotNull() & ~F.isnan(value))
+    wanted = math.ceil(df.count() / rows_per_bucket)
     if wanted <= 1:
         return df.withColumn("bucket", F.lit(0))
-    picked = {row["q"][i * MAX_BUCKETS // wanted - 1] for i in range(1, wanted)}
-    splits = [-math.inf, *sorted(picked), math.inf]
-    numeric = df.withColumn("__value", F.col(column).cast("double"))
+    finite = df.where(F.abs(value) < math.inf)
+    quantiles = finite.agg(
+        F.percentile_approx(value, [i / wanted for i in range(1, wanted)], 10 * wanted)
+    ).first()[0]
+    splits = [-math.inf, *sorted(set(quantiles or [])), math.inf]
+    numeric = df.withColumn("__value", value)
     bucketed = Bucketizer(splits=splits, inputCol="__value", outputCol="bucket")
     return bucketed.transform(numeric).drop("__value").withColumn(
         "bucket", F.col("bucket").cast("int")

@@ -10,6 +10,7 @@ from voxdesk.functions.responses import explanation_or_fallback, reply_or_fallba
 from voxdesk.functions.text import clean_text, is_blank
 from voxdesk.operators.asking import Model, ask
 from voxdesk.operators.classifiers import predict
+from voxdesk.session import ensure_checkpoint_dir
 
 
 def empty_fallback(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -65,6 +66,12 @@ def _attach(rows, column, model, prompt, finish, constant, parallelism) -> DataF
     if model is None:
         return rows.withColumn(column, F.when(empty, F.lit(constant)))
     filled = prompt(F.col("text"), F.col("predicted_intent"), F.col("predicted_severity"))
-    asked = ask(rows.withColumn("prompt", F.when(~empty, filled)), model, parallelism=parallelism)
+    asked = ask(
+        rows.withColumn("prompt", F.when(~empty, filled)), model, parallelism=parallelism, stop_on_quota=True
+    )
+    if not rows.isStreaming:
+        # Answers are written once, so that reading the result again repeats no call.
+        ensure_checkpoint_dir(rows.sparkSession)
+        asked = asked.checkpoint()
     answer = F.when(empty, F.lit(constant)).otherwise(finish(F.col("status"), F.col("answer")))
     return asked.withColumn(column, answer).drop("prompt", "answer", "error", "status")

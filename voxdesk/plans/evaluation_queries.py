@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxdesk.functions.decisions import above_threshold, argmax
 from voxdesk.operators import comparison, evaluation, joins, ratings, roc
 from voxdesk.plans import sql
+from voxdesk.plans.views import class_sums
 from voxdesk.plans.views import PRIORITIES
 
 _LISTED = ["5-LOW", "1-URGENT", "6-UNSEEN"]
@@ -58,12 +59,11 @@ def _two_models(t):
 
 
 def _decisions(t):
-    """Class of the greatest of the first ten components, and the sign of the first."""
-    scores = F.slice("embedding", 1, 10)
-    return t.read("embeddings").select(
+    """Class of the greatest class sum, and the sign of the first."""
+    return t.read("embeddings").select("vec_id", class_sums(F.col("embedding")).alias("sums")).select(
         "vec_id",
-        argmax(scores).alias("predicted"),
-        above_threshold(F.get("embedding", 0).cast("double"), 0.0).alias("decision"),
+        argmax(F.col("sums")).alias("predicted"),
+        above_threshold(F.get("sums", F.lit(0)), 0.0).alias("decision"),
     )
 
 
@@ -202,9 +202,9 @@ _OVR = f"{sql.SCORES}, positives AS (SELECT class, score, class = truth AS posit
 _CLASS_COLUMNS = "round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1"
 
 ORACLE = {
-    "class_decisions": """SELECT vec_id,
-  (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INTEGER AS predicted,
-  CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS decision FROM embeddings""",
+    "class_decisions": f"""SELECT vec_id,
+  (list_position(sums, list_max(sums)) - 1)::INTEGER AS predicted,
+  CASE WHEN sums[1] > 0 THEN 1 ELSE 0 END AS decision FROM (SELECT vec_id, {sql.CLASS_SUMS} AS sums FROM embeddings)""",
     "paired_predictions": f"WITH {sql.PAIRS} SELECT id, y_true, y_pred FROM pairs",
     "label_universe": f"""WITH {sql.PAIRS}
 SELECT y_true AS label FROM pairs UNION SELECT y_pred FROM pairs""",

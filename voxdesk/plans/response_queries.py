@@ -36,6 +36,18 @@ def _failing_labeler():
     return asking.per_row(answer_one, column="text")
 
 
+def _offline_labeler():
+    """Answers by the text's length, some outside the offline sets; marked texts fail."""
+
+    def answer_one(text):
+        if "#" in text or "@" in text:
+            raise RuntimeError("Quota exceeded, try again later")
+        intents = [*V.OFFLINE_INTENTS, "seen"]
+        return f"{intents[len(text) % len(intents)]}\n{len(text) % 5}"
+
+    return asking.per_row(answer_one, column="text")
+
+
 def _list_generator(batch):
     """As many numbered lines as asked for, naming the class."""
     for intent, needed in zip(batch["wanted"], batch["needed"]):
@@ -107,7 +119,7 @@ QUERIES = {
         id_col="doc_id",
     ),
     "label_job_offline": lambda t: labeling.label_messages(
-        t.documents(), _failing_labeler(), n=V.OFFLINE_SAMPLE, on_error="default", id_col="doc_id"
+        t.documents(), _offline_labeler(), n=V.OFFLINE_SAMPLE, on_error="default", id_col="doc_id"
     ),
     "label_job_quota": lambda t: labeling.label_messages(
         t.documents(), _failing_labeler(), n=V.OFFLINE_SAMPLE, id_col="doc_id"
@@ -211,8 +223,12 @@ FROM customer LEFT JOIN best ON o_custkey = c_custkey AND place = 1""",
 sampled AS (SELECT * FROM fresh ORDER BY md5('42|' || doc_id), doc_id LIMIT 5000)
 SELECT doc_id, text, {_INTENT_SQL} AS intent, {_SEVERITY_SQL} AS severity FROM sampled""",
     "label_job_offline": """SELECT doc_id, text,
-  CASE WHEN contains(text, '#') OR contains(text, '@') THEN 'other' ELSE 'seen' END AS intent,
-  CASE WHEN contains(text, '#') OR contains(text, '@') THEN 2 ELSE length(text) % 4 END::INTEGER AS severity
+  CASE WHEN contains(text, '#') OR contains(text, '@') THEN 'other'
+    ELSE CASE length(text) % 8 WHEN 0 THEN 'technical_issue' WHEN 1 THEN 'account_issue'
+      WHEN 2 THEN 'billing_issue' WHEN 3 THEN 'shipping_issue' WHEN 4 THEN 'general_query'
+      WHEN 5 THEN 'feedback' ELSE 'other' END END AS intent,
+  CASE WHEN contains(text, '#') OR contains(text, '@') OR length(text) % 5 = 0 THEN 2
+    ELSE least(length(text) % 5, 3) END::INTEGER AS severity
 FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 5000""",
     "label_job_quota": """WITH sampled AS (
   SELECT doc_id, text, md5('42|' || doc_id) AS place FROM documents ORDER BY place LIMIT 5000)

@@ -62,10 +62,12 @@ MESSAGES = """messages AS (
 MESSAGES_WITH_NULLS = MESSAGES + """, nulled AS (
   SELECT message_id,
     CASE WHEN author_id <> 'system' THEN author_id END AS author_id,
-    CASE WHEN author_id <> 'system' THEN inbound END AS inbound,
-    CASE WHEN length(text) < 60 THEN ' ' || chr(9) || chr(160) WHEN length(text) < 100 THEN ''
-         WHEN length(text) <= 300 THEN text END AS text
-  FROM messages)"""
+    CASE WHEN author_id <> 'system' THEN inbound END AS inbound, text
+  FROM messages
+  UNION ALL
+  SELECT -3 * message_id - pos - 1, author_id, inbound, blank
+  FROM messages, (VALUES (0, NULL), (1, ''), (2, ' ' || chr(9) || chr(160))) AS b(pos, blank)
+  WHERE message_id % 1000 = 0)"""
 
 VOLUME = """volume AS (
   SELECT o_orderkey AS message_id, o_custkey::VARCHAR AS author_id,
@@ -108,9 +110,12 @@ PAIRS_BINARY = """pairs_binary AS (
   SELECT doc_id AS id, quality AS y_true, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS y_pred
   FROM documents JOIN labels USING (doc_id))"""
 
+CLASS_SUMS = """list_transform(range(10), lambda k:
+    list_sum(list_transform(range(k + 1, len(embedding) + 1, 10), lambda i: embedding[i]::DOUBLE)))"""
+
 SCORES = """scores AS (
-  SELECT vec_id AS id, label AS truth, (k - 1)::INTEGER AS class, embedding[k]::DOUBLE AS score
-  FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) AS k FROM embeddings))"""
+  SELECT vec_id AS id, label AS truth, k::INTEGER AS class, sums[k + 1] AS score
+  FROM (SELECT *, unnest(range(10)) AS k FROM (SELECT *, """ + CLASS_SUMS + """ AS sums FROM embeddings)))"""
 
 SCORES_BINARY = """scores_binary AS (
   SELECT n_chars::DOUBLE AS score, quality = 1 AS positive

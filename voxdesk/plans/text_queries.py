@@ -78,14 +78,18 @@ def _created_at(t):
 
 
 def _raw_labels(t):
-    """Label rows with gaps and padded labels: unrated documents have no severity."""
-    rated = t.read("documents").join(t.read("labels"), "doc_id", "left")
-    return rated.select(
-        "doc_id",
-        F.when(F.col("n_chars") < 60, " \t").otherwise(F.col("text")).alias("text"),
-        F.concat(F.lit("\t "), F.col("lang"), F.lit(" \n")).alias("intent"),
-        (2 * F.col("toxic") + F.col("quality")).alias("severity"),
+    """Label rows with gaps and padded labels.
+
+    Unrated documents have no severity; each rating adds a row with a blank text.
+    """
+    intent = F.concat(F.lit("\t "), F.col("lang"), F.lit(" \n")).alias("intent")
+    severity = (2 * F.col("toxic") + F.col("quality")).alias("severity")
+    documents = t.read("documents")
+    whole = documents.join(t.read("labels"), "doc_id", "left").select("doc_id", "text", intent, severity)
+    blank = t.read("labels").join(documents, "doc_id").select(
+        (-F.col("doc_id") - 1).alias("doc_id"), F.lit(" \t").alias("text"), intent, severity
     )
+    return whole.unionByName(blank)
 
 
 ORACLE |= {
@@ -112,9 +116,11 @@ FROM parsed""",
   coalesce(array_to_string({sql.sequence_words('text')}, ' '), '') AS tokens FROM documents""",
     "cleaned_labeled": f"WITH {sql.CLEAN_LABELED} SELECT doc_id, text, intent, severity FROM kept",
     "labels_clean": f"""WITH raw AS (
-  SELECT doc_id, CASE WHEN n_chars < 60 THEN ' ' || chr(9) ELSE text END AS text,
-    chr(9) || ' ' || lang || ' ' || chr(10) AS intent, 2 * toxic + quality AS severity
-  FROM documents LEFT JOIN labels USING (doc_id))
+  SELECT doc_id, text, chr(9) || ' ' || lang || ' ' || chr(10) AS intent, 2 * toxic + quality AS severity
+  FROM documents LEFT JOIN labels USING (doc_id)
+  UNION ALL
+  SELECT -doc_id - 1, ' ' || chr(9), chr(9) || ' ' || lang || ' ' || chr(10), 2 * toxic + quality
+  FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, text, {sql.stripped('intent')} AS intent, {sql.stripped('severity::VARCHAR')} AS severity
 FROM raw
 WHERE text IS NOT NULL AND intent IS NOT NULL AND severity IS NOT NULL AND {sql.has_text('text')}""",

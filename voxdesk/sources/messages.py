@@ -10,7 +10,8 @@ from voxdesk.operators.filters import inbound_only, non_blank, require_rows, tru
 from voxdesk.schemas import RAW_MESSAGES
 
 # A quoted text may hold line breaks and doubled quotes.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# A file of a folder whose header differs from the first one's raises.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
 
 
 def _read(spark: SparkSession, path: str, format: str) -> DataFrame:
