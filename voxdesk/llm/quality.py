@@ -29,8 +29,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 TREES = 128
 TREE_ROWS = 256
+#: Share of bad labelled rows in the sample that the forest is grown on.
+BAD = 0.03
 #: Share of clean labelled rows that the threshold may reject.
-MAX_CLEAN_LOSS = 0.002
+MAX_CLEAN_LOSS = 0.004
 BINS = 10_000
 SEED = 6
 
@@ -160,25 +162,32 @@ def grow_forest(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS
     return Forest(feature, cut, path, depth, average_path(size))
 
 
+def _drawn(rows: DataFrame, wanted: float) -> pd.DataFrame:
+    """About so many rows' statistics, drawn by a hash of id and statistics out of all rows."""
+    share = min(1.0, wanted / max(rows.count(), 1))
+    drawn = F.pmod(F.xxhash64("id", "stats"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return rows.where(drawn).select("id", "stats.*").toPandas().sort_values(["id", *FIELDS])
+
+
 def fit_forest(rated: DataFrame, labels: DataFrame, label_col: str = "quality") -> Forest:
-    """Grow the forest on labelled clean rows.
+    """Grow the forest on labelled rows that pass the base rules.
 
     rated has `id` and `stats`; labels has `id` and the label (1: clean). The
-    sample is bounded: about TREES * TREE_ROWS rows, drawn by a hash of the id
-    out of all labelled clean rows that pass the base rules. Without any such
-    row it is drawn out of all rows that pass.
+    sample is bounded: about TREES * TREE_ROWS clean rows, and bad ones so many
+    that they make up a share of BAD. A few bad rows in each tree widen its
+    ranges, so that splits fall between the two kinds. Without clean labelled
+    rows the sample is drawn out of all rows that pass.
     """
     passed = rated.where(~base_failed(F.col("stats")))
-    clean = passed.join(labels.where(F.col(label_col) == 1).select("id").distinct(), "id", "left_semi")
-    source, rows = clean, clean.count()
-    if not rows:
-        source, rows = passed, passed.count()
-    share = min(1.0, TREES * TREE_ROWS / max(rows, 1))
-    drawn = F.pmod(F.xxhash64("id", "stats"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = source.where(drawn).select("id", "stats.*").toPandas().sort_values(["id", *FIELDS])
-    totals = source.agg(*(F.sum(f"stats.{f}").cast("double") for f in ("n_words", *RATED))).first()
+    labelled = lambda k: labels.where(F.col(label_col) == k).select("id").distinct()
+    clean = passed.join(labelled(1), "id", "left_semi")
+    sample = _drawn(clean, TREES * TREE_ROWS)
+    if not len(sample):
+        clean, sample = passed, _drawn(passed, TREES * TREE_ROWS)
+    bad = _drawn(passed.join(labelled(0), "id", "left_semi"), BAD * len(sample))
+    totals = clean.agg(*(F.sum(f"stats.{f}").cast("double") for f in ("n_words", *RATED))).first()
     means = np.array([t or 0.0 for t in totals[1:]]) / max(totals[0] or 0.0, 1.0)
-    forest = grow_forest(features(sample, means))
+    forest = grow_forest(features(pd.concat([sample, bad]), means))
     forest.means = means
     return forest
 
