@@ -155,7 +155,9 @@ def fit(samples: dict[str, dict]) -> Models:
     """
     languages = sorted(samples)
     n = len(languages)
-    alphabet = len(np.unique(np.concatenate([samples[x][1][0] for x in languages]))) + 1 if n else 1
+    if not n:
+        return Models([], [], [], [], [], np.empty(0))
+    alphabet = len(np.unique(np.concatenate([samples[x][1][0] for x in languages]))) + 1
     floor = np.full(n, -math.log(alphabet))
     grams, logs = [np.empty(0, np.uint64)], [np.empty((0, n))]
     contexts, backs = [np.empty(0, np.uint64)], [np.empty((0, n))]
@@ -249,7 +251,8 @@ def learn(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, lang_co
             own = own[np.argsort(columns[0][own])]
             samples[lang][order] = (*(c[own] for c in columns), counts[own])
     models = fit(samples)
-    models.limits = _limits(drawn.where("judge"), models)
+    if models.languages:
+        models.limits = _limits(drawn.where("judge"), models)
     return models
 
 
