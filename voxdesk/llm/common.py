@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from voxdesk.session import shared_dir, ship_package
 
+#: Rows of a few numbers each that may be sent to every task at once.
+BROADCAST_ROWS = 500_000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,6 +55,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a few short columns, marked for broadcast if it has no more rows than that."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxdesk.llm.common import Scratch, fresh, small_table
+from voxdesk.llm.common import Scratch, fresh, if_small, small_table
 
 BINS = 2_048
 #: A cut is exact enough when the bin that holds it weighs this share of its node.
@@ -195,12 +195,13 @@ def with_slots(rows: DataFrame, shard: str, row: str, slot: str) -> DataFrame:
 
     `row` is a stored monotonically_increasing_id: its upper bits are the task
     that wrote the row, so rows are numbered per (shard, task) and no task gets
-    a whole shard.
+    a whole shard. What each task starts from is a table of tasks times shards,
+    broadcast only if it is small.
     """
     task = F.shiftright(F.col(row), 33)
     sizes = rows.groupBy(F.col(shard).alias("s"), task.alias("t")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("s").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = if_small(sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
     own = Window.partitionBy(shard, task).orderBy(row)
     local = rows.withColumn(slot, F.row_number().over(own) - 1)
     joined = local.join(starts, (F.col(shard) == F.col("s")) & (task == F.col("t")))
