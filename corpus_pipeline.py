@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxdesk.llm import decontamination, mixing, quality, sharding, simhash
-from voxdesk.llm.common import Scratch, fresh
+from voxdesk.llm.common import Scratch, fresh, if_small
 
 SHARDS = 8
 
@@ -33,8 +33,10 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         numbered.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row).alias("key"), "text"),
         scratch, "key",
     )
-    kept = found.where("key = component_id").select(F.col(f"key.{row}").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    dropped = found.where(F.col(f"key.{row}") != F.col(f"component_id.{row}")).select(F.col(f"key.{row}").alias(row))
+    # Fewer rows go than stay; broadcast while they are few, the text is not shuffled.
+    dropped = if_small(scratch.store(dropped, "dropped"))
+    return numbered.join(dropped, row, "left_anti").drop(row)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
