@@ -24,6 +24,7 @@ from voxdesk.llm.common import Scratch, as_bytes, fresh, word_ids
 WINDOW = 10
 #: Text bytes after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_BYTES = 2 << 20
+SLICE_ROWS = 64
 #: Test words sent to the executors at once.
 CHUNK_WORDS = 1 << 20
 
@@ -113,8 +114,10 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, made = [], [], 0, 0
         task = TaskContext.get().partitionId()
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+        # A few rows at a time, so that a batch's texts are not all held twice.
+        pieces = (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+        for piece in pieces:
+            for key, text in zip(piece.column(0).to_pylist(), as_bytes(piece.column(1)), strict=True):
                 ids.append(key)
                 texts.append(text)
                 size += len(text or b"") + 1
