@@ -185,7 +185,8 @@ def pieces(placed: DataFrame, chosen: DataFrame, block: int = BLOCK_WORDS) -> Da
     )
     first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     last = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    return spans.join(chosen, ["code", "block"]).select(
+    # The planner takes the slots for a small table, but they grow with the words.
+    return spans.join(chosen.hint("merge"), ["code", "block"]).select(
         "row", "round", first.cast("bigint").alias("first"), last.cast("bigint").alias("last"), "shard", "slot"
     )
 
