@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxdesk.llm.common import Scratch
+from voxdesk.llm.common import Scratch, if_small
 
 #: Least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
@@ -21,8 +21,10 @@ BLANKS = "\t\x0b\f\r"
 #: Word counts are kept for so many buckets of words, on a logarithmic scale of so many steps a doubling.
 BUCKETS = 65_536
 STEPS = 4
-#: Lines whose place is sent to every task at once.
+#: Lines whose place or wide signature is sent to every task at once.
 BROADCAST_ROWS = 400_000
+#: Signatures of 64 bits that together are a wide one; a power of two.
+LANES = 4
 _LAST = (1 << 63) - 1
 
 
@@ -88,6 +90,15 @@ def signature(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda sum_, w: sum_.bitwiseXOR(bit(w)))
 
 
+def wide_signature(words: Column) -> list[Column]:
+    """The signatures of the words of each lane; a word's hash names its lane."""
+
+    def of(lane: int) -> Column:
+        return signature(F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(LANES - 1)) == lane))
+
+    return [of(k) for k in range(LANES)]
+
+
 def _at_least(part: Column) -> Column:
     """The smallest whole number that is SIMILAR times part or more."""
     top, bottom = SIMILAR
@@ -159,6 +170,18 @@ def candidates(classes: DataFrame) -> DataFrame:
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
+def _near_pairs(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs that the wide signatures leave; word sets are joined to these alone."""
+    names = [f"s{k}" for k in range(LANES)]
+    lanes = [c.alias(n) for n, c in zip(names, wide_signature(F.col("words")), strict=True)]
+    wide = if_small(scratch.store(sets.select("class", *lanes), "wide"), BROADCAST_ROWS)
+    for side in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("class").alias(side), *(F.col(n).alias(f"{n}{side}") for n in names)), side)
+    apart = sum((F.bit_count(F.col(f"{n}a").bitwiseXOR(F.col(f"{n}b"))) for n in names), F.lit(0))
+    na, nb = F.col("na"), F.col("nb")
+    return pairs.where(apart <= na + nb - 2 * _shared_at_least(na, nb)).select("a", "b", "na", "nb")
+
+
 def similar_classes(named: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of all classes whose sets have a Jaccard similarity of SIMILAR or more."""
     pairs = scratch.store(candidates(classes), "pairs")
@@ -167,13 +190,13 @@ def similar_classes(named: DataFrame, classes: DataFrame, scratch: Scratch) -> D
         classes.join(wanted, "class").select("class", F.col("first.key").alias("key"), F.col("first.line_no").alias("line_no")),
         "places",
     )
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
     sets = scratch.store(
-        _lines(named).join(places, ["key", "line_no"]).select("class", word_set(F.col("line")).alias("words"))
-        .dropDuplicates(["class"]), "sets",
+        _lines(named).join(if_small(places, BROADCAST_ROWS), ["key", "line_no"])
+        .select("class", word_set(F.col("line")).alias("words")).dropDuplicates(["class"]), "sets",
     )
-    both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    near = scratch.store(_near_pairs(pairs, sets, scratch), "near")
+    scratch.drop("pairs", "places", "wide")
+    both = near.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     top, bottom = SIMILAR
     return both.where(shared * bottom >= (F.col("na") + F.col("nb") - shared) * top).select("a", "b")
