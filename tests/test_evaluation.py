@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from voxdesk.functions.text import clean_text, is_blank
 from voxdesk.operators import comparison, corpus, evaluation, filters, joins, ratings
 
 
@@ -137,4 +139,5 @@ def test_cleaning_drops_emptied_rows_and_counts_them(spark):
     df = spark.createDataFrame([("@a", "x", "1"), ("text", " y ", "2")], "text string, intent string, severity string")
     cleaned = filters.clean_labeled(df)
     assert [tuple(r) for r in cleaned.collect()] == [("text", "y", "2")]
-    assert corpus.job_counts(df, cleaned).first().asDict() == {"processed": 2, "kept": 1, "dropped": 1}
+    kept = ~is_blank(clean_text(F.col("text")))
+    assert corpus.job_counts(df, kept).first().asDict() == {"processed": 2, "kept": 1, "dropped": 1}

@@ -75,3 +75,26 @@ def test_text_is_cleaned_once_before_a_filter(spark, tmp_path):
     spark.createDataFrame([("@a", "x", "1")], "text string, intent string, severity string").write.parquet(path)
     plan = clean_labeled(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("https?://") == 1
+
+
+def test_a_repeated_id_is_two_documents_and_no_text_is_shuffled(spark):
+    df = docs(spark, [(1, "red"), (1, "blue blue"), (None, "red")])
+    rows = sorted((r["doc_id"] or 0, r["term"], round(r["weight"], 6)) for r in features.tfidf_weights(df, 2).collect())
+    assert rows == [(0, "red", 1.0), (1, "blue", 1.0), (1, "red", 1.0)]
+    index = features.token_index(df)
+    encoded = features.encode_sequences(df, index)
+    assert sorted(len(r["seq"]) for r in encoded.collect()) == [1, 1, 2]
+    for frame in (encoded, features.tfidf_weights(df, 2)):
+        assert "hashpartitioning(doc_id" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_documents_have_no_weights_and_no_sequences(spark):
+    empty = docs(spark, [])
+    assert features.tfidf_weights(empty).count() == 0
+    assert features.encode_sequences(empty, features.token_index(empty)).count() == 0
+
+
+def test_vocabulary_cut_amid_ties(spark):
+    df = docs(spark, [(i, f"w{i:03d}") for i in range(50)] + [(99, "top top")])
+    rows = features.ngram_vocabulary(df, 4).orderBy("idx").collect()
+    assert [r["term"] for r in rows] == ["top", "top top", "w000", "w001"]

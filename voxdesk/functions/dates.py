@@ -16,16 +16,15 @@ def parse_created_at(c: Column) -> Column:
 
     The offset is dropped. Text of another form, and impossible dates, are null.
     """
-    def part(group: int) -> Column:
-        return F.regexp_extract(c, _CREATED_AT, group)
-
-    month = F.array_position(F.array(*[F.lit(m) for m in V.MONTHS]), part(2))
-    numbers = [part(g).try_cast("int") for g in (7, 3, 4, 5, 6)]
-    year, day, hour, minute, second = numbers
+    # One match rearranges the text; what does not match stays as it is.
+    rearranged = F.regexp_replace(c, _CREATED_AT, "$7 $2 $3 $4 $5 $6")
+    parts = F.split(rearranged, " ")
+    month = F.array_position(F.array(*[F.lit(m) for m in V.MONTHS]), F.get(parts, F.lit(1)))
+    year, day, hour, minute, second = (F.get(parts, F.lit(k)).try_cast("int") for k in (0, 2, 3, 4, 5))
     parsed = F.try_make_timestamp_ntz(
         year, month.cast("int"), day, hour, minute, second.cast("decimal(16,6)")
     )
-    return F.when(F.rlike(c, F.lit(_CREATED_AT)), parsed)
+    return F.when(rearranged != c, parsed)
 
 
 def month_key(ts: Column) -> Column:

@@ -1,6 +1,6 @@
 """Counts over the message corpus and over labels."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
@@ -100,11 +100,7 @@ def class_deficits(df: DataFrame, column: str, minimum: int = V.MIN_PER_CLASS) -
     )
 
 
-def job_counts(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Rows read, kept and dropped, one aggregate per frame."""
-    kept = cleaned.agg(F.count("*").alias("kept"))
-    return raw.agg(F.count("*").alias("processed")).select(
-        "processed",
-        kept.scalar().alias("kept"),
-        (F.col("processed") - kept.scalar()).alias("dropped"),
-    )
+def job_counts(raw: DataFrame, kept: Column) -> DataFrame:
+    """Rows read, kept and dropped in one scan; a null condition drops its row."""
+    counts = raw.agg(F.count("*").alias("processed"), F.count_if(kept).alias("kept"))
+    return counts.withColumn("dropped", F.col("processed") - F.col("kept"))

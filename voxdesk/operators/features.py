@@ -1,20 +1,28 @@
 """Vocabularies, TF-IDF weights and integer sequences as tables.
 
-A document is exploded only after its rows are partitioned by id. The grouping
-and windows per document that follow then need no further shuffle, and what is
-shuffled is the raw text rather than the larger token rows.
+A document is one row, so its terms are counted, weighed and numbered inside
+that row: no text is shuffled, and only vocabularies of a given size go out to
+the tasks.
 
 Arrays are exploded with the outer form and nulls dropped after it. The plain
 form adds a filter on the array's size below the explode, which would clean and
 tokenise every text a second time.
 """
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
 from voxdesk.functions.text import pad, seq_tokens, tokenize, with_ngrams
 from voxdesk.operators.sizing import small_side
+from voxdesk.session import ensure_checkpoint_dir
 
 
 def grams(df: DataFrame, *keep: str) -> DataFrame:
@@ -46,14 +54,23 @@ def ngram_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def _by_document(df: DataFrame, id_col: str) -> DataFrame:
-    """Texts partitioned by id, before they are exploded.
+def _most_frequent(counts: DataFrame, k: int, term: str) -> DataFrame:
+    """The k rows of greatest n, ties by term.
 
-    The partition count is given, as adaptive execution would merge partitions
-    by the size of the raw text, which grows many times when exploded.
+    A table of rows per count tells the count of the k-th row; only rows of that
+    count or more are sorted, where a plain limit would merge k rows of each
+    partition in one task. Rows of equal counts are few words of one rank, or, in
+    a corpus of few repeats, sorted by all tasks.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(id_col, "text").repartition(partitions, id_col)
+    ensure_checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint()
+    ranks = counts.groupBy("n").agg(F.count("*").alias("rows"))
+    up_to = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per distinct count: at most about the square root of all words.
+    before = F.coalesce(F.sum("rows").over(up_to), F.lit(0))
+    least = ranks.select("n", before.alias("before")).where(F.col("before") < k).agg(F.min("n").alias("n"))
+    frequent = counts.where(F.col("n") >= least.scalar())
+    return frequent.orderBy(F.col("n").desc(), term).limit(k)
 
 
 def ngram_vocabulary(df: DataFrame, k: int = V.TFIDF_TERMS) -> DataFrame:
@@ -61,26 +78,42 @@ def ngram_vocabulary(df: DataFrame, k: int = V.TFIDF_TERMS) -> DataFrame:
 
     The window sees at most k rows.
     """
-    top = ngram_counts(df).orderBy(F.col("n").desc(), "term").limit(k)
+    top = _most_frequent(ngram_counts(df), k, "term")
     return top.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
 
 
+def weighing_stages(vocabulary: list[Row], documents: int, terms: str, out: str) -> list:
+    """Model stages from a column of terms to L2-normalised TF-IDF vectors.
+
+    vocabulary holds (term, docs) in idx order. Terms are counted within a row.
+    """
+    idf = [math.log((1 + documents) / (1 + row["docs"])) + 1 for row in vocabulary]
+    return [
+        CountVectorizerModel.from_vocabulary([r["term"] for r in vocabulary], inputCol=terms, outputCol="__tf"),
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf"),
+        Normalizer(p=2.0, inputCol="__tfidf", outputCol=out),
+    ]
+
+
 def tfidf_weights(df: DataFrame, k: int = V.TFIDF_TERMS, id_col: str = "doc_id") -> DataFrame:
-    """L2-normalised tf * (ln((1 + N) / (1 + df)) + 1) per document and term."""
-    documents = df.count()
-    idf = F.log((F.lit(1.0) + documents) / (F.lit(1.0) + F.col("docs"))) + 1.0
-    vocabulary = small_side(
-        ngram_vocabulary(df, k).select("term", idf.alias("idf"))
-    )
-    weighted = (
-        grams(_by_document(df, id_col), id_col)
-        .select(id_col, F.explode_outer("grams").alias("term"))
-        .join(vocabulary, "term")
-        .groupBy(id_col, "term", "idf")
-        .agg((F.count("*") * F.col("idf")).alias("raw"))
+    """L2-normalised tf * (ln((1 + N) / (1 + df)) + 1) per document and term.
+
+    Every row is a document, also one that repeats an id; null and empty texts
+    count as documents without terms. At most k rows reach the driver.
+    """
+    table = small_side(ngram_vocabulary(df, k))
+    vocabulary = table.orderBy("idx").select("term", "docs").collect()
+    if not vocabulary:
+        empty = f"{id_col} {dict(df.dtypes)[id_col]}, term string, weight double"
+        return df.sparkSession.createDataFrame([], empty)
+    terms = grams(df, id_col).withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
+    stages = weighing_stages(vocabulary, df.count(), "grams", "__weights")
+    found = F.unwrap_udt(F.col("__weights"))
+    weights = PipelineModel(stages).transform(terms).select(
+        id_col, F.explode_outer(F.arrays_zip(found["indices"].alias("at"), found["values"].alias("weight"))).alias("w")
     )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return weighted.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
+    weights = weights.where("w IS NOT NULL").select(id_col, F.col("w.at").alias("idx"), "w.weight")
+    return weights.join(table.select("idx", "term"), "idx").select(id_col, "term", "weight")
 
 
 def token_index(df: DataFrame, cap: int = V.SEQUENCE_WORDS) -> DataFrame:
@@ -94,7 +127,7 @@ def token_index(df: DataFrame, cap: int = V.SEQUENCE_WORDS) -> DataFrame:
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    top = counts.orderBy(F.col("n").desc(), "word").limit(cap - 2)
+    top = _most_frequent(counts, cap - 2, "word")
     place = F.row_number().over(Window.orderBy(F.col("n").desc(), "word"))
     known = top.select("word", "n", (place + V.OOV_INDEX).alias("idx"))
     unknown = df.sparkSession.range(1).select(
@@ -104,20 +137,27 @@ def token_index(df: DataFrame, cap: int = V.SEQUENCE_WORDS) -> DataFrame:
 
 
 def encode_sequences(df: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Add seq, the word numbers of each text in order; unknown words are 1."""
-    known = index.where(F.col("word") != V.OOV_TOKEN).select("word", "idx")
-    words = _by_document(df, id_col).select(
-        id_col, F.posexplode_outer(seq_tokens(F.col("text"))).alias("pos", "word")
-    )
-    numbered = words.join(small_side(known), "word", "left").select(
-        id_col,
-        "pos",
-        F.when(F.col("word").isNotNull(), F.coalesce("idx", F.lit(V.OOV_INDEX))).alias("idx"),
-    )
-    placed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx"))))
-    return numbered.groupBy(id_col).agg(
-        F.transform(placed, lambda p: p["idx"]).alias("seq")
-    )
+    """(id_col, seq): the word numbers of each text in order; unknown words are 1.
+
+    Null and empty texts have an empty sequence. The index, of a given size, goes
+    to the tasks, where all words of an Arrow batch are looked up at once.
+    """
+    rows = index.where(F.col("word") != V.OOV_TOKEN).select("word", "idx").collect()
+    words = [r["word"] for r in rows]
+    # What stands behind the known words is the number of an unknown one.
+    numbers = [*(r["idx"] for r in rows), V.OOV_INDEX]
+
+    @F.arrow_udf("array<int>")
+    def numbered(lists: pa.Array) -> pa.Array:
+        found = pc.index_in(lists.flatten(), value_set=pa.array(words, pa.string()))
+        places = pc.fill_null(found, len(words))
+        sizes = pa.array([0]).cast(pa.int32()) if not len(lists) else pc.list_value_length(lists)
+        ends = pc.cumulative_sum(sizes)
+        starts = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+        return pa.ListArray.from_arrays(starts[: len(lists) + 1], pa.array(numbers, pa.int32()).take(places))
+
+    tokens = F.coalesce(seq_tokens(F.col("text")), F.array().cast("array<string>"))
+    return df.select(id_col, numbered(tokens).alias("seq"))
 
 
 def padded(sequences: DataFrame, length: int, side: str) -> DataFrame:

@@ -40,9 +40,7 @@ def normalise_labels(df: DataFrame) -> DataFrame:
 def clean_labeled(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Replace text by its cleaned form, trim labels, drop emptied rows.
 
-    corpus.job_counts tells how many were dropped. It needs one count of each
-    frame; Observation would save that, but a session that has used one can no
-    longer run one-vs-rest models, whose closures then fail to serialise.
+    corpus.job_counts tells how many rows a condition drops.
     """
     # A filter on a projected text is pushed below the projection, which would
     # clean every text twice. It is not pushed below an explode.

@@ -1,9 +1,10 @@
 """Size checks before anything is broadcast."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxdesk.session import ensure_checkpoint_dir
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 _BYTES_PER_VALUE = 16
 
@@ -11,20 +12,17 @@ _BYTES_PER_VALUE = 16
 def small_side(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Mark df for broadcast if it is small enough, else leave the join to AQE.
 
-    The measured frame stays cached while it is small, so the check does not
-    compute it twice. A frame over the limit is released and joined by shuffle,
-    where adaptive execution splits skewed partitions.
+    The frame is written once; the check and the join read what was written, so
+    nothing is computed twice, stays cached, or is lost with an executor.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
+    written = df.checkpoint()
     text_bytes = F.lit(0)
     for field in df.schema.fields:
         text_bytes = text_bytes + F.coalesce(
             F.octet_length(F.to_json(F.struct(F.col(field.name)))), F.lit(0)
         )
-    size = cached.agg(
+    size = written.agg(
         F.coalesce(F.sum(text_bytes + _BYTES_PER_VALUE), F.lit(0)).alias("bytes")
     ).first()["bytes"]
-    if size <= limit_bytes:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+    return F.broadcast(written) if size <= limit_bytes else written

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
+from voxdesk.functions.text import is_blank
 from voxdesk.operators import corpus, filters
 from voxdesk.plans import sql
 
@@ -29,7 +30,7 @@ QUERIES = {
         t.labeled().withColumn("intent", F.concat_ws("_", "intent", "severity")), "intent"
     ),
     "job_counts": lambda t: corpus.job_counts(
-        t.messages_with_nulls(), filters.non_blank(filters.inbound_only(t.messages_with_nulls()))
+        t.messages_with_nulls(), F.col("inbound") & ~is_blank(F.col("text"))
     ),
 }
 
