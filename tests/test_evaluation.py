@@ -141,3 +141,29 @@ def test_cleaning_drops_emptied_rows_and_counts_them(spark):
     assert [tuple(r) for r in cleaned.collect()] == [("text", "y", "2")]
     kept = ~is_blank(clean_text(F.col("text")))
     assert corpus.job_counts(df, kept).first().asDict() == {"processed": 2, "kept": 1, "dropped": 1}
+
+
+def test_a_null_label_is_a_cell_like_others(spark):
+    p = spark.createDataFrame([(1, "a", "a"), (2, None, "a"), (3, None, None)], "id int, y_true string, y_pred string")
+    cells = {(r["y_true"], r["y_pred"]): r["n"] for r in evaluation.confusion(p).collect()}
+    assert cells == {("a", "a"): 1, ("a", None): 0, (None, "a"): 1, (None, None): 1}
+    table = corpus.cross_table(p, "y_true", "y_pred").collect()
+    assert {(r["y_true"], r["y_pred"]): r["count"] for r in table} == cells
+
+
+def test_many_labels(spark):
+    many = spark.range(100_000).select("id", F.format_string("label %06d", "id").alias("y_true"))
+    many = many.withColumn("y_pred", F.col("y_true"))
+    with pytest.raises(ValueError, match="labels"):
+        evaluation.confusion(many)
+    assert evaluation.pair_counts(many).count() == 100_000
+    assert corpus.cross_counts(many, "y_true", "y_pred").count() == 100_000
+    ids = joins.label_map(many, "y_true", rows_per_bucket=30_000)
+    wrong = ids.where(F.col("label") != F.format_string("label %06d", F.col("label_id")))
+    assert (ids.count(), wrong.count()) == (100_000, 0)
+
+
+def test_rows_without_a_partner_are_counted(spark):
+    truth = spark.createDataFrame([(1,), (2,), (None,)], "id int")
+    predicted = spark.createDataFrame([(2,), (3,), (4,)], "id int")
+    assert tuple(joins.match_counts(truth, predicted).first()) == (1, 2, 2)

@@ -46,3 +46,10 @@ def test_a_later_run_goes_on_from_the_state(spark, tmp_path):
     spark.createDataFrame([(True,)] * 3, "inbound boolean").write.mode("append").parquet(source)
     assert run() == [4, 1]
     assert run() == [4, 1]
+
+
+def test_a_folder_without_files_counts_like_an_empty_table(spark, tmp_path):
+    source = tmp_path / "none"
+    source.mkdir()
+    stream = read_stream(spark, str(source), "inbound boolean")
+    assert [r["count"] for r in run_counts(stream, corpus.direction_counts).collect()] == [0, 0]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from voxdesk import fixed_values as V
 from voxdesk.functions.dates import month_key
 from voxdesk.functions.text import length_bin, text_length
+from voxdesk.operators import grids
 from voxdesk.session import ensure_checkpoint_dir
 
 
@@ -71,19 +72,22 @@ def label_counts(df: DataFrame, column: str, by_label: bool = False) -> DataFram
     return counts.orderBy(*order)
 
 
+def cross_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts of the pairs of a and b that occur, for any number of labels."""
+    return df.groupBy(a, b).agg(F.count("*").alias("count"))
+
+
 def cross_table(df: DataFrame, a: str, b: str, normalize: bool = False) -> DataFrame:
     """Dense counts of a x b, or shares within each a.
 
     The data is read once, for the counts, which are written. The grid is
-    exploded from the two sets of distinct labels in them.
+    exploded from the two sets of distinct labels in them, null being a label;
+    over MAX_LABELS labels on a side raise: cross_counts is the sparse form.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    counts = df.groupBy(a, b).agg(F.count("*").alias("count")).checkpoint()
-    labels = counts.agg(F.collect_set(a).alias("rows"), F.collect_set(b).alias("cols"))
-    grid = labels.select(F.explode("rows").alias(a), "cols").select(
-        a, F.explode("cols").alias(b)
-    )
-    dense = grid.join(counts, [a, b], "left").na.fill(0, ["count"])
+    counts = cross_counts(df, a, b).checkpoint()
+    columns = grids.label_set(counts, b).scalar()
+    dense = grids.fill(counts, a, b, "count", grids.label_set(counts, a), columns)
     if not normalize:
         return dense
     total = F.sum("count").over(Window.partitionBy(a))

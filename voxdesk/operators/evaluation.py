@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
+from voxdesk.operators import grids
 from voxdesk.session import ensure_checkpoint_dir
 
 
@@ -24,30 +25,30 @@ def confusion(pairs: DataFrame, labels: list | None = None) -> DataFrame:
     """Dense confusion matrix (y_true, y_pred, n).
 
     With a label list, pairs outside it are ignored. Otherwise the grid is the
-    union of the labels that occur; the pairs are then counted once and the
-    counts written, as grid and cells both come from them.
+    union of the labels that occur, null being one of them; the pairs are then
+    counted once and the counts written, as grid and cells both come from them.
+    Over MAX_LABELS labels raise: pair_counts is the sparse form for those.
     """
     counts = pair_counts(pairs)
     if labels is None:
         ensure_checkpoint_dir(pairs.sparkSession)
         counts = counts.checkpoint()
-        domain = counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).agg(
-            F.collect_set("label").alias("labels")
-        )
+        domain = grids.label_set(counts, "y_true", "y_pred")
     else:
-        one_row = pairs.sparkSession.range(1)
-        domain = one_row.select(F.array(*[F.lit(v) for v in labels]).alias("labels"))
-    grid = domain.select(F.explode("labels").alias("y_true"), "labels").select(
-        "y_true", F.explode("labels").alias("y_pred")
-    )
-    return grid.join(counts, ["y_true", "y_pred"], "left").na.fill(0, ["n"])
+        domain = grids.listed(pairs, labels)
+    return grids.fill(counts, "y_true", "y_pred", "n", domain, F.col("labels"))
 
 
 def confusion_normalised(pairs: DataFrame, over: str, labels: list | None = None) -> DataFrame:
     """Confusion shares over 'true' rows, 'pred' columns or 'all' cells."""
-    keys = {"true": ["y_true"], "pred": ["y_pred"], "all": []}[over]
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    return confusion(pairs, labels).select(
+    cells = confusion(pairs, labels)
+    if over == "all":
+        ensure_checkpoint_dir(pairs.sparkSession)
+        cells = cells.checkpoint()
+        total = cells.agg(F.sum("n")).scalar()
+    else:
+        total = F.sum("n").over(Window.partitionBy({"true": "y_true", "pred": "y_pred"}[over]))
+    return cells.select(
         "y_true", "y_pred", _ratio(F.col("n"), total).alias("share")
     )
 
@@ -118,11 +119,9 @@ def evaluate(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def binary_metrics(pairs: DataFrame) -> DataFrame:
     """Precision, recall and F1 of the greater label, if truth has two labels."""
-    counts = pair_counts(pairs)
-    marked = counts.select(
-        "*",
-        F.max("y_true").over(Window.partitionBy()).alias("positive"),
-    )
+    ensure_checkpoint_dir(pairs.sparkSession)
+    counts = pair_counts(pairs).checkpoint()
+    marked = counts.withColumn("positive", counts.agg(F.max("y_true")).scalar())
     is_true = F.col("y_true") == F.col("positive")
     is_pred = F.col("y_pred") == F.col("positive")
     sums = marked.agg(

@@ -1,8 +1,9 @@
 """Anti join against labelled texts, label maps, lookups and pairing."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxdesk.operators.ranking import ROWS_PER_BUCKET, running_totals
 from voxdesk.operators.sizing import small_side
 
 
@@ -35,15 +36,15 @@ def unlabelled(
     )
 
 
-def label_map(df: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct labels with ids from 0.
+def label_map(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Sorted distinct labels with ids from 0; null is no label.
 
-    Copies are removed before the window, so it sees one row per label.
+    Labels are numbered within buckets of the order, which start from the counts
+    of the buckets before, so no task needs to hold all labels.
     """
     labels = df.select(F.col(column).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return labels.select(
-        "label", (F.row_number().over(Window.orderBy("label")) - 1).alias("label_id")
-    )
+    placed = running_totals(labels.withColumn("one", F.lit(1)), [], "label", ["one"], rows_per_bucket=rows_per_bucket)
+    return placed.select("label", (F.col("one_upto") - 1).cast("int").alias("label_id"))
 
 
 def encode_labels(df: DataFrame, column: str, labels: DataFrame, into: str = "label_id") -> DataFrame:
@@ -64,6 +65,20 @@ def pair_predictions(truth: DataFrame, predicted: DataFrame, id_col: str = "id")
     )
 
 
+def match_counts(truth: DataFrame, predicted: DataFrame, id_col: str = "id") -> DataFrame:
+    """How many rows pair_predictions pairs, and how many of each side find no partner.
+
+    Null ids never match. Repeated ids make one pair for each combination.
+    """
+    here = truth.select(id_col, F.lit(True).alias("__truth"))
+    there = predicted.select(id_col, F.lit(True).alias("__predicted"))
+    return here.join(there, id_col, "full").agg(
+        F.count_if(F.col("__truth") & F.col("__predicted")).alias("paired"),
+        F.count_if(F.col("__predicted").isNull()).alias("truth_only"),
+        F.count_if(F.col("__truth").isNull()).alias("predicted_only"),
+    )
+
+
 def label_universe(pairs: DataFrame) -> DataFrame:
     """Distinct labels of truth and prediction, read in one pass."""
     both = F.explode(F.array("y_true", "y_pred")).alias("label")

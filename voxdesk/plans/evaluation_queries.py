@@ -72,6 +72,9 @@ QUERIES = {
     "paired_predictions": lambda t: joins.pair_predictions(
         t.pairs().select("id", "y_true"), t.pairs().select("id", "y_pred")
     ),
+    "prediction_matches": lambda t: joins.match_counts(
+        t.pairs().where("id % 5 != 0"), t.pairs().where("id % 7 != 0")
+    ),
     "label_universe": lambda t: joins.label_universe(t.pairs()),
     "confusion_matrix": lambda t: evaluation.confusion(t.pairs()),
     "confusion_matrix_listed": lambda t: evaluation.confusion(t.pairs(), _LISTED),
@@ -202,6 +205,10 @@ _OVR = f"{sql.SCORES}, positives AS (SELECT class, score, class = truth AS posit
 _CLASS_COLUMNS = "round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1"
 
 ORACLE = {
+    "prediction_matches": f"""WITH {sql.PAIRS}
+SELECT count(*) FILTER (id % 5 <> 0 AND id % 7 <> 0) AS paired,
+  count(*) FILTER (id % 5 <> 0 AND id % 7 = 0) AS truth_only,
+  count(*) FILTER (id % 5 = 0 AND id % 7 <> 0) AS predicted_only FROM pairs""",
     "class_decisions": f"""SELECT vec_id,
   (list_position(sums, list_max(sums)) - 1)::INTEGER AS predicted,
   CASE WHEN sums[1] > 0 THEN 1 ELSE 0 END AS decision FROM (SELECT vec_id, {sql.CLASS_SUMS} AS sums FROM embeddings)""",

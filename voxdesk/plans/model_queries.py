@@ -86,17 +86,23 @@ def _scored(t):
     return scoring.score_messages(sent, *_models(t), _reply, _reply, keep=("doc_id",))
 
 
+def _arriving(t, table):
+    """A table as a stream of several files, each a micro-batch."""
+    path = shared_dir(t.spark, "arriving")
+    rows = t.read(table)
+    rows.repartition(3).write.parquet(path)
+    return read_stream(t.spark, path, rows.schema, files_per_trigger=1)
+
+
 def _messages_stream(t):
-    schema = t.read("conversations").schema
-    rows = read_stream(t.spark, t.folder, schema, "conversations.parquet")
+    rows = _arriving(t, "conversations")
     return rows.select((F.col("role") == "user").alias("inbound"), "text").where(
         ~is_blank(F.col("text"))
     )
 
 
 def _volume_stream(t):
-    schema = t.read("orders").schema
-    return read_stream(t.spark, t.folder, schema, "orders.parquet").select(
+    return _arriving(t, "orders").select(
         F.col("o_custkey").cast("string").alias("author_id"),
         (F.col("o_orderstatus") != "F").alias("inbound"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
@@ -104,7 +110,7 @@ def _volume_stream(t):
 
 
 def _stream_scores(t):
-    rows = read_stream(t.spark, t.folder, t.read("conversations").schema, "conversations.parquet")
+    rows = _arriving(t, "conversations")
     sent = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "text")
     return run_scoring(sent, *_models(t), keep=("message_id",))
 

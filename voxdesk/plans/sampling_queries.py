@@ -28,11 +28,13 @@ def _decoded(t):
 
 
 def _decision(t):
-    """Which way a split by intent, by severity and by source goes, and its test size."""
+    """Which way splits by intent, severity, length and doubled ids go, and their test sizes."""
+    ids = t.read("documents").select("doc_id")
     tables = {
         "intent": (t.labeled(), "intent"),
         "severity": (t.labeled(), "severity"),
         "length": (t.read("documents"), "n_chars"),
+        "doubled": (ids.union(ids), "doc_id"),
     }
     plans = {task: splits.plan_split(df, column) for task, (df, column) in tables.items()}
     rows = [F.struct(
@@ -137,7 +139,8 @@ FROM documents""",
     "split_fallback_reason": f"""WITH {sql.LABELED}, sizes AS (
   SELECT 'intent' AS task, intent AS c, count(*) AS n FROM labeled GROUP BY ALL
   UNION ALL SELECT 'severity', severity::VARCHAR, count(*) FROM labeled GROUP BY ALL
-  UNION ALL SELECT 'length', n_chars::VARCHAR, count(*) FROM documents GROUP BY ALL)
+  UNION ALL SELECT 'length', n_chars::VARCHAR, count(*) FROM documents GROUP BY ALL
+  UNION ALL SELECT 'doubled', doc_id::VARCHAR, 2 * count(*) FROM documents GROUP BY ALL)
 SELECT task, sum(n)::BIGINT AS rows, count(*) AS classes,
   ceil(0.2::DOUBLE * sum(n)::DOUBLE)::BIGINT AS test_rows,
   CASE WHEN min(n) < 2 THEN 'class_below_two'

@@ -49,6 +49,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(_base_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make DataFrame.checkpoint() usable without overriding a cluster's choice."""
     _base_dir(spark)

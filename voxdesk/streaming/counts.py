@@ -3,10 +3,11 @@
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxdesk.session import shared_dir
+from voxdesk.session import remove, shared_dir
 
 
 def read_stream(
@@ -28,7 +29,8 @@ def run_counts(
     State and results live in the folder, by default a fresh one under the
     shared folder. A later run with the same folder reads only new files and
     goes on from the last state. A batch writes its own folder; repeating it
-    after a failure overwrites the same one.
+    after a failure overwrites the same one. Only the newest result is kept.
+    A folder without files counts like an empty table.
     """
     spark = stream.sparkSession
     base = folder or shared_dir(spark, "stream-counts")
@@ -36,6 +38,8 @@ def run_counts(
 
     def keep(result: DataFrame, batch_id: int) -> None:
         result.write.mode("overwrite").parquet(os.path.join(results, f"batch={batch_id}"))
+        if batch_id:
+            remove(spark, os.path.join(results, f"batch={batch_id - 1}"))
 
     query = (
         count(stream)
@@ -46,6 +50,11 @@ def run_counts(
         .start()
     )
     query.awaitTermination()
-    written = spark.read.parquet(results)
+    try:
+        written = spark.read.parquet(results)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return count(spark.createDataFrame([], stream.schema))
     newest = written.agg(F.max("batch").alias("newest"))
     return written.where(F.col("batch") == newest.scalar()).drop("batch")
