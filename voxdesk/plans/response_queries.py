@@ -72,7 +72,14 @@ def _with_status(t):
     return t.calls().withColumn("status", asking.answer_status(F.col("error")))
 
 
+def _delayed(t):
+    """Every message sent to a caller that pauses after each call."""
+    model = asking.per_row(lambda text: f"{len(text)} characters", "text", delay=0.0005)
+    return asking.ask(t.messages().select("message_id", "text"), model, needs="text").select("message_id", "answer")
+
+
 QUERIES = {
+    "delayed_answers": _delayed,
     "label_prompts": lambda t: t.messages().select(
         "message_id", prompts.label_prompt(F.col("text")).alias("prompt")
     ),
@@ -176,6 +183,8 @@ _STATUS = sql.CALLS + """, stated AS (
   FROM calls)"""
 
 ORACLE = {
+    "delayed_answers": f"""WITH {sql.MESSAGES}
+SELECT message_id, length(text) || ' characters' AS answer FROM messages""",
     "label_prompts": f"""WITH {sql.MESSAGES}
 SELECT message_id, {_prompt_sql(V.LABEL_PROMPT, text='text')} AS prompt FROM messages""",
     "reply_prompts": f"""WITH {sql.LABELED}

@@ -45,6 +45,12 @@ ORACLE = {
 
 QUERIES |= {
     "clean_column": lambda t: filters.with_clean_column(t.messages().select("message_id", "text")),
+    "required_columns": lambda t: filters.require_columns(t.labeled(), ["text", "intent", "severity"]).select(
+        "doc_id", "intent", "severity"
+    ),
+    "required_rows": lambda t: filters.require_rows(
+        filters.truthy_text(t.messages_with_nulls()), "no message has text"
+    ).select("message_id"),
     "inbound_messages": lambda t: filters.non_blank(filters.inbound_only(t.messages_with_nulls())),
     "messages_typed": lambda t: t.messages().select("message_id", "author_id", "inbound", "text"),
     "non_blank_text": lambda t: filters.non_blank(t.messages_with_nulls()).select("message_id", "text"),
@@ -95,6 +101,8 @@ def _raw_labels(t):
 ORACLE |= {
     "clean_column": f"""WITH {sql.MESSAGES}
 SELECT message_id, text, {sql.cleaned('text')} AS text_processed FROM messages""",
+    "required_columns": f"WITH {sql.LABELED} SELECT doc_id, intent, severity FROM labeled",
+    "required_rows": f"WITH {sql.MESSAGES_WITH_NULLS} SELECT message_id FROM nulled WHERE text <> ''",
     "inbound_messages": f"""WITH {sql.MESSAGES_WITH_NULLS}
 SELECT message_id, author_id, inbound, text FROM nulled WHERE inbound AND {sql.has_text('text')}""",
     "messages_typed": f"WITH {sql.MESSAGES} SELECT message_id, author_id, inbound, text FROM messages",
