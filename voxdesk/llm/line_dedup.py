@@ -15,7 +15,7 @@ from voxdesk.llm.common import Scratch, if_small
 
 #: Least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
-#: Lines of fewer distinct words are never removed.
+#: Lines of fewer distinct words are never removed, unless a caller asks for less (1: all lines with a word).
 MIN_WORDS = 5
 BLANKS = "\t\x0b\f\r"
 #: Word counts are kept for so many buckets of words, on a logarithmic scale of so many steps a doubling.
@@ -111,7 +111,8 @@ def _shared_at_least(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * top / (top + bottom)).cast("int")
 
 
-def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
+                 min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(named rows, lines, classes): lines with equal word sets are one class.
 
     A class has the first of its lines by (id, key, line number), the number of
@@ -131,10 +132,10 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str)
     lines = scratch.store(
         ranked.select(
             "key", "id", "line_no", n.alias("n"),
-            F.when(n >= MIN_WORDS, F.xxhash64("words")).alias("h1"),
-            F.when(n >= MIN_WORDS, F.xxhash64(F.lit(1), "words")).alias("h2"),
-            F.when(n >= MIN_WORDS, signature(F.col("words"))).alias("bits"),
-            F.when(n >= MIN_WORDS, prefix).alias("prefix"),
+            F.when(n >= min_words, F.xxhash64("words")).alias("h1"),
+            F.when(n >= min_words, F.xxhash64(F.lit(1), "words")).alias("h2"),
+            F.when(n >= min_words, signature(F.col("words"))).alias("bits"),
+            F.when(n >= min_words, prefix).alias("prefix"),
         ), "lines",
     )
     classes = (
@@ -202,16 +203,17 @@ def similar_classes(named: DataFrame, classes: DataFrame, scratch: Scratch) -> D
     return both.where(shared * bottom >= (F.col("na") + F.col("nb") - shared) * top).select("a", "b")
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
+                  min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(named rows, removed): key and the sorted numbers of the lines that an earlier similar line makes redundant.
 
     Lines are split at \\n and numbered from 0. Earlier is the line of the smaller
     id (null last), or the smaller line number in the same document; rows of one
     id follow a hash of id and text, and rows equal in both are one document.
-    Lines of fewer than MIN_WORDS distinct words, and all lines of null or empty
+    Lines of fewer than min_words distinct words, and all lines of null or empty
     texts, stay. Every line is judged on the input, not on what is left.
     """
-    named, lines, classes = line_classes(docs, scratch, id_col, text_col)
+    named, lines, classes = line_classes(docs, scratch, id_col, text_col, min_words)
     found = similar_classes(named, classes, scratch)
     place = classes.select("class", "first")
     ordered = (
@@ -229,9 +231,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     return named, listed
 
 
-def line_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
+                min_words: int = MIN_WORDS) -> DataFrame:
     """(id_col, n_lines, n_removed, removed_lines) of each row of docs; the line numbers are comma-joined."""
-    named, removed = removed_lines(docs, scratch, id_col, text_col)
+    named, removed = removed_lines(docs, scratch, id_col, text_col, min_words)
     sizes = named.select("key", "doc", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"))
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     return sizes.join(removed, "key", "left").select(
@@ -241,9 +244,10 @@ def line_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     )
 
 
-def drop_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
+               min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, other columns unchanged, their texts without the removed lines."""
-    _, removed = removed_lines(docs, scratch, id_col, text_col)
+    _, removed = removed_lines(docs, scratch, id_col, text_col, min_words)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     body = docs.select(F.struct(*docs.columns).alias("body"), key.alias("key"), F.col(text_col).alias("text"))
     kept = F.filter(
