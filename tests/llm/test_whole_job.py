@@ -1,12 +1,12 @@
 """Cases in which operators once did less than the whole job."""
 
-from collections import Counter, defaultdict
+import numpy as np
+import pandas as pd
 
 from tests.llm.test_operators import WORD, documents
-from voxdesk.llm import line_dedup
+from voxdesk.llm import line_dedup, quality
 from voxdesk.llm.common import Scratch
 
-
 # Line dedup
 
 
@@ -40,3 +40,20 @@ def test_short_lines_of_the_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     found = line_dedup.line_counts(documents(spark), Scratch(spark, "t"), min_words=1).collect()
     assert {r["doc_id"]: r["removed_lines"] for r in found} == removed_of_all(rows)
+
+# Quality
+
+
+def test_forest_reads_every_statistic():
+    row = dict(zip(quality.FIELDS, (100, 500, 5, 2, 20, 30, 40, 20), strict=True))
+    means = np.full(len(quality.RATED) + len(quality.LINED), 0.1)
+    plain = quality.features(pd.DataFrame([row]), means)
+    for name, value in (("n_dup_lines", 18), ("n_repeat_words", 50), ("n_words", 400)):
+        assert not np.array_equal(plain, quality.features(pd.DataFrame([row | {name: value}]), means)), name
+    draw = np.random.default_rng(1)
+    many = pd.DataFrame({f: draw.integers(10, 30, 500) for f in quality.FIELDS} | {"n_words": 200, "n_lines": 100})
+    many["n_dup_lines"] = draw.integers(0, 3, 500)
+    odd = pd.concat([many.head(1), many.head(1).assign(n_dup_lines=80)])
+    forest = quality.grow_forest(quality.features(many, means), shares=quality.SHARES)
+    scores = forest.scores(quality.features(odd, means))
+    assert scores[1] > scores[0]

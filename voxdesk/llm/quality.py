@@ -17,13 +17,19 @@ _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 FIELDS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_upper", "n_punctuation",
+    "n_upper", "n_punctuation", "n_lines",
 )
 STATS_TYPE = "struct<" + ", ".join(f"{f}: bigint" for f in FIELDS) + ">"
 
-#: The statistics the forest reads, and the words of the corpus mean mixed into each rate.
-RATED = ("word_chars", "n_symbols", "n_upper", "n_punctuation")
+#: The statistics the forest reads per word, those it reads per line, and how many words
+#: and lines of the corpus mean are mixed into each rate.
+RATED = ("word_chars", "n_symbols", "n_upper", "n_punctuation", "n_repeat_words")
+LINED = ("n_dup_lines",)
 PRIOR_WORDS = 100
+PRIOR_LINES = 10
+#: How often the forest draws each column of features(), against the others. Repeats are rarer
+#: among the bad labelled rows than among the clean ones; drawn as often, they hide the rest.
+SHARES = np.array([1, 1, 1, 1, 0.3, 0.3, 0.5])
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -70,6 +76,7 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
         repeat_words(words),
         len(solid) - len(solid.translate(None, _UPPER)),
         len(solid) - len(solid.translate(None, _PUNCTUATION)),
+        len(lines),
     )
 
 
@@ -89,15 +96,19 @@ def base_failed(stats: Column) -> Column:
 
 
 def features(rows: pd.DataFrame, means: np.ndarray) -> np.ndarray:
-    """Rates per word of RATED, one row a document.
+    """Rates per word of RATED and per line of LINED, and the log of the words; one row a document.
 
-    Each is drawn to the corpus mean by PRIOR_WORDS words of it, so that a short
-    clean document does not stand out by chance. Repeated lines and words are
-    left to the base rule: they are rare among clean documents too, and a forest
-    would isolate a short one for a line that many share.
+    Each rate is drawn to the corpus mean by PRIOR_WORDS words or PRIOR_LINES
+    lines of it, so that a short clean document does not stand out by chance.
     """
     words = rows["n_words"].to_numpy(float)[:, None] + PRIOR_WORDS
-    return (rows[list(RATED)].to_numpy(float) + PRIOR_WORDS * means) / words
+    lines = rows["n_lines"].to_numpy(float)[:, None] + PRIOR_LINES
+    per_word, per_line = means[: len(RATED)], means[len(RATED) :]
+    return np.hstack([
+        (rows[list(RATED)].to_numpy(float) + PRIOR_WORDS * per_word) / words,
+        (rows[list(LINED)].to_numpy(float) + PRIOR_LINES * per_line) / lines,
+        np.log(words),
+    ])
 
 
 def average_path(rows: int) -> float:
@@ -132,8 +143,12 @@ class Forest:
         return 2.0 ** (-total / max(len(self.path), 1) / max(self.norm, 1e-9))
 
 
-def grow_forest(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> Forest:
-    """Random splits over random subsets of the rows; no rows give a forest of score 1 paths."""
+def grow_forest(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED,
+                shares: np.ndarray | None = None) -> Forest:
+    """Random splits over random subsets of the rows; no rows give a forest of score 1 paths.
+
+    A column is drawn in proportion to its share, if there are shares.
+    """
     draw = np.random.default_rng(seed)
     size = min(tree_rows, len(rows))
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
@@ -150,7 +165,8 @@ def grow_forest(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS
             if level == depth or len(own) < 2 or not len(open_):
                 path[tree, node] = level + average_path(len(own))
                 continue
-            column = int(draw.choice(open_))
+            odds = None if shares is None else shares[open_] / shares[open_].sum()
+            column = int(draw.choice(open_, p=odds))
             value = draw.uniform(low[column], high[column])
             right = own[:, column] >= value
             if right.all() or not right.any():
@@ -185,9 +201,10 @@ def fit_forest(rated: DataFrame, labels: DataFrame, label_col: str = "quality")
     if not len(sample):
         clean, sample = passed, _drawn(passed, TREES * TREE_ROWS)
     bad = _drawn(passed.join(labelled(0), "id", "left_semi"), BAD * len(sample))
-    totals = clean.agg(*(F.sum(f"stats.{f}").cast("double") for f in ("n_words", *RATED))).first()
-    means = np.array([t or 0.0 for t in totals[1:]]) / max(totals[0] or 0.0, 1.0)
-    forest = grow_forest(features(pd.concat([sample, bad]), means))
+    totals = clean.agg(*(F.sum(f"stats.{f}").cast("double") for f in ("n_words", "n_lines", *RATED, *LINED))).first()
+    words, lines, *sums = (t or 0.0 for t in totals)
+    means = np.array(sums) / np.repeat([max(words, 1.0), max(lines, 1.0)], [len(RATED), len(LINED)])
+    forest = grow_forest(features(pd.concat([sample, bad]), means), shares=SHARES)
     forest.means = means
     return forest
 
