@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from tests.llm.test_operators import WORD, documents
-from voxdesk.llm import line_dedup, quality
+from voxdesk.llm import licenses, line_dedup, quality
 from voxdesk.llm.common import Scratch
 
 # Line dedup
@@ -57,3 +57,25 @@ def test_forest_reads_every_statistic():
     forest = quality.grow_forest(quality.features(many, means), shares=quality.SHARES)
     scores = forest.scores(quality.features(odd, means))
     assert scores[1] > scores[0]
+
+
+# Licences
+
+
+def fixed_model():
+    """A model whose odds of any family follow from one word of a line of four."""
+    words = {b"low": 0, b"high": 1, b"higher": 2}
+    families = [licenses.UNKNOWN, *licenses.TEMPLATES]
+    weights, bias = np.zeros((len(families), 3)), np.full(len(families), -np.inf)
+    weights[1], bias[:2] = 7 * np.log([0.1 / 0.9, 0.9 / 0.1, 0.99 / 0.01]), 0
+    return licenses.Model(families, words, np.zeros(0, np.int64), weights, bias)
+
+
+def test_threshold_counts_every_paragraph(spark):
+    lines = ["low plain words here"] * 19_990 + ["high one odd line"] * 6 + ["higher an odder line"] * 4
+    docs = spark.createDataFrame([(k, "\n".join(lines[k::50])) for k in range(50)], "doc_id long, text string")
+    # 0.05 % of 20,000 paragraphs are 10: all odd ones may pass, at twice the size too.
+    assert licenses.calibrate(docs, fixed_model()) < 0.9
+    assert licenses.calibrate(docs.union(docs), fixed_model()) < 0.9
+    more = docs.union(spark.createDataFrame([(99, "\n".join(["high one odd line"] * 2))], docs.schema))
+    assert 0.9 < licenses.calibrate(more, fixed_model()) < 0.99

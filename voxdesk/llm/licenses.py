@@ -5,6 +5,7 @@ unigrams and bigrams names a licence family or none. It is fitted on crops of
 the templates below and on a bounded sample of the corpus's own paragraphs.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,6 +90,9 @@ CROPS = 400
 BACKGROUND = 8_000
 #: Share of background paragraphs that may be called a licence.
 FALSE_RATE = 0.0005
+#: Log-odds of background paragraphs are counted in bins, so many to a unit, up to the last one.
+BINS = 100
+LAST_BIN = 3_000
 #: Share of the paragraph's word triples that one template of the family must have.
 CONFIRMED = 0.6
 SEED = 4
@@ -183,13 +187,8 @@ def background(docs: DataFrame, text_col: str) -> list[list[bytes]]:
     return [words for words in found if words and max(template_share(words, f) for f in TEMPLATES) < 0.5]
 
 
-def fit(spark, examples: list[tuple[list[bytes], str]], strange: list[list[bytes]], draw: np.random.Generator) -> Model:
-    """Fit on four fifths of the examples; the rest sets the threshold of the unknown class.
-
-    The vocabulary is the n-grams of the licence examples. The threshold is a
-    probability of any family that no more than FALSE_RATE of the strange
-    paragraphs exceed, and half at least.
-    """
+def fit(spark, examples: list[tuple[list[bytes], str]], strange: list[list[bytes]]) -> Model:
+    """Fit on all examples; the vocabulary is the n-grams of the licence examples."""
     families = [UNKNOWN, *TEMPLATES]
     known = sorted({w for words, _ in examples for w in words if w != b"\xff"})
     words = {w: k for k, w in enumerate(known)}
@@ -199,53 +198,94 @@ def fit(spark, examples: list[tuple[list[bytes], str]], strange: list[list[bytes
     }
     model = Model(families, words, np.array(sorted(codes), np.int64), np.zeros((len(families), 0)), np.zeros(len(families)))
     labelled = [(w, families.index(f)) for w, f in examples] + [(w, 0) for w in strange]
-    side = draw.random(len(labelled)) < 0.8
     size = len(words) + len(codes)
     rows = []
-    for (listed, label), train in zip(labelled, side, strict=True):
-        if train:
-            ids = model.number(listed)
-            total = max(2 * len(listed) - 1, 1)
-            both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            code = ids[:-1][both] * len(words) + ids[1:][both]
-            at = np.minimum(np.searchsorted(model.pairs, code), len(codes) - 1)
-            hit = np.concatenate([ids[ids >= 0], len(words) + at[model.pairs[at] == code]])
-            where, many = np.unique(hit, return_counts=True)
-            rows.append((float(label), Vectors.sparse(size, where.tolist(), (many / total).tolist())))
+    for listed, label in labelled:
+        ids = model.number(listed)
+        total = max(2 * len(listed) - 1, 1)
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        code = ids[:-1][both] * len(words) + ids[1:][both]
+        at = np.minimum(np.searchsorted(model.pairs, code), len(codes) - 1)
+        hit = np.concatenate([ids[ids >= 0], len(words) + at[model.pairs[at] == code]])
+        where, many = np.unique(hit, return_counts=True)
+        rows.append((float(label), Vectors.sparse(size, where.tolist(), (many / total).tolist())))
     table = spark.createDataFrame(rows, ["label", "features"]).coalesce(2).cache()
     fitted = LogisticRegression(family="multinomial", standardization=False, regParam=1e-5, maxIter=60).fit(table)
     table.unpersist()
     weights, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     model.weights, model.bias = np.zeros((len(families), size)), np.full(len(families), -np.inf)
     model.weights[: len(weights)], model.bias[: len(bias)] = weights, bias
-    held = [x for x, train in zip(labelled, side, strict=True) if not train]
-    if held:
-        odds = 1 - model.line_probabilities([w for w, _ in held])[:, 0]
-        false = np.sort(odds[np.array([label == 0 for _, label in held])])
-        if len(false):
-            model.threshold = max(0.5, float(false[min(len(false) - 1, int((1 - FALSE_RATE) * len(false)))]))
     return model
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Model:
+    """Fit on a bounded sample, then set the threshold by all paragraphs of docs."""
     draw = np.random.default_rng(SEED)
-    return fit(docs.sparkSession, crops(draw), background(docs, text_col), draw)
+    model = fit(docs.sparkSession, crops(draw), background(docs, text_col))
+    model.threshold = calibrate(docs, model, text_col)
+    return model
 
 
-def paragraphs_of(text: bytes, model: Model) -> Iterator[tuple[int, str, float, float]]:
-    """(line number, family, probability, template share) of the lines taken for a licence.
+def candidates(text: bytes, model: Model) -> tuple[int, list[tuple[int, str, float, float, float]]]:
+    """(paragraphs, those more likely a licence than not).
 
-    The family is `unknown` if no template of the predicted one confirms it.
+    The latter are (line number, family, probability, template share, odds of any family).
     """
     lines = text.translate(_TOKEN_BYTES).split(b"\n")
     split = [line.split() for line in lines]
     odds = model.line_probabilities(split)
     best = odds[:, 1:].argmax(axis=1) + 1
-    for k in np.flatnonzero((1 - odds[:, 0] >= model.threshold) & (odds[:, 0] < 0.5)):
+    out = []
+    for k in np.flatnonzero(odds[:, 0] < 0.5):
         if split[k]:
             family = model.families[best[k]]
             share = template_share(split[k], family)
-            yield int(k), family if share >= CONFIRMED else UNKNOWN, float(odds[k, best[k]]), share
+            out.append((int(k), family, float(odds[k, best[k]]), share, float(1 - odds[k, 0])))
+    return sum(1 for words in split if words), out
+
+
+def _bin(odds: float) -> int:
+    return min(LAST_BIN, max(0, int(BINS * np.log(odds / max(1 - odds, 1e-16)))))
+
+
+def calibrate(docs: DataFrame, model: Model, text_col: str = "text") -> float:
+    """The odds of any family that no more than FALSE_RATE of the background exceeds, and half at least.
+
+    Background are all paragraphs that no template resembles. They are counted
+    by bin in Spark, so the driver gets LAST_BIN + 2 rows at most. Odds in the
+    last bin are not told apart.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in as_bytes(texts):
+            n, found = candidates(text or b"", sent.value)
+            counts = Counter(_bin(odds) for *_, share, odds in found if share < 0.5)
+            counts[-1] = n - len(found)
+            out.append([{"bin": k, "n": v} for k, v in counts.items() if v])
+        return pa.array(out, pa.list_(pa.struct([("bin", pa.int32()), ("n", pa.int64())])))
+
+    judge = F.arrow_udf(of, "array<struct<bin: int, n: bigint>>")
+    counted = docs.select(F.explode_outer(judge(F.col(text_col))).alias("x")).where("x IS NOT NULL")
+    counts = {r["bin"]: r["n"] for r in counted.groupBy("x.bin").agg(F.sum("x.n").alias("n")).collect()}
+    left = FALSE_RATE * sum(counts.values())
+    lowest = LAST_BIN
+    while lowest > 0 and counts.get(lowest, 0) <= left:
+        left -= counts.get(lowest, 0)
+        lowest -= 1
+    least = lowest if lowest == LAST_BIN or counts.get(lowest, 0) <= left else lowest + 1
+    return float(1 / (1 + np.exp(-least / BINS)))
+
+
+def paragraphs_of(text: bytes, model: Model) -> Iterator[tuple[int, str, float, float]]:
+    """(line number, family, probability, template share) of the lines taken for a licence.
+
+    The family is `unknown` if no template of the predicted one confirms it.
+    """
+    for k, family, probability, share, odds in candidates(text, model)[1]:
+        if odds >= model.threshold:
+            yield k, family if share >= CONFIRMED else UNKNOWN, probability, share
 
 
 LINES_TYPE = "array<struct<line_no: int, family: string, probability: double, template_share: double>>"
