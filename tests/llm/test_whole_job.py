@@ -79,3 +79,28 @@ def test_threshold_counts_every_paragraph(spark):
     assert licenses.calibrate(docs.union(docs), fixed_model()) < 0.9
     more = docs.union(spark.createDataFrame([(99, "\n".join(["high one odd line"] * 2))], docs.schema))
     assert 0.9 < licenses.calibrate(more, fixed_model()) < 0.99
+
+
+def test_windows_are_scored_as_alone():
+    model = fixed_model()
+    model.words, model.pairs = {b"a": 0, b"b": 1, b"c": 2}, np.array([1, 5])
+    draw = np.random.default_rng(1)
+    model.weights, model.bias = draw.normal(size=(len(model.families), 5)), draw.normal(size=len(model.families))
+    words = [b"abcx"[k : k + 1] for k in draw.integers(0, 4, 40)]
+    start, end = np.array([0, 3, 5, 38, 7]), np.array([40, 4, 20, 40, 10])
+    alone = model.line_probabilities([words[s:e] for s, e in zip(start, end, strict=True)])
+    assert np.allclose(model.window_probabilities(model.number(words), start, end), alone)
+
+
+def test_inline_short_and_reworded_notices(spark):
+    prose = "the old house stood by the river and nobody came to see it in those days " * 8
+    mit = "This project is licensed under the MIT License."
+    reworded = "This program is free software: you may share it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."
+    texts = [
+        (1, prose + mit + " " + prose), (2, "MIT License"), (3, "words\nGPLv3\nwords"), (4, prose + reworded + " " + prose),
+        (5, prose + "the rights of the copyright notice and of the software in the old house " + prose), (6, "License"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = licenses.learn(documents(spark))
+    rows = {r["doc_id"]: r["families"] for r in licenses.summary(licenses.scan(docs, model)).collect()}
+    assert rows == {1: "mit", 2: "mit", 3: "gpl", 4: "gpl", 5: "", 6: ""}

@@ -1,6 +1,7 @@
 """Licence statements: a paragraph classifier confirmed by templates.
 
-Paragraphs are the lines of a text. A multinomial logistic regression over word
+Paragraphs are the lines of a text; one longer than a notice is judged by its
+best window. A multinomial logistic regression over word
 unigrams and bigrams names a licence family or none. It is fitted on crops of
 the templates below and on a bounded sample of the corpus's own paragraphs.
 """
@@ -83,6 +84,17 @@ TEMPLATES = {
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ],
 }
+#: Notices too short for a word triple; a paragraph must equal one.
+SHORT = {
+    "apache-2.0": ["Apache License", "Apache-2", "Apache 2"],
+    "mit": ["MIT License", "MIT Licence", "MIT-licensed"],
+    "gpl": ["GPLv2", "GPLv3", "GPL v2", "GPL v3", "GPL-2", "GPL-3", "GNU GPL", "GPL License", "GPL Licence"],
+    "lgpl": ["LGPLv2", "LGPLv3", "LGPL v2", "LGPL v3", "LGPL-2", "LGPL-3", "GNU LGPL", "LGPL License", "LGPL Licence"],
+    "bsd": ["BSD License", "BSD Licence"],
+    "mpl-2.0": ["MPL-2", "MPL v2", "MPLv2"],
+    "cc-by": ["CC BY"],
+    "cc0": ["CC0", "CC0 License", "CC0 Licence"],
+}
 UNKNOWN = "unknown"
 
 #: Crops of templates by family, and corpus paragraphs, that the fit sees.
@@ -90,6 +102,11 @@ CROPS = 400
 BACKGROUND = 8_000
 #: Share of background paragraphs that may be called a licence.
 FALSE_RATE = 0.0005
+#: Windows of paragraphs longer than so many words; each size in steps of half of it.
+SIZES = (8, 16, 32, 64)
+#: Words between two template triples of one stretch, and the least share of a template that confirms a part of a paragraph.
+GAP = 6
+COVERED = 0.5
 #: Log-odds of background paragraphs are counted in bins, so many to a unit, up to the last one.
 BINS = 100
 LAST_BIN = 3_000
@@ -138,6 +155,28 @@ class Model:
         odds = np.exp(logits)
         return odds / odds.sum(axis=1, keepdims=True)
 
+    def window_probabilities(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Class probabilities of windows of the words; as probabilities() of each window alone."""
+        single = np.flatnonzero(ids >= 0)
+        first, feature = single, ids[single]
+        pair = single[:-1][np.diff(single) == 1] if len(self.pairs) else single[:0]
+        code = ids[pair] * len(self.words) + ids[np.minimum(pair + 1, len(ids) - 1)]
+        at = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == code if len(pair) else np.zeros(0, bool)
+        pair, at = pair[known], at[known]
+        total = np.maximum(2 * (end - start) - 1, 1)
+        # A window has the words from start to end and the pairs that begin before its last word.
+        words, pairs = np.searchsorted(first, [start, end]), np.searchsorted(pair, [start, end - 1])
+        logits = np.empty((len(start), len(self.families)))
+        for k in range(len(self.families)):
+            of_words = np.concatenate([[0.0], np.cumsum(self.weights[k][feature])])
+            of_pairs = np.concatenate([[0.0], np.cumsum(self.weights[k][len(self.words) + at])])
+            summed = of_words[words[1]] - of_words[words[0]] + of_pairs[pairs[1]] - of_pairs[pairs[0]]
+            logits[:, k] = summed / total + self.bias[k]
+        logits -= logits.max(axis=1, keepdims=True)
+        odds = np.exp(logits)
+        return odds / odds.sum(axis=1, keepdims=True)
+
     def number(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
 
@@ -160,6 +199,40 @@ def template_share(words: list[bytes], family: str) -> float:
     return max(len(own & known) for known in _TEMPLATE_TRIPLES[family]) / len(own) if own else 0.0
 
 
+def covered_share(words: list[bytes], family: str) -> float:
+    """The largest share of a template of the family that the words have, of those that they consist of as CONFIRMED asks."""
+    own = triples(words)
+    both = [(len(own & known), len(known)) for known in _TEMPLATE_TRIPLES[family]]
+    return max((n / size for n, size in both if size and n >= CONFIRMED * len(own) and n), default=0.0)
+
+
+_SHORT_FAMILY = {tuple(tokens(t.encode())): f for f, listed in SHORT.items() for t in listed}
+_ANY_TRIPLE = set().union(*(known for listed in _TEMPLATE_TRIPLES.values() for known in listed))
+_TRIPLE_STARTS = {t[0] for t in _ANY_TRIPLE}
+
+
+def stretches(words: list[bytes]) -> list[tuple[int, int]]:
+    """(start, end) from the first to the last word of template triples that stand near each other."""
+    out = []
+    for k in range(len(words) - 2):
+        if words[k] in _TRIPLE_STARTS and (words[k], words[k + 1], words[k + 2]) in _ANY_TRIPLE:
+            if out and k - out[-1][1] <= GAP:
+                out[-1] = (out[-1][0], k + 3)
+            else:
+                out.append((k, k + 3))
+    return out
+
+
+def windows(words: list[bytes]) -> list[tuple[int, int]]:
+    """(start, end) of the whole paragraph, of overlapping windows of SIZES and of its stretches of template triples."""
+    n = len(words)
+    out = [(0, n)] if n else []
+    for size in SIZES:
+        if n > size:
+            out += [(k, k + size) for k in range(0, n - size, size // 2)] + [(n - size, n)]
+    return out + [w for w in stretches(words) if w != (0, n)]
+
+
 def crops(draw: np.random.Generator) -> list[tuple[list[bytes], str]]:
     """Stretches of the templates, whole ones among them, some with strange words around."""
     out = []
@@ -221,7 +294,12 @@ def fit(spark, examples: list[tuple[list[bytes], str]], strange: list[list[bytes
 def learn(docs: DataFrame, text_col: str = "text") -> Model:
     """Fit on a bounded sample, then set the threshold by all paragraphs of docs."""
     draw = np.random.default_rng(SEED)
-    model = fit(docs.sparkSession, crops(draw), background(docs, text_col))
+    lines = background(docs, text_col)
+    # Windows are judged, so the fit sees one of each longer line, too.
+    parts = [windows(words)[int(draw.integers(1, len(windows(words))))] for words in lines if len(words) > SIZES[0]]
+    longer = [words for words in lines if len(words) > SIZES[0]]
+    strange = [words[s:e] for words, (s, e) in zip(longer, parts, strict=True)]
+    model = fit(docs.sparkSession, crops(draw), lines + strange)
     model.threshold = calibrate(docs, model, text_col)
     return model
 
@@ -229,19 +307,35 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
 def candidates(text: bytes, model: Model) -> tuple[int, list[tuple[int, str, float, float, float]]]:
     """(paragraphs, those more likely a licence than not).
 
-    The latter are (line number, family, probability, template share, odds of any family).
+    The latter are (line number, family, probability, template share, odds of any
+    family) of their best window: a confirmed one if there is any, then that of
+    the greatest odds. A part of a paragraph is confirmed only if it holds
+    COVERED of the template too; a few words in common are no notice.
     """
-    lines = text.translate(_TOKEN_BYTES).split(b"\n")
-    split = [line.split() for line in lines]
-    odds = model.line_probabilities(split)
+    split = [line.split() for line in text.translate(_TOKEN_BYTES).split(b"\n")]
+    places = [(k, s, e) for k, words in enumerate(split) for s, e in windows(words)]
+    if not places:
+        return 0, []
+    line, start, end = np.array(places, np.int64).T
+    offset = np.concatenate([[0], np.cumsum([len(words) for words in split])])[line]
+    ids = model.number([w for words in split for w in words])
+    odds = model.window_probabilities(ids, start + offset, end + offset)
     best = odds[:, 1:].argmax(axis=1) + 1
-    out = []
-    for k in np.flatnonzero(odds[:, 0] < 0.5):
-        if split[k]:
-            family = model.families[best[k]]
-            share = template_share(split[k], family)
-            out.append((int(k), family, float(odds[k, best[k]]), share, float(1 - odds[k, 0])))
-    return sum(1 for words in split if words), out
+    found: dict[int, tuple] = {}
+    for w in np.flatnonzero(odds[:, 0] < 0.5):
+        k, own = int(line[w]), split[line[w]][start[w] : end[w]]
+        family = model.families[best[w]]
+        share = template_share(own, family)
+        if share >= CONFIRMED and len(own) < len(split[k]) and covered_share(own, family) < COVERED:
+            share = 0.0
+        row = (share >= CONFIRMED, float(1 - odds[w, 0]), share, k, family, float(odds[w, best[w]]))
+        found[k] = max(found.get(k, row), row)
+    out = {k: (k, family, p, share, any_) for k, (_, any_, share, _, family, p) in found.items()}
+    for w, (k, s, e) in enumerate(places):
+        family = _SHORT_FAMILY.get(tuple(split[k])) if e - s == len(split[k]) < 3 else None
+        if family:
+            out[k] = (k, family, float(odds[w, model.families.index(family)]), 1.0, 1.0)
+    return sum(1 for words in split if words), [out[k] for k in sorted(out)]
 
 
 def _bin(odds: float) -> int:
