@@ -71,16 +71,27 @@ def _curve(t):
 
 
 def _tuned(t):
-    """Mean macro F1 of two candidates over three folds of the labelled documents."""
+    """Mean macro F1 of all candidates of the search over the folds of the labelled documents."""
     folded = splits.assign_folds(_labeled(t), "intent")
-    candidates = [classifiers.Candidate(c=c, terms=10000) for c in (0.1, 1.0)]
+    candidates = [c for grid in classifiers.default_grids() for c in grid]
     rows = [
-        F.struct(F.lit(c.c).alias("c"), F.lit(c.terms).alias("terms"), F.lit(score).alias("f1_macro"))
+        F.struct(*(F.lit(getattr(c, k)).alias(k) for k in ("c", "terms", "solver", "penalty")), F.lit(score).alias("f1_macro"))
         for c, score in classifiers.tuning_scores(folded, "intent", candidates)
     ]
     return t.spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _best_pairs(t):
+    """Truth and predictions of the test part by the winner of the search, refitted on the training part."""
+    train, test = _parts(t, "intent")
+    model, _, _ = classifiers.fit_best(splits.assign_folds(train, "intent"), "intent")
+    predicted = classifiers.predict(model, test).select(
+        F.col("doc_id").alias("id"), F.col("predicted_intent").alias("y_pred")
+    )
+    truth = test.select(F.col("doc_id").alias("id"), F.col("intent").alias("y_true"))
+    return joins.pair_predictions(truth, predicted)
+
+
 def _scored(t):
     sent = t.read("documents").select("doc_id", "text")
     return scoring.score_messages(sent, *_models(t), _reply, _reply, keep=("doc_id",))
@@ -182,6 +193,7 @@ QUERIES = {
     "model_evaluation": _evaluation,
     "training_curve": _curve,
     "tuning_scores": _tuned,
+    "tuned_predictions": _best_pairs,
     "scored_messages": _scored,
     "stream_direction_counts": lambda t: run_counts(_messages_stream(t), corpus.direction_counts),
     "stream_length_histogram": lambda t: run_counts(_messages_stream(t), corpus.length_histogram),
