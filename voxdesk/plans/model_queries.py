@@ -20,6 +20,9 @@ from voxdesk.sources.results import load_encoders, save_encoders
 from voxdesk.streaming.counts import read_stream, run_counts
 from voxdesk.streaming.scoring import run_scoring
 
+#: Most rows of a file that arrives.
+FILE_ROWS = 100_000
+
 
 def _labeled(t):
     """Cleaned labelled documents, kept because splits and fits read them often."""
@@ -98,11 +101,13 @@ def _scored(t):
 
 
 def _arriving(t, table):
-    """A table as a stream of several files, each a micro-batch."""
+    """A table, written in its own partitions, as a stream of about three micro-batches."""
     path = shared_dir(t.spark, "arriving")
     rows = t.read(table)
-    rows.repartition(3).write.parquet(path)
-    return read_stream(t.spark, path, rows.schema, files_per_trigger=1)
+    most = max(1, min(FILE_ROWS, -(-rows.count() // 3)))
+    rows.write.option("maxRecordsPerFile", most).parquet(path)
+    files = len(t.spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return read_stream(t.spark, path, rows.schema, files_per_trigger=max(1, -(-files // 3)))
 
 
 def _messages_stream(t):
