@@ -1,6 +1,7 @@
 """What the operators on training text share."""
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,21 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Enough tasks that none gets more than per_task rows on average."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+#: Bytes of a text that are split into words at once.
+PIECE_BYTES = 1 << 20
+_BLANKS = b" \t\n\x0b\x0c\r"
+
+
+def word_pieces(text: bytes | None, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists that come from about `size` bytes each."""
+    start, end = 0, len(text or b"")
+    while start < end:
+        stop = start + size
+        while stop < end and text[stop] not in _BLANKS:
+            stop += 1
+        words = text[start:stop].split()
+        if words:
+            yield words
+        start = stop

@@ -9,7 +9,10 @@ from voxdesk.llm import (
     licenses,
     line_dedup,
     mixing,
+    near_dedup,
+    phrases,
     quality,
+    runs,
     sharding,
     simhash,
     substrings,
@@ -99,6 +102,48 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken.withColumnRenamed("id", "doc_id")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs whose texts repeat a stretch of words if crc32(doc_id) ends in 0, as the contract of op11 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    begin = docs.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    placed = begin.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn(
+        "p", F.floor((n - F.col("a")) / (F.lit(3) + g % 8)).cast("int") + 1
+    )
+    rest = n - F.col("a")
+    unit = F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))
+    repeated = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(unit), F.lit(1), rest))
+    text = F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return placed.withColumn("text", text).drop("h", "w", "a", "p")
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document."""
+    docs = with_planted_periods(read(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs)
+    best = F.aggregate(
+        "runs", F.lit(None).cast(runs.RUN),
+        lambda b, r: F.when(b.isNull() | (r.length * b.period > b.length * r.period), r).otherwise(b),
+    )
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256", "n_words",
+    )
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The collocations of every language."""
+    return phrases.collocations(read(spark, folder, "documents"), Scratch(spark, "phrases"))
+
+
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document among those of similar word shingles."""
+    return near_dedup.near_duplicates(read(spark, folder, "documents"), Scratch(spark, "near"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -110,6 +155,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_minhash": op13_minhash,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -211,7 +259,44 @@ SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS
 FROM documents LEFT JOIN listed USING (doc_id)
 """
 
+_PHRASES = f"""
+WITH piece AS (
+    SELECT lang, regexp_extract_all(part, '[^\\x20\\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS part
+        FROM documents)
+), gram AS (
+    SELECT lang, len, array_to_string(w[k:k + len - 1], ' ') AS phrase FROM (
+        SELECT lang, w, len, unnest(range(1, len(w) - len + 2)) AS k
+        FROM piece, (SELECT unnest(range(1, 6)) AS len) WHERE len(w) >= len)
+), counted AS (
+    SELECT lang, len, phrase, count(*) AS a FROM gram GROUP BY lang, len, phrase HAVING count(*) >= 100
+), total AS (
+    SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM piece GROUP BY lang
+), candidate AS (
+    SELECT lang, len, phrase, a, string_split(phrase, ' ') AS w FROM counted WHERE len > 1
+), cut AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:len], ' ') AS y
+    FROM (SELECT *, unnest(range(1, len)) AS k FROM candidate)
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, k,
+           (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+    FROM cut c JOIN counted x ON c.lang = x.lang AND c.x = x.phrase
+    JOIN counted y ON c.lang = y.lang AND c.y = y.phrase JOIN total t ON c.lang = t.lang
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+    SELECT DISTINCT b.lang, b.phrase FROM candidate b JOIN candidate o
+    ON b.lang = o.lang AND o.len > b.len AND 100 * o.a >= 100 * b.a
+    AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best ANTI JOIN longer USING (lang, phrase)
+QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
+    "op12_collocations": _PHRASES,
     "op8_substring_dedup": _SUBSTRINGS,
     "op1_decontamination": _DECONTAMINATION,
     "op2_line_dedup": _LINES,
