@@ -1,5 +1,7 @@
 """What the operators on training text share."""
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -72,6 +74,18 @@ def as_bytes(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(kind).to_pylist()
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, so that its texts are not all held twice."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task keeps none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def word_ids(words: list[bytes]) -> tuple[np.ndarray, int]:
     """A number for each word, equal words having equal numbers, and how many there are."""
     known: dict[bytes, int] = {}

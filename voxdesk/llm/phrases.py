@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxdesk.llm.common import Scratch, as_bytes, small_table
+from voxdesk.llm.common import Scratch, as_bytes, give_back, sliced, small_table
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -27,12 +27,12 @@ UNKNOWN = "und"
 #: Side of a tile; pairs in a tile from which it is counted by address; tiles a task holds.
 TILE = 512
 DENSE_PAIRS = TILE * TILE // 16
-DENSE_TILES = 32
+DENSE_TILES = 8
 #: Pairs gathered before they are counted, and coordinates a task holds before it hands them on.
-PAIRS = 1 << 20
-COORDINATES = 1 << 21
+PAIRS = 1 << 18
+COORDINATES = 1 << 19
 #: Distinct words a task holds before it hands their counts on.
-LOCAL_WORDS = 500_000
+LOCAL_WORDS = 100_000
 #: Entries of a numbering that are sent to the tasks at once. A larger one is sent slice by slice.
 SLICE = 500_000
 #: Words of an encoded row, which ends where a piece of text ends. Readers take thousands of rows at once.
@@ -59,7 +59,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         counts.clear()
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(whole)):
         for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
             own = counts.setdefault(lang, Counter())
             own.update(tokens(text))
@@ -67,6 +67,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(own) > LOCAL_WORDS or len(counts) > 1000:
                 yield from rows()
     yield from rows()
+    give_back()
 
 
 def numbered(rows: DataFrame, order: list[Column], scratch: Scratch, name: str) -> tuple[DataFrame, int]:
@@ -87,7 +88,7 @@ def _encode(words: dict[tuple[str, bytes], int], last: bool) -> Callable:
     """Put word numbers in the place of words: -1 for others, -2 where a piece or a text ends."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             earlier = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
             rows = []
             for lang, text, before in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), earlier, strict=True):
@@ -101,6 +102,7 @@ def _encode(words: dict[tuple[str, bytes], int], last: bool) -> Callable:
             kept = [] if last else [batch.column(0), batch.column(1)]
             lists = pa.array(rows, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*kept, lists], names=["lang", "text", "words"][-1 - len(kept) :])
+        give_back()
 
     return encode
 
@@ -205,6 +207,8 @@ def _count_pairs(length: int, vocabulary: int) -> Callable:
                 if held >= PAIRS:
                     yield from out(False)
         yield from out(True)
+        del tiles
+        give_back()
 
     return count
 
@@ -226,6 +230,7 @@ def _renumber(keys: np.ndarray, numbers: np.ndarray, length: int, vocabulary: in
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(now))
             kept = [c for c in names if c != "next"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [lists], names=[*kept, "next"])
+        give_back()
 
     return renumber
 
