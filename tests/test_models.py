@@ -1,9 +1,12 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
 from voxdesk.operators import classifiers, evaluation, scoring, splits
 from voxdesk.operators.classifiers import Candidate
+from voxdesk.operators.ledger import CallLedger
 from voxdesk.sources import results
 
 SF = "/root/testdata/sf0.001"
@@ -73,7 +76,7 @@ def test_regularisation_follows_c(labeled):
 
 
 def test_unfitted_model_raises(labeled):
-    with pytest.raises(ValueError, match="not trained"):
+    with pytest.raises(ValueError, match="no fitted model"):
         classifiers.predict(None, labeled)
 
 
@@ -116,12 +119,20 @@ def test_score_messages(spark, intent_model, severity_model):
         for prompt in batch["prompt"]:
             yield (None, "quota gone") if "crash" in prompt else (f" got {len(prompt)} ", None)
 
-    out = scoring.score_messages(sent, intent_model, severity_model, reply, reply, keep=("message_id",))
+    def place(seed, row):
+        return hashlib.md5(f"{seed}|{row}".encode()).hexdigest()
+
+    # The quota ends behind the first message, whatever the order of the rows.
+    seed = next(s for s in range(99) if place(s, "1|My BILL is wrong, bills!") < place(s, "3|crash crashs"))
+    out = scoring.score_messages(
+        sent, intent_model, severity_model, reply, reply, keep=("message_id",), ledger=CallLedger(spark, seed=seed)
+    )
     rows = {r["message_id"]: r for r in out.collect()}
     assert (rows[1]["predicted_intent"], rows[1]["predicted_severity"]) == ("billing", 2)
     assert rows[1]["reply"].startswith("got ") and rows[1]["text"] == "My BILL is wrong, bills!"
     assert (rows[3]["predicted_intent"], rows[3]["predicted_severity"]) == ("technical", 3)
     assert rows[3]["reply"] == V.QUOTA_REPLY and rows[3]["explanation"] == V.QUOTA_EXPLANATION
+    assert rows[1]["explanation"] == V.QUOTA_EXPLANATION
     for key in (2, 4):
         assert (rows[key]["predicted_intent"], rows[key]["predicted_severity"]) == ("other", 1)
         assert rows[key]["reply"] == V.EMPTY_REPLY and rows[key]["explanation"] == V.EMPTY_EXPLANATION
@@ -140,3 +151,61 @@ def test_stream_scores_equal_batch_scores(spark, intent_model, severity_model, t
     got = run_scoring(stream, intent_model, severity_model, keep=("message_id",))
     want = scoring.score_messages(sent, intent_model, severity_model, keep=("message_id",))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_reply_and_explanation_stop_together(spark, intent_model, severity_model):
+    sent = spark.createDataFrame([(i, f"bill number {i}") for i in range(30)], "message_id long, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def ends(batch):
+        for _ in batch["prompt"]:
+            yield None, "quota gone"
+
+    def explains(batch):
+        for _ in batch["prompt"]:
+            calls.add(1)
+            yield "because", None
+
+    out = scoring.score_messages(sent, intent_model, severity_model, ends, explains, keep=("message_id",))
+    assert {(r["reply"], r["explanation"]) for r in out.collect()} == {(V.QUOTA_REPLY, V.QUOTA_EXPLANATION)}
+    assert calls.value == 0
+
+
+def test_a_repeated_stream_batch_makes_no_call_twice(spark, intent_model, severity_model, tmp_path, monkeypatch):
+    from voxdesk.sources.commits import CommittedTable
+    from voxdesk.streaming.counts import read_stream
+    from voxdesk.streaming.scoring import run_scoring
+
+    log, folder, base = tmp_path / "calls", str(tmp_path / "in"), str(tmp_path / "out")
+
+    def reply(batch):
+        for prompt in batch["prompt"]:
+            with open(log, "a") as out:
+                out.write(prompt.replace("\n", " ") + "\n")
+            yield "thanks", None
+
+    def run():
+        stream = read_stream(spark, folder, sent.schema, files_per_trigger=1)
+        return run_scoring(stream, intent_model, severity_model, reply, keep=("message_id",), folder=base)
+
+    sent = spark.createDataFrame([(i, f"bill {i}" if i % 4 else "#x") for i in range(12)], "message_id long, text string")
+    sent.repartition(3).write.parquet(folder)
+    append = CommittedTable.append
+
+    def fails(table, rows, token):
+        if token == "batch-1":
+            raise RuntimeError("lost after the calls")
+        return append(table, rows, token)
+
+    monkeypatch.setattr(CommittedTable, "append", fails)
+    with pytest.raises(Exception, match="lost after the calls"):
+        run()
+    monkeypatch.undo()
+    before = log.read_text().splitlines()
+    rows = run().collect()
+    calls = log.read_text().splitlines()
+    assert before and len(calls) == len(set(calls)) == 9
+    assert sorted(r["message_id"] for r in rows) == list(range(12))
+    assert all(r["reply"] == ("thanks" if r["message_id"] % 4 else V.EMPTY_REPLY) for r in rows)
+    assert all(r["explanation"] is None or r["message_id"] % 4 == 0 for r in rows)
+    assert len(run().collect()) == 12 and len(log.read_text().splitlines()) == 9

@@ -58,15 +58,6 @@ OUTBOUND_LABEL = "Support (outbound)"
 LENGTH_EDGES = [0, 40, 80, 120, 160, 200, 260, 320, 400, 600, 800, 1000]
 
 # ---- Taxonomies ---------------------------------------------------------
-ONLINE_INTENTS = [
-    "billing_issue",
-    "technical_issue",
-    "account_access",
-    "delivery_or_service_delay",
-    "refund_or_compensation",
-    "general_question",
-    "other",
-]
 OFFLINE_INTENTS = [
     "technical_issue",
     "account_issue",
@@ -82,6 +73,11 @@ NOT_ASKED = "not asked after a quota error"
 ONLINE_DEFAULT_SEVERITY = 1
 ONLINE_MAX_SEVERITY = 3
 OFFLINE_DEFAULT_SEVERITY = 2
+SEVERITY_SCALE = """
+1 = low (non-urgent, general question, casual feedback)
+2 = medium (inconvenient, but app/service basically works)
+3 = high (blocking/critical, cannot use service, strong frustration)
+"""
 
 # ---- Defaults -----------------------------------------------------------
 SEED = 42
@@ -168,8 +164,7 @@ Write a short, empathetic, and helpful reply (max 3 sentences) that:
 - stays polite and professional.
 No hashtags, no emojis. Just the reply text.
 '''
-EXPLANATION_PROMPT = (
-    '''
+EXPLANATION_PROMPT = '''
 You are explaining a machine learning model's prediction.
 
 Customer tweet:
@@ -179,13 +174,10 @@ The model predicted:
 - Intent category: <<intent>>
 - Severity level: <<severity>> (0=informational, 1=mild, 2=serious, 3=critical)
 
-Write a brief explanation (2-3 sentences) explaining why the model classified this tweet as "<<intent>>" with severity <<severity>>. '''
-    # the blank before the line break above belongs to the text
-    '''
+Write a brief explanation (2-3 sentences) explaining why the model classified this tweet as "<<intent>>" with severity <<severity>>. 
 Focus on the key words, phrases, or patterns in the tweet that led to this classification.
 Be clear and concise.
 '''
-)
 AUGMENTATION_PROMPT = '''
 Generate <<needed>> realistic customer support tweets/complaints for the category: <<intent>>
 

@@ -25,6 +25,8 @@ from voxdesk.functions.responses import (
 from voxdesk.session import ship_package
 
 Model = Callable[[pd.DataFrame], Iterable[tuple[str | None, str | None]]]
+#: Texts and candidate labels to one (list of (label, score), error) pair per text.
+Scorer = Callable[[list[str], list[str]], Iterable[tuple[list[tuple[str, float]] | None, str | None]]]
 
 
 def per_row(
@@ -120,6 +122,44 @@ def ask(
     return spread.mapInArrow(run, schema).withColumn("status", status)
 
 
+def score_labels(
+    df: DataFrame, scorer: Scorer, asked: dict[str, tuple[Column, list[str]]], parallelism: int | None = None
+) -> DataFrame:
+    """df with, for each task, an array <task> of (label, score) and <task>_error.
+
+    asked names the tasks with the text they read and the candidate labels. Rows
+    whose text is null are not asked and have both columns null. What a scorer
+    raises becomes the error of all rows of its batch that it had not answered.
+    """
+    ship_package(df.sparkSession)
+    scores = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kind = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))
+    texts = df.select("*", *[text.alias(f"__{task}") for task, (text, _) in asked.items()])
+    candidates, width = {task: labels for task, (_, labels) in asked.items()}, len(df.columns)
+    added = [f for t in asked for f in (T.StructField(t, scores), T.StructField(f"{t}_error", T.StringType()))]
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def rated(column: pa.Array, labels: list[str]) -> list[pa.Array]:
+        given = [t for t in column.to_pylist() if t is not None]
+        found = []
+        try:
+            for pair in scorer(given, labels):
+                found.append(pair)
+        except Exception as error:  # any failure of the called model
+            found += [(None, str(error))] * (len(given) - len(found))
+        answers = iter(found)
+        rows = [next(answers) if t is not None else (None, None) for t in column.to_pylist()]
+        listed = [None if s is None else [{"label": n, "score": v} for n, v in s] for s, _ in rows]
+        return [pa.array(listed, kind), pa.array([e for _, e in rows], pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [c for task, labels in candidates.items() for c in rated(batch.column(f"__{task}"), labels)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *own], names=schema.names)
+
+    return (texts.repartition(parallelism) if parallelism else texts).mapInArrow(run, schema)
+
+
 def answer_status(error: Column) -> Column:
     return (
         F.when(error.isNull(), "ok").when(is_quota_error(error), "quota").otherwise("error")

@@ -10,6 +10,7 @@ tokenise every text a second time.
 """
 
 import math
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,12 +33,8 @@ def grams(df: DataFrame, *keep: str) -> DataFrame:
     return tokens.select(*keep, with_ngrams(F.col("__tokens"), low, high).alias("grams"))
 
 
-def ngram_counts(df: DataFrame) -> DataFrame:
-    """Corpus count and document count per n-gram, in one shuffle.
-
-    Within a row, every gram counts once for the corpus and every distinct gram
-    once for the documents. Both are combined before the shuffle by term.
-    """
+def _marks(df: DataFrame, *keep: str) -> DataFrame:
+    """(term, n, d): every gram of a row counts once for the corpus, every distinct one for the documents."""
     marks = F.concat(
         F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
         F.transform(
@@ -45,13 +42,44 @@ def ngram_counts(df: DataFrame) -> DataFrame:
             lambda g: F.struct(g.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")),
         ),
     )
-    return (
-        grams(df)
-        .select(F.inline_outer(marks))
-        .where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+    return grams(df, *keep).select(*keep, F.inline_outer(marks)).where(F.col("term").isNotNull())
+
+
+def ngram_counts(df: DataFrame) -> DataFrame:
+    """Corpus count and document count per n-gram, combined before the one shuffle by term."""
+    return _marks(df).groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+
+
+@dataclass(frozen=True)
+class FoldCounts:
+    """What all rows hold, and what each fold does: (term, n, docs, n_in, docs_in), documents, documents_in."""
+
+    terms: DataFrame
+    documents: int
+    documents_in: list[int]
+
+
+def fold_counts(df: DataFrame, folds: int) -> FoldCounts:
+    """Counts of n-grams with a share for each fold, from one pass over the texts; df has an int column fold."""
+    own = [F.col("fold") == k for k in range(folds)]
+    shares = {
+        f"{name}_in": F.array(*[F.sum(F.when(mine, F.col(c)).otherwise(0)) for mine in own])
+        for name, c in (("n", "n"), ("docs", "d"))
+    }
+    counted = _marks(df, "fold").groupBy("term").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("docs"), *[c.alias(name) for name, c in shares.items()]
     )
+    ensure_checkpoint_dir(df.sparkSession)
+    sizes = df.agg(F.count("*"), *[F.count(F.when(mine, 1)) for mine in own]).first()
+    return FoldCounts(counted.checkpoint(), sizes[0], list(sizes[1:]))
+
+
+def vocabulary_without(counts: FoldCounts, fold: int, k: int) -> tuple[DataFrame, int]:
+    """ngram_vocabulary() of the rows outside a fold, by subtraction, and how many rows these are."""
+    left = counts.terms.select(
+        "term", (F.col("n") - F.col("n_in")[fold]).alias("n"), (F.col("docs") - F.col("docs_in")[fold]).alias("docs")
+    ).where("n > 0")
+    return _numbered(_most_frequent(left, k, "term")), counts.documents - counts.documents_in[fold]
 
 
 def _most_frequent(counts: DataFrame, k: int, term: str) -> DataFrame:
@@ -78,7 +106,10 @@ def ngram_vocabulary(df: DataFrame, k: int = V.TFIDF_TERMS) -> DataFrame:
 
     The window sees at most k rows.
     """
-    top = _most_frequent(ngram_counts(df), k, "term")
+    return _numbered(_most_frequent(ngram_counts(df), k, "term"))
+
+
+def _numbered(top: DataFrame) -> DataFrame:
     return top.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
 
 
@@ -88,8 +119,12 @@ def weighing_stages(vocabulary: list[Row], documents: int, terms: str, out: str)
     vocabulary holds (term, docs) in idx order. Terms are counted within a row.
     """
     idf = [math.log((1 + documents) / (1 + row["docs"])) + 1 for row in vocabulary]
+    return _weighing([r["term"] for r in vocabulary], idf, terms, out)
+
+
+def _weighing(vocabulary: list[str], idf: list[float], terms: str, out: str) -> list:
     return [
-        CountVectorizerModel.from_vocabulary([r["term"] for r in vocabulary], inputCol=terms, outputCol="__tf"),
+        CountVectorizerModel.from_vocabulary(vocabulary, inputCol=terms, outputCol="__tf"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf"),
         Normalizer(p=2.0, inputCol="__tfidf", outputCol=out),
     ]
@@ -106,14 +141,20 @@ def tfidf_weights(df: DataFrame, k: int = V.TFIDF_TERMS, id_col: str = "doc_id")
     if not vocabulary:
         empty = f"{id_col} {dict(df.dtypes)[id_col]}, term string, weight double"
         return df.sparkSession.createDataFrame([], empty)
-    terms = grams(df, id_col).withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
-    stages = weighing_stages(vocabulary, df.count(), "grams", "__weights")
+    documents = df.count()
+    idf = [math.log((1 + documents) / (1 + row["docs"])) + 1 for row in vocabulary]
+    weights = gram_weights(grams(df, id_col), [r["term"] for r in vocabulary], idf, id_col)
+    return weights.join(table.select("idx", "term"), "idx").select(id_col, "term", "weight")
+
+
+def gram_weights(listed: DataFrame, vocabulary: list[str], idf: list[float], id_col: str) -> DataFrame:
+    """(id_col, idx, weight): L2-normalised tf * idf of the known grams of each row of (id_col, grams)."""
+    terms = listed.withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
     found = F.unwrap_udt(F.col("__weights"))
-    weights = PipelineModel(stages).transform(terms).select(
+    weights = PipelineModel(_weighing(vocabulary, idf, "grams", "__weights")).transform(terms).select(
         id_col, F.explode_outer(F.arrays_zip(found["indices"].alias("at"), found["values"].alias("weight"))).alias("w")
     )
-    weights = weights.where("w IS NOT NULL").select(id_col, F.col("w.at").alias("idx"), "w.weight")
-    return weights.join(table.select("idx", "term"), "idx").select(id_col, "term", "weight")
+    return weights.where("w IS NOT NULL").select(id_col, F.col("w.at").alias("idx"), "w.weight")
 
 
 def token_index(df: DataFrame, cap: int = V.SEQUENCE_WORDS) -> DataFrame:

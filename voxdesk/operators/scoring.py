@@ -8,9 +8,9 @@ from voxdesk import fixed_values as V
 from voxdesk.functions.prompts import explanation_prompt, reply_prompt
 from voxdesk.functions.responses import explanation_or_fallback, reply_or_fallback
 from voxdesk.functions.text import clean_text, is_blank
-from voxdesk.operators.asking import Model, ask
+from voxdesk.operators.asking import Model
 from voxdesk.operators.classifiers import predict
-from voxdesk.session import ensure_checkpoint_dir
+from voxdesk.operators.ledger import Call, CallLedger
 
 
 def empty_fallback(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -33,11 +33,15 @@ def score_messages(
     explainer: Model | None = None,
     parallelism: int | None = None,
     keep: tuple[str, ...] = (),
+    ledger: CallLedger | None = None,
 ) -> DataFrame:
     """Predict intent and severity; attach replies and explanations if wanted.
 
     Prediction reads the cleaned text, prompts hold the raw one. Emptied
-    messages get constants and are never sent to a model.
+    messages get constants and are never sent to a model. Replies and
+    explanations are calls of one ledger and stop together at a quota error;
+    a given ledger shares its calls and its stop with other jobs. A stream has
+    no ledger here, see streaming.scoring.
     """
     raw = df.select(*keep, F.col("text").alias("__raw"), clean_text(F.col("text")).alias("__clean"))
     scored = raw.withColumn("text", F.coalesce("__clean", F.lit("")))
@@ -53,25 +57,32 @@ def score_messages(
         .alias("predicted_severity"),
         empty.alias("__empty"),
     )
-    rows = _attach(rows, "reply", responder, reply_prompt, reply_or_fallback, V.EMPTY_REPLY, parallelism)
-    rows = _attach(
-        rows, "explanation", explainer, explanation_prompt, explanation_or_fallback,
-        V.EMPTY_EXPLANATION, parallelism,
+    return _with_replies(rows, responder, explainer, keep, ledger or _ledger(rows, responder, explainer, parallelism)).drop(
+        "__empty"
     )
-    return rows.drop("__empty")
 
 
-def _attach(rows, column, model, prompt, finish, constant, parallelism) -> DataFrame:
+def _ledger(rows: DataFrame, responder: Model | None, explainer: Model | None, parallelism: int | None) -> CallLedger | None:
+    if responder is None and explainer is None:
+        return None
+    if rows.isStreaming:
+        raise ValueError("calls of a stream need the ledger of streaming.scoring.run_scoring")
+    return CallLedger(rows.sparkSession, parallelism=parallelism)
+
+
+def _with_replies(rows, responder, explainer, keep, ledger) -> DataFrame:
+    """Replies and explanations; a wave's replies come before its explanations."""
     empty = F.col("__empty")
-    if model is None:
-        return rows.withColumn(column, F.when(empty, F.lit(constant)))
-    filled = prompt(F.col("text"), F.col("predicted_intent"), F.col("predicted_severity"))
-    asked = ask(
-        rows.withColumn("prompt", F.when(~empty, filled)), model, parallelism=parallelism, stop_on_quota=True
-    )
-    if not rows.isStreaming:
-        # Answers are written once, so that reading the result again repeats no call.
-        ensure_checkpoint_dir(rows.sparkSession)
-        asked = asked.checkpoint()
-    answer = F.when(empty, F.lit(constant)).otherwise(finish(F.col("status"), F.col("answer")))
-    return asked.withColumn(column, answer).drop("prompt", "answer", "error", "status")
+    about = (F.col("text"), F.col("predicted_intent"), F.col("predicted_severity"))
+    kinds = [
+        ("reply", responder, reply_prompt, reply_or_fallback, V.EMPTY_REPLY),
+        ("explanation", explainer, explanation_prompt, explanation_or_fallback, V.EMPTY_EXPLANATION),
+    ]
+    calls = [Call(kind, model, F.when(~empty, prompt(*about))) for kind, model, prompt, _, _ in kinds if model]
+    out = ledger.ask(rows, calls, *keep, "text") if calls else rows
+    for kind, model, _, finish, constant in kinds:
+        given = F.when(empty, F.lit(constant))
+        if model:
+            given = given.otherwise(finish(F.col(f"{kind}_status"), F.col(f"{kind}_answer")))
+        out = out.withColumn(kind, given)
+    return out.drop(*[f"{c.kind}_{part}" for c in calls for part in ("answer", "error", "status")])

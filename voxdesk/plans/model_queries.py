@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 
 from voxdesk import fixed_values as V
 from voxdesk.functions.text import is_blank
-from voxdesk.operators import classifiers, corpus, evaluation, features, filters, joins, scoring, splits
+from voxdesk.operators import classifiers, corpus, evaluation, features, filters, joins, linear, scoring, splits
 from voxdesk.plans import sql
 from voxdesk.plans.corpus_queries import ORACLE as CORPUS_ORACLE
-from voxdesk.session import shared_dir
+from voxdesk.session import ensure_checkpoint_dir, shared_dir
 from voxdesk.sources.labels import (
+    append_label_batch,
     append_labels,
+    label_table,
+    read_label_batches,
     read_labels,
     read_labels_or_empty,
     read_ratings,
@@ -25,8 +28,9 @@ FILE_ROWS = 100_000
 
 
 def _labeled(t):
-    """Cleaned labelled documents, kept because splits and fits read them often."""
-    return filters.clean_labeled(t.labeled(), keep=("doc_id",)).persist()
+    """Cleaned labelled documents, written because splits and fits read them often."""
+    ensure_checkpoint_dir(t.spark)
+    return filters.clean_labeled(t.labeled(), keep=("doc_id",)).checkpoint()
 
 
 def _parts(t, label):
@@ -69,6 +73,68 @@ def _intent_scores(t):
     return classifiers.class_scores(classifiers.fit_task(train, "intent"), test, "doc_id")
 
 
+def _fact(name, rows, wrong):
+    """(fact, checked, violations) over rows with a condition."""
+    return rows.agg(
+        F.lit(name).alias("fact"), F.count("*").alias("checked"), F.count(F.when(wrong, 1)).alias("violations")
+    )
+
+
+def _score_differences(t, label, family="auto"):
+    """Probabilities of a fitted model against the product of its tables with the documents' weights."""
+    labeled = _labeled(t)
+    model = classifiers.fit_task(labeled, label, family=family)
+    tables = linear.model_tables(t.spark, model)
+    own = classifiers.class_scores(model, labeled, "doc_id").withColumnsRenamed({"class": "label", "score": "own"})
+    joined = linear.scores_by_join(tables, labeled, "doc_id").join(own, ["doc_id", "label"], "full")
+    far = F.col("own").isNull() | F.col("score").isNull() | (F.abs(F.col("own") - F.col("score")) > 1e-9)
+    sums = own.groupBy("doc_id").agg(F.sum("own").alias("sum"), F.max_by("label", "own").alias("best"))
+    predicted = classifiers.predict(model, labeled).select("doc_id", F.col(f"predicted_{label}").alias("predicted"))
+    sums = sums.join(predicted, "doc_id", "full")
+    return (
+        _fact("scores of the join equal the model's", joined, far)
+        .unionByName(_fact("scores sum to one", sums, ~F.coalesce(F.abs(F.col("sum") - 1) < 1e-9, F.lit(False))))
+        .unionByName(_fact("the best score is predicted", sums, ~F.col("best").eqNullSafe(F.col("predicted"))))
+    )
+
+
+def _saved(t):
+    """Predictions and loss curve of a model's tables, saved and loaded, against the model's own."""
+    labeled = _labeled(t)
+    model = classifiers.fit_task(labeled, "intent")
+    path = shared_dir(t.spark, "model-tables")
+    linear.save_tables(linear.model_tables(t.spark, model), path)
+    loaded = linear.load_tables(t.spark, path)
+    own = classifiers.predict(model, labeled).select("doc_id", "predicted_intent")
+    both = linear.predict_by_join(loaded, labeled, "doc_id").join(own, "doc_id", "full")
+    curves = loaded.curve.join(
+        classifiers.training_curve(model).withColumnRenamed("value", "own"), ["epoch", "metric"], "full"
+    )
+    steps = _fact("losses after loading equal the fit's", curves, ~F.col("value").eqNullSafe(F.col("own")))
+    return _fact("saved tables predict alike", both, ~F.col("label").eqNullSafe(F.col("predicted_intent"))).unionByName(
+        # How many iterations a fit takes is its own affair.
+        steps.withColumn("checked", F.least(F.col("checked"), F.lit(2).cast("bigint")))
+    )
+
+
+def _stream_facts(t):
+    """Scores of a stream against those of the same messages in one batch."""
+    models = _models(t)
+    sent = t.messages().select("message_id", "text")
+    rows = _arriving(t, "conversations")
+    arrived = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "text")
+    streamed = run_scoring(arrived, *models, responder=_reply, keep=("message_id",))
+    batch = scoring.score_messages(sent, *models, _reply, keep=("message_id",))
+    names = ["predicted_intent", "predicted_severity", "reply"]
+    both = streamed.select("message_id", *names).join(
+        batch.select("message_id", *[F.col(c).alias(f"own_{c}") for c in names]), "message_id", "full"
+    )
+    unlike = F.lit(False)
+    for c in names:
+        unlike = unlike | ~F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    return _fact("a stream scores like a batch", both, unlike)
+
+
 def _curve(t):
     return classifiers.training_curve(classifiers.fit_task(_labeled(t), "intent"))
 
@@ -156,6 +222,16 @@ def _labels_file(t):
     return read_labels(t.spark, second)
 
 
+def _labels_appended(t):
+    """Labelled texts added in two commits, each of them sent twice."""
+    labeled = t.labeled().select("text", "intent", "severity")
+    table = label_table(t.spark, shared_dir(t.spark, "label-table"))
+    for _ in range(2):
+        for token, part in (("calm", "severity < 2"), ("urgent", "severity >= 2")):
+            append_label_batch(table, labeled.where(part), token)
+    return read_label_batches(table)
+
+
 def _ratings_file(t):
     path = shared_dir(t.spark, "ratings")
     rated = t.ratings().select(
@@ -190,11 +266,16 @@ QUERIES = {
     "messages_csv": _csv_read,
     "inbound_csv": lambda t: read_inbound(t.spark, _written_csv(t)).select("tweet_id", "text"),
     "labels_file": _labels_file,
+    "labels_appended": _labels_appended,
     "ratings_file": _ratings_file,
     "encoder_tables": _encoders,
     "intent_predictions": lambda t: _pairs(t, "intent"),
     "severity_predictions": lambda t: _pairs(t, "severity", "multinomial"),
     "intent_scores": _intent_scores,
+    "intent_score_facts": lambda t: _score_differences(t, "intent"),
+    "severity_score_facts": lambda t: _score_differences(t, "severity", "multinomial"),
+    "saved_model_facts": _saved,
+    "stream_score_facts": _stream_facts,
     "model_evaluation": _evaluation,
     "training_curve": _curve,
     "tuning_scores": _tuned,
@@ -234,3 +315,23 @@ UNION ALL SELECT 'Support (outbound)', count(*) FILTER (NOT inbound) FROM kept""
     "stream_monthly_volume": CORPUS_ORACLE["monthly_volume"],
     "stream_top_authors": CORPUS_ORACLE["top_authors"],
 }
+ORACLE["labels_appended"] = ORACLE["labels_file"]
+
+
+def _score_facts_sql(label: str) -> str:
+    return f"""WITH {sql.LABELED}, usable AS (
+  SELECT doc_id, {label} FROM labeled WHERE {sql.has_text(sql.cleaned('text'))})
+SELECT 'scores of the join equal the model''s' AS fact, count(*) * count(DISTINCT {label}) AS checked, 0::BIGINT AS violations
+FROM usable
+UNION ALL SELECT 'scores sum to one', count(*), 0 FROM usable
+UNION ALL SELECT 'the best score is predicted', count(*), 0 FROM usable"""
+
+
+ORACLE["intent_score_facts"] = _score_facts_sql("intent")
+ORACLE["severity_score_facts"] = _score_facts_sql("severity")
+ORACLE["saved_model_facts"] = f"""WITH {sql.LABELED}
+SELECT 'saved tables predict alike' AS fact, count(*) AS checked, 0::BIGINT AS violations
+FROM labeled WHERE {sql.has_text(sql.cleaned('text'))}
+UNION ALL SELECT 'losses after loading equal the fit''s', 2, 0"""
+ORACLE["stream_score_facts"] = f"""WITH {sql.MESSAGES}
+SELECT 'a stream scores like a batch' AS fact, count(*) AS checked, 0::BIGINT AS violations FROM messages"""

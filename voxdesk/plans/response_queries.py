@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxdesk import fixed_values as V
 from voxdesk.functions import prompts, responses
 from voxdesk.operators import asking, corpus, labeling, scoring
+from voxdesk.operators.ledger import Call, CallLedger
 from voxdesk.plans import sql
 
 _ALLOWED = ["view", "click", "purchase"]
@@ -36,18 +37,59 @@ def _failing_labeler():
     return asking.per_row(answer_one, column="text")
 
 
-def _offline_labeler():
-    """Answers by the text's length, some outside the offline sets; marked texts fail."""
+def _offline_scorer(texts, labels):
+    """Rates labels by the text's length, one unknown label among them; marked texts fail."""
+    for text in texts:
+        rated = [(label, len(text) * (k + 2) % 11 / 8) for k, label in enumerate([*labels, "seen"])]
+        yield (None, "model failed") if "#" in text else (rated, None)
+
+
+def _sparing(marks: list[int], what: str):
+    """Answers with the text's length; the quota ends at lengths divisible by a mark, every tenth call fails else."""
 
     def answer_one(text):
-        if "#" in text or "@" in text:
-            raise RuntimeError("Quota exceeded, try again later")
-        intents = [*V.OFFLINE_INTENTS, "seen"]
-        return f"{intents[len(text) % len(intents)]}\n{len(text) % 5}"
+        if any(len(text) % m == 0 for m in marks):
+            raise RuntimeError("429 quota used up")
+        if len(text) % 10 == 3:
+            raise RuntimeError("connection lost")
+        return f" {what} {len(text)}"
 
     return asking.per_row(answer_one, column="text")
 
 
+def _replies(ledger, t, marks):
+    """Replies and explanations of all documents under one ledger."""
+    about = (F.col("text"), F.lit(V.DEFAULT_INTENT), F.lit(V.ONLINE_DEFAULT_SEVERITY))
+    calls = [
+        Call("reply", _sparing(marks[0], "reply"), prompts.reply_prompt(*about), ("text",)),
+        Call("explanation", _sparing(marks[1], "reason"), prompts.explanation_prompt(*about), ("text",)),
+    ]
+    return ledger.ask(t.documents(), calls, "doc_id")
+
+
+def _quota_shared(t):
+    """The first quota error of either kind ends both."""
+    out = _replies(CallLedger(t.spark), t, ([499], [433]))
+    return out.select(
+        "doc_id", "reply_status", "explanation_status",
+        responses.reply_or_fallback(F.col("reply_status"), F.col("reply_answer")).alias("reply"),
+        responses.explanation_or_fallback(F.col("explanation_status"), F.col("explanation_answer")).alias("explanation"),
+    )
+
+
+def _resumed(t):
+    """A run that met its quota's end, taken up by a second one: every call is made once."""
+    first = CallLedger(t.spark)
+    _replies(first, t, ([499], [433]))
+    second = CallLedger(t.spark, first.folder)
+    out = _replies(second, t, ([], []))
+    paid = second.made().groupBy("call_key").agg(F.count(F.lit(1)).alias("calls"))
+    key = F.to_json(F.array(F.col("doc_id").cast("string")))
+    return out.join(paid, key == F.col("call_key")).select(
+        "doc_id", "reply_status", "reply_answer", "explanation_status", "explanation_answer", "calls"
+    )
+
+
 def _list_generator(batch):
     """As many numbered lines as asked for, naming the class."""
     for intent, needed in zip(batch["wanted"], batch["needed"]):
@@ -125,9 +167,9 @@ QUERIES = {
         existing=t.labeled().select("text"),
         id_col="doc_id",
     ),
-    "label_job_offline": lambda t: labeling.label_messages(
-        t.documents(), _offline_labeler(), n=V.OFFLINE_SAMPLE, on_error="default", id_col="doc_id"
-    ),
+    "label_job_offline": lambda t: labeling.label_by_scores(t.documents(), _offline_scorer, id_col="doc_id"),
+    "quota_shared": _quota_shared,
+    "resumed_calls": _resumed,
     "label_job_quota": lambda t: labeling.label_messages(
         t.documents(), _failing_labeler(), n=V.OFFLINE_SAMPLE, id_col="doc_id"
     ),
@@ -182,6 +224,16 @@ _STATUS = sql.CALLS + """, stated AS (
     THEN 'quota' ELSE 'error' END AS status
   FROM calls)"""
 
+_WAVES = """WITH placed AS (
+  SELECT doc_id, text, md5('42|' || doc_id) AS place, count(*) OVER () AS n FROM documents),
+dealt AS (
+  SELECT *, ((('0x' || place[1:6])::BIGINT * greatest(1, ceil(n / 1000)::BIGINT)) >> 24) AS before FROM placed),
+called AS (
+  SELECT doc_id, text, place, turn, CASE WHEN before = 0 THEN 0 ELSE length(bin(before)) END AS wave,
+    CASE WHEN length(text) % CASE turn WHEN 0 THEN 499 ELSE 433 END = 0 THEN 'quota'
+      WHEN length(text) % 10 = 3 THEN 'error' ELSE 'ok' END AS status
+  FROM dealt, (SELECT unnest([0, 1]) AS turn))"""
+
 ORACLE = {
     "delayed_answers": f"""WITH {sql.MESSAGES}
 SELECT message_id, length(text) || ' characters' AS answer FROM messages""",
@@ -231,14 +283,34 @@ FROM customer LEFT JOIN best ON o_custkey = c_custkey AND place = 1""",
   WHERE NOT EXISTS (SELECT 1 FROM labeled l WHERE l.text = d.text)),
 sampled AS (SELECT * FROM fresh ORDER BY md5('42|' || doc_id), doc_id LIMIT 5000)
 SELECT doc_id, text, {_INTENT_SQL} AS intent, {_SEVERITY_SQL} AS severity FROM sampled""",
-    "label_job_offline": """SELECT doc_id, text,
-  CASE WHEN contains(text, '#') OR contains(text, '@') THEN 'other'
-    ELSE CASE length(text) % 8 WHEN 0 THEN 'technical_issue' WHEN 1 THEN 'account_issue'
-      WHEN 2 THEN 'billing_issue' WHEN 3 THEN 'shipping_issue' WHEN 4 THEN 'general_query'
-      WHEN 5 THEN 'feedback' ELSE 'other' END END AS intent,
-  CASE WHEN contains(text, '#') OR contains(text, '@') OR length(text) % 5 = 0 THEN 2
-    ELSE least(length(text) % 5, 3) END::INTEGER AS severity
-FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 5000""",
+    "label_job_offline": f"""WITH sampled AS (
+  SELECT doc_id, text FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT {V.OFFLINE_SAMPLE}),
+intent AS (
+  SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) * (k + 1) % 11 DESC, k) AS place
+  FROM sampled, (SELECT unnest({[*V.OFFLINE_INTENTS, "seen"]}) AS label, unnest(range(1, {len(V.OFFLINE_INTENTS) + 2})) AS k)),
+severity AS (
+  SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id
+    ORDER BY length(text || ' ' || {sql.quoted(V.SEVERITY_SCALE)}) * (k + 1) % 11 DESC, k) AS place
+  FROM sampled, (SELECT unnest({[*V.OFFLINE_SEVERITIES, "seen"]}) AS label, unnest(range(1, {len(V.OFFLINE_SEVERITIES) + 2})) AS k))
+SELECT s.doc_id, text,
+  CASE WHEN contains(text, '#') OR i.label = 'seen' THEN 'other' ELSE i.label END AS intent,
+  CASE WHEN contains(text, '#') THEN 2 ELSE coalesce(try_cast(v.label AS INTEGER), 2) END::INTEGER AS severity
+FROM sampled s JOIN intent i ON i.doc_id = s.doc_id AND i.place = 1 JOIN severity v ON v.doc_id = s.doc_id AND v.place = 1""",
+    "quota_shared": f"""{_WAVES}, stopped AS (
+  SELECT *, (wave, turn, place) < coalesce((SELECT min((wave, turn, place)) FROM called WHERE status = 'quota'),
+    (99, 99, 'z')) AS before FROM called),
+judged AS (SELECT *, CASE WHEN before THEN status ELSE 'quota' END AS known FROM stopped)
+SELECT r.doc_id, r.known AS reply_status, e.known AS explanation_status,
+  CASE r.known WHEN 'ok' THEN 'reply ' || length(r.text) WHEN 'quota' THEN {sql.quoted(V.QUOTA_REPLY)}
+    ELSE {sql.quoted(V.ERROR_REPLY)} END AS reply,
+  CASE e.known WHEN 'ok' THEN 'reason ' || length(r.text) WHEN 'quota' THEN {sql.quoted(V.QUOTA_EXPLANATION)}
+    ELSE {sql.quoted(V.ERROR_EXPLANATION)} END AS explanation
+FROM judged r JOIN judged e ON r.doc_id = e.doc_id AND r.turn = 0 AND e.turn = 1""",
+    "resumed_calls": """SELECT doc_id, CASE WHEN length(text) % 10 = 3 THEN 'error' ELSE 'ok' END AS reply_status,
+  CASE WHEN length(text) % 10 <> 3 THEN ' reply ' || length(text) END AS reply_answer,
+  CASE WHEN length(text) % 10 = 3 THEN 'error' ELSE 'ok' END AS explanation_status,
+  CASE WHEN length(text) % 10 <> 3 THEN ' reason ' || length(text) END AS explanation_answer, 2::BIGINT AS calls
+FROM documents""",
     "label_job_quota": """WITH sampled AS (
   SELECT doc_id, text, md5('42|' || doc_id) AS place FROM documents ORDER BY place LIMIT 5000)
 SELECT doc_id, text, 'seen' AS intent, (length(text) % 4)::INTEGER AS severity FROM sampled

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxdesk.operators.filters import clean_label_rows, require_columns, require_rows
 from voxdesk.schemas import LABELS, RATINGS
+from voxdesk.sources.commits import CommittedTable
 from voxdesk.sources.messages import CSV_OPTIONS
 
 # Written values keep their white space, quotes and line breaks.
@@ -55,6 +56,21 @@ def append_labels(existing: DataFrame, new: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").options(**CSV_WRITE_OPTIONS).csv(path)
 
 
+def label_table(spark: SparkSession, folder: str) -> CommittedTable:
+    """Labels that grow by commits: old rows are not written again."""
+    return CommittedTable(spark, folder, LABELS)
+
+
+def append_label_batch(table: CommittedTable, new: DataFrame, token: str) -> bool:
+    """Add labelled rows; False if a batch with that token is there, so that a repeated append adds nothing."""
+    return table.append(new.select("text", "intent", F.col("severity").cast("string").alias("severity")), token)
+
+
+def read_label_batches(table: CommittedTable) -> DataFrame:
+    """Usable rows of all whole commits; no rows raise."""
+    return require_rows(clean_label_rows(table.read()), "the label table has no non-empty rows")
+
+
 def write_ratings(df: DataFrame, path: str) -> None:
     rows = df.select(*RATINGS.fieldNames())
     rows.write.mode("errorifexists").options(**CSV_WRITE_OPTIONS).csv(path)
