@@ -79,6 +79,12 @@ def sliced(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
+def each_text(texts: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
+    """The texts of an Arrow column in UTF-8, converted a few at a time."""
+    for at in range(0, len(texts), rows):
+        yield from as_bytes(texts.slice(at, rows))
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker that waits for its next task keeps none of the last one's."""
     pa.default_memory_pool().release_unused()

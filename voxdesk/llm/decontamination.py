@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxdesk.llm.common import Scratch, as_bytes, fresh, word_ids
+from voxdesk.llm.common import Scratch, as_bytes, fresh, give_back, word_ids
 
 WINDOW = 10
 #: Text bytes after which a segment is closed; a longer document is a segment of its own.
@@ -92,16 +92,20 @@ def pack(docs: list, texts: list[bytes | None]) -> dict:
     }
 
 
-def unpack(row: dict) -> Segment:
+def unpack(row: dict, wanted: pa.Array | None = None) -> Segment:
+    """A segment from its row, with the lists of the wanted terms or of all."""
     planes = zstandard.ZstdDecompressor().decompress(row["postings"])
     steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
     order = np.cumsum(steps, dtype=np.uint32).astype(np.int64)
-    counts = row["counts"]
+    terms, counts = row["terms"], row["counts"]
     starts = np.cumsum(counts) - counts
+    if wanted is not None:
+        has = np.flatnonzero(pc.is_in(terms, value_set=wanted).to_numpy(zero_copy_only=False))
+        terms, counts, starts = terms.take(pa.array(has)), counts[has], starts[has]
+    names = terms.to_pylist()
     return Segment(
         row["segment"], row["docs"], np.asarray(row["ends"], np.int64),
-        dict(zip(row["terms"], counts.tolist(), strict=True)),
-        dict(zip(row["terms"], starts.tolist(), strict=True)), order,
+        dict(zip(names, counts.tolist(), strict=True)), dict(zip(names, starts.tolist(), strict=True)), order,
     )
 
 
@@ -126,6 +130,7 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -
                     ids, texts, size, made = [], [], 0, made + 1
         if ids:
             yield _segment_batch(f"{task}-{made}", ids, texts)
+        give_back()
 
     wanted = docs.select(F.col(id_col).cast("bigint"), F.col(text_col))
     return scratch.store(wanted.mapInArrow(rows, SEGMENT_TYPE), "index")
@@ -141,13 +146,14 @@ def _segment_batch(name: str, ids: list, texts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["segment", *kinds])
 
 
-def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
+def segments(batches: Iterator[pa.RecordBatch], wanted: pa.Array | None = None) -> Iterator[Segment]:
     for batch in batches:
         for k in range(batch.num_rows):
             row = {n: batch.column(n)[k].as_py() for n in ("segment", "docs", "ends", "postings")}
-            row["terms"] = batch.column("terms")[k].values.to_pylist()
+            row["terms"] = batch.column("terms")[k].values.cast(pa.binary())
             row["counts"] = batch.column("counts")[k].values.to_numpy()
-            yield unpack(row)
+            yield unpack(row, wanted)
+    give_back()
 
 
 def item_windows(items: list[tuple], length: int = WINDOW) -> dict[tuple, list]:
@@ -239,6 +245,7 @@ def _rarity(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
             has = place.is_valid().to_numpy(zero_copy_only=False)
             counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
             np.add.at(total, place.drop_null().to_numpy(), counts[has])
+        give_back()
         yield pa.RecordBatch.from_arrays([known, pa.array(total)], names=["term", "n"])
 
     counted = index.select("terms", "counts").mapInArrow(count, "term binary, n bigint")
@@ -297,13 +304,14 @@ def find(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text
         sent = spark.sparkContext.broadcast((dict(by_rarest), rarity))
 
         def match(batches, sent=sent):
-            for segment in segments(batches):
+            asked = pa.array(sorted({t for listed in sent.value[0].values() for w, _ in listed for t in w}), pa.binary())
+            for segment in segments(batches, asked):
                 yield _match_segment(segment, *sent.value, slack)
 
         parts.append(index.mapInArrow(match, MATCH_TYPE))
     if not parts:
         def nothing(batches):
-            for segment in segments(batches):
+            for segment in segments(batches, pa.array([], pa.binary())):
                 yield _match_segment(segment, {}, {}, slack)
 
         return index.mapInArrow(nothing, MATCH_TYPE)

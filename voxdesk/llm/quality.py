@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxdesk.llm.common import UPPER, Scratch, as_bytes, word_ids
+from voxdesk.llm.common import UPPER, Scratch, each_text, give_back, word_ids
 
 _BLANKS = b" \t\n\x0b\f\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -81,7 +81,8 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
 
 
 def _stats_of(texts: pa.Array) -> pa.Array:
-    rows = np.array([text_stats(t) for t in as_bytes(texts)], np.int64).reshape(-1, len(FIELDS))
+    rows = np.array([text_stats(t) for t in each_text(texts)], np.int64).reshape(-1, len(FIELDS))
+    give_back()
     return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(FIELDS))], FIELDS)
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxdesk.llm.common import Scratch, as_bytes
+from voxdesk.llm.common import Scratch, each_text, give_back
 from voxdesk.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -66,7 +66,8 @@ def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS, seed: int = SEED)
 def fingerprint_udf(size: int = SHINGLE_WORDS, seed: int = SEED):
     @F.arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
-        values = np.array([fingerprint(t, size, seed) for t in as_bytes(texts)], np.uint64)
+        values = np.array([fingerprint(t, size, seed) for t in each_text(texts)], np.uint64)
+        give_back()
         return pa.array(values.view(np.int64))
 
     return of
