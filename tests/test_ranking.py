@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from voxdesk.operators import ranking, roc, sizing, splits
+from voxdesk.operators import joins, ranking, roc, sizing, splits
 
 
 def brute_split(rows, fraction, seed="42"):
@@ -213,3 +214,35 @@ def test_folds_of_text_ids(spark):
     df = spark.createDataFrame([(f"id{i:03d}", "ab"[i % 2]) for i in range(30)], "doc_id string, y string")
     rows = splits.assign_folds(df, "y", 3).collect()
     assert sorted(r["fold"] for r in rows) == [0] * 10 + [1] * 10 + [2] * 10
+
+
+def test_ids_of_one_prefix_fall_into_even_buckets(spark):
+    ids = [(f"ticket-number-{i:05d}",) for i in range(4000)]
+    heavy = [("ticket-number-02000",)] * 3000
+    df = spark.createDataFrame(ids + heavy, "id string").repartition(4)
+    rows = ranking.value_buckets(df, "id", rows_per_bucket=200).collect()
+    sizes = Counter(r["bucket"] for r in rows)
+    own = {r["bucket"] for r in rows if r["id"] == heavy[0][0]}
+    assert len(own) == 1 and len(sizes) > 20
+    assert {r["id"] for r in rows if r["bucket"] in own} == {heavy[0][0]}
+    assert max(n for b, n in sizes.items() if b not in own) < 800
+    assert [r["id"] for r in sorted(rows, key=lambda r: (r["bucket"], r["id"]))] == sorted(r["id"] for r in rows)
+
+
+def test_labels_of_one_prefix_are_numbered_in_order(spark):
+    names = [f"label with a long prefix é {i:04d}" for i in range(1500)]
+    df = spark.createDataFrame([(n,) for n in names], "y string").repartition(3)
+    found = joins.label_map(df, "y", rows_per_bucket=50).orderBy("label_id").collect()
+    assert [r["label"] for r in found] == names
+    assert [r["label_id"] for r in found] == list(range(1500))
+
+
+def test_large_label_sides_are_sifted_by_a_bloom_filter(spark):
+    messages = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(300, None), (301, "")], "message_id long, text string")
+    labels = spark.createDataFrame([(f"text {i}",) for i in range(0, 900, 3)] + [(None,)], "text string")
+    plain = joins.unlabelled(messages, labels)
+    sifted = joins.unlabelled(messages, labels, limit_bytes=100)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sifted.collect()))
+    assert plain.count() == 201
+    plan = sifted._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Union" in plan

@@ -3,27 +3,40 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxdesk.operators import bloom
 from voxdesk.operators.ranking import ROWS_PER_BUCKET, running_totals
-from voxdesk.operators.sizing import small_side
+from voxdesk.operators.sizing import BROADCAST_BYTES, small_side
+
+#: What a digest in quotes and its row count as when the size of a side is measured.
+DIGEST_BYTES = 64 + 2 + 16 + len('{"__digest":}')
 
 
 def unlabelled(
-    messages: DataFrame, labels: DataFrame, dedupe: bool = False, id_col: str = "message_id"
+    messages: DataFrame, labels: DataFrame, dedupe: bool = False, id_col: str = "message_id",
+    limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Messages whose exact text is not labelled yet.
 
     Texts are compared by SHA-256, so the labelled side ships 64 characters per
-    distinct text. Repeated candidate texts stay unless dedupe is set; then the
-    row with the smallest id is kept, combined before the shuffle.
+    distinct text. A labelled side too large to be sent to all tasks is sifted
+    first: a Bloom filter of its digests, of bounded size, tells which messages
+    cannot be labelled, and only the others are shuffled. Repeated candidate
+    texts stay unless dedupe is set; then the row with the smallest id is kept,
+    combined before the shuffle.
     """
     digest = F.sha2(F.col("text"), 256)
     known = labels.select(digest.alias("__digest")).distinct()
     candidates = messages.where(F.col("text").isNotNull())
-    fresh = (
-        candidates.withColumn("__digest", digest)
-        .join(small_side(known), "__digest", "left_anti")
-        .drop("__digest")
-    )
+    sent = small_side(known, limit_bytes)
+
+    def without(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__digest", digest).join(sent, "__digest", "left_anti").drop("__digest")
+
+    if sent.count() * DIGEST_BYTES <= limit_bytes:
+        fresh = without(candidates)
+    else:
+        possible = bloom.might_hold(bloom.of_hashes(sent, F.xxhash64("__digest")), F.xxhash64(digest))
+        fresh = candidates.where(~possible).unionByName(without(candidates.where(possible)))
     if not dedupe:
         return fresh
     rest = [c for c in fresh.columns if c not in ("text", id_col)]

@@ -7,6 +7,8 @@ wanted order. Only the few buckets that hold a wanted rank are then sorted.
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from voxdesk.session import ensure_checkpoint_dir
 
 HASH_BUCKET_DIGITS = 4  # 65,536 buckets of the leading hex digits
 ROWS_PER_BUCKET = 1_000_000
+#: Strings sampled to part the rows into buckets: for each bucket, and in all.
+SAMPLED_PER_BUCKET, MAX_SAMPLE, SAMPLE_SEED = 64, 500_000, 42
 
 
 def hash_key(seed, *ids: str) -> Column:
@@ -35,20 +39,20 @@ def value_buckets(
 
     Rows whose value is null or NaN have no place in an order and are left out,
     whatever the number of rows; infinite values stand at the ends. The split
-    points come from approximate quantiles, strings counting by their first six
-    bytes. They are literals in the plan, so a retried task assigns the same
-    buckets. The number of buckets grows with the rows.
+    points are taken once, so a retried task assigns the same buckets: of numbers
+    approximate quantiles, of strings values of a sample. The number of buckets
+    grows with the rows.
     """
     text = dict(df.dtypes)[column] == "string"
-    if text:
-        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), F.lit(1), F.lit(6))), 12, "0")
-        value = F.conv(head, 16, 10).cast("double")
-    else:
-        value = F.col(column).cast("double")
-    df = df.where(F.col(column).isNotNull() & ~F.isnan(value))
-    wanted = math.ceil(df.count() / rows_per_bucket)
+    value = F.col(column) if text else F.col(column).cast("double")
+    known = F.col(column).isNotNull()
+    df = df.where(known if text else known & ~F.isnan(value))
+    rows = df.count()
+    wanted = math.ceil(rows / rows_per_bucket)
     if wanted <= 1:
         return df.withColumn("bucket", F.lit(0))
+    if text:
+        return df.withColumn("bucket", _place_among(string_splitters(df, column, rows, wanted))(F.col(column)))
     finite = df.where(F.abs(value) < math.inf)
     quantiles = finite.agg(
         F.percentile_approx(value, [i / wanted for i in range(1, wanted)], 10 * wanted)
@@ -61,6 +65,39 @@ def value_buckets(
     )
 
 
+def string_splitters(df: DataFrame, column: str, rows: int, wanted: int) -> list[bytes]:
+    """Values that part the rows into about `wanted` even buckets, in the order of their UTF-8 bytes.
+
+    They come from a sample of rows of bounded size. Nothing is cut off them, so ids
+    with a long common prefix are parted like any other.
+    """
+    size = min(MAX_SAMPLE, SAMPLED_PER_BUCKET * wanted)
+    drawn = df.where(F.rand(SAMPLE_SEED) < min(1.0, size / rows)).select(F.col(column).cast("binary"))
+    values = sorted(bytes(r[0]) for r in drawn.collect())
+    if not values:
+        return []
+    return sorted({values[k * len(values) // wanted] for k in range(1, wanted)})
+
+
+def _place_among(splitters: list[bytes]):
+    """The bucket of a string: an odd one for each splitter itself, even ones between them.
+
+    So a value that many rows have, which is then a splitter, shares its bucket
+    with no other.
+    """
+    table = np.array(splitters, object)
+
+    @F.arrow_udf("int")
+    def of(values: pa.Array) -> pa.Array:
+        own = np.array(values.cast(pa.binary()).to_pylist(), object)
+        if not len(table) or not len(own):
+            return pa.array(np.zeros(len(own), np.int32))
+        place = np.searchsorted(table, own, "left") + np.searchsorted(table, own, "right")
+        return pa.array(place.astype(np.int32))
+
+    return of
+
+
 def bucket_counts(rows: DataFrame, group: str, *extra: Column) -> DataFrame:
     """Rows per (group, bucket), written once since several steps read them."""
     ensure_checkpoint_dir(rows.sparkSession)

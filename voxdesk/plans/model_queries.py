@@ -204,7 +204,10 @@ def _written_csv(t):
         F.col("message_id").alias("tweet_id"),
         "author_id",
         F.when(F.col("inbound"), "True").when(~F.col("inbound"), "False").alias("inbound"),
-        F.lit("Tue Oct 31 22:10:47 +0000 2017").alias("created_at"),
+        F.date_format(
+            F.expr("timestamp_ntz'2017-10-31 22:10:47' + make_dt_interval(0, 0, 0, abs(message_id) % 900000)"),
+            "EEE MMM dd HH:mm:ss '+0000' yyyy",
+        ).alias("created_at"),
         "text",
     )
     rows.write.options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
@@ -290,7 +293,8 @@ QUERIES = {
 
 ORACLE = {
     "messages_csv": f"""WITH {sql.MESSAGES_WITH_NULLS}
-SELECT message_id AS tweet_id, author_id, inbound, '2017-10-31 22:10:47' AS created_at,
+SELECT message_id AS tweet_id, author_id, inbound,
+  strftime(TIMESTAMP '2017-10-31 22:10:47' + to_seconds(abs(message_id) % 900000), '%Y-%m-%d %H:%M:%S') AS created_at,
   CASE WHEN text <> '' THEN text END AS text FROM nulled""",
     "inbound_csv": f"""WITH {sql.MESSAGES_WITH_NULLS}
 SELECT message_id AS tweet_id, text FROM nulled WHERE inbound AND {sql.has_text('text')}""",

@@ -8,6 +8,7 @@ from voxdesk import fixed_values as V
 from voxdesk.functions.dates import parse_created_at
 from voxdesk.operators.filters import inbound_only, non_blank, require_rows, truthy_text
 from voxdesk.schemas import RAW_MESSAGES
+from voxdesk.sources.records import read_csv
 
 # A quoted text may hold line breaks and doubled quotes.
 # A file of a folder whose header differs from the first one's raises.
@@ -17,9 +18,7 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"
 def _read(spark: SparkSession, path: str, format: str) -> DataFrame:
     if format == "csv":
         # The header gives the column order; no type is inferred from the rows.
-        names = spark.read.options(**CSV_OPTIONS).csv(path).columns
-        schema = ", ".join(f"`{n}` STRING" for n in names)
-        return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+        return read_csv(spark, path)
     return spark.read.format(format).load(path)
 
 
@@ -47,8 +46,9 @@ def read_messages(
 ) -> DataFrame:
     """Typed scan of the five message columns, pruned to those asked for.
 
-    A CSV with quoted line breaks cannot be split inside a file, so a corpus of
-    big CSV files is best rewritten once with write_messages.
+    A CSV file is read by as many tasks as it has splits, quoted line breaks or
+    not. It is scanned twice, so a corpus that is read often is best rewritten
+    once with write_messages.
     """
     typed = typed_messages(_read(spark, path, format))
     return typed.select(*columns) if columns else typed
