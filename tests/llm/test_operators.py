@@ -192,7 +192,7 @@ def plain_removed(rows):
     for missing, d, t in ordered:
         for k, line in enumerate(t.split("\n")):
             words = set(WORD.findall(line.lower()))
-            if len(words) < 5:
+            if not words:
                 continue
             if any(5 * len(words & s) >= 4 * len(words | s) for s in seen):
                 out[None if missing else d, t].append(k)

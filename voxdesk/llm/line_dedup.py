@@ -15,8 +15,8 @@ from voxdesk.llm.common import Scratch, if_small
 
 #: Least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
-#: Lines of fewer distinct words are never removed, unless a caller asks for less (1: all lines with a word).
-MIN_WORDS = 5
+#: Lines of fewer distinct words are never removed; with 1 every line with a word is judged.
+MIN_WORDS = 1
 BLANKS = "\t\x0b\f\r"
 #: Word counts are kept for so many buckets of words, on a logarithmic scale of so many steps a doubling.
 BUCKETS = 65_536

@@ -240,7 +240,7 @@ WITH line AS (
           FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 ), class AS (
     SELECT list_sort(w) AS w, len(w) AS n, min((doc_id, line_no)) AS first, row_number() OVER () AS class
-    FROM line WHERE len(w) >= 5 GROUP BY list_sort(w), len(w)
+    FROM line WHERE len(w) >= 1 GROUP BY list_sort(w), len(w)
 ), word AS (
     SELECT class, n, first, unnest(w) AS word FROM class
 ), linked AS (
@@ -249,7 +249,7 @@ WITH line AS (
     GROUP BY a.class, b.class, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
 ), gone AS (
     SELECT doc_id, line_no FROM line JOIN class ON list_sort(line.w) = class.w
-    WHERE len(line.w) >= 5 AND ((doc_id, line_no) > first OR class IN (SELECT class FROM linked))
+    WHERE len(line.w) >= 1 AND ((doc_id, line_no) > first OR class IN (SELECT class FROM linked))
 ), listed AS (
     SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS names
     FROM gone GROUP BY doc_id
