@@ -49,10 +49,12 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, count) of a task's words, and the number of them all under the empty word."""
     counts: dict[str, Counter] = {}
 
     def rows() -> Iterator[pa.RecordBatch]:
         for lang, own in counts.items():
+            own[b""] = sum(own.values())  # how many words there are, under a name that no word has
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(own), pa.string()), pa.array(list(own)).cast(pa.string()),
                  pa.array(list(own.values()), pa.int64())], names=["lang", "word", "count"],
@@ -287,12 +289,12 @@ def frequent_phrases(
     texts = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    counted = scratch.store(
-        texts.mapInArrow(_word_counts, "lang string, word string, count bigint")
-        .groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("count").alias("count")), "words",
-    )
-    totals = scratch.store(counted.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-    frequent = counted.where(F.col("count") >= min_count)
+    counted = texts.mapInArrow(_word_counts, "lang string, word string, count bigint").groupBy(
+        "lang", F.col("word").alias("phrase")
+    ).agg(F.sum("count").alias("count"))
+    counted = scratch.store(counted.where((F.col("count") >= min_count) | (F.col("phrase") == "")), "words")
+    totals = scratch.store(counted.where("phrase = ''").select("lang", F.col("count").alias("n")), "totals")
+    frequent = counted.where((F.col("count") >= min_count) & (F.col("phrase") != ""))
     ordered, total = numbered(frequent, [F.desc("count"), F.col("lang"), F.col("phrase")], scratch, "numbered-1")
     words = scratch.store(ordered.withColumn("n_words", F.lit(1)), "phrases-1")
     phrases = [words]
@@ -300,6 +302,7 @@ def frequent_phrases(
         return words.select("lang", "phrase", "n_words", "count"), totals
     vocabulary = total
     rows = _encoded(texts, words, total, scratch, slice_rows)
+    names = [f"encoded-{-(-total // slice_rows) - 1}"]
     for length in range(2, max_words + 1):
         pairs = rows.mapInArrow(_count_pairs(length, vocabulary), "key bigint, count bigint")
         found = pairs.groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= min_count)
@@ -316,7 +319,9 @@ def frequent_phrases(
         )
         phrases.append(scratch.store(named, f"phrases-{length}"))
         if length < max_words:
-            rows = _next_units(rows, phrases[-1], total, length, vocabulary, scratch, slice_rows)
+            rows, read = _next_units(rows, phrases[-1], total, length, vocabulary, scratch, slice_rows), names
+            names = [f"units-{length}-{-(-total // slice_rows) - 1}"]
+            scratch.drop(f"numbered-{length}", *read)
     out = phrases[0].select("lang", "phrase", "n_words", "count")
     for own in phrases[1:]:
         out = out.unionByName(own.select("lang", "phrase", "n_words", "count"))
