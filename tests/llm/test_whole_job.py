@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import WORD, documents
-from voxdesk.llm import licenses, line_dedup, quality
+from voxdesk.llm import licenses, line_dedup, mixing, quality
 from voxdesk.llm.common import Scratch
 
 # Line dedup
@@ -104,3 +105,38 @@ def test_inline_short_and_reworded_notices(spark):
     model = licenses.learn(documents(spark))
     rows = {r["doc_id"]: r["families"] for r in licenses.summary(licenses.scan(docs, model)).collect()}
     assert rows == {1: "mit", 2: "mit", 3: "gpl", 4: "gpl", 5: "", 6: ""}
+
+
+# Mixing
+
+
+def test_every_source_gets_its_target(spark):
+    sources = [(f"s{k}", 100) for k in range(9)] + [("tiny", 3), ("one", 1), ("big", 5000), (None, 60)]
+    rows, number = [], 0
+    for name, words in sources:
+        for part in (words // 3, words - words // 3):
+            number += 1
+            rows.append((number, " ".join(f"w{number}x{i}" for i in range(part)), name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = mixing.taken_words(docs, Scratch(spark, "mix")).collect()
+    by_source = {}
+    names = {n: s for n, _, s in rows}
+    for r in found:
+        taken, target = by_source.get(names[r["id"]], (0, 0.0))
+        by_source[names[r["id"]]] = (taken + r["taken"], r["target"])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert len(by_source) == len(sources)
+    assert all(abs(taken - target) <= 0.5 for taken, target in by_source.values())
+    mixed = mixing.mixed_documents(docs.withColumn("n_chars", F.length("text")), Scratch(spark, "mix")).collect()
+    counts = {}
+    for r in mixed:
+        counts[r["source"]] = counts.get(r["source"], 0) + len(r["text"].split())
+    assert counts == {s: t for s, (t, _) in by_source.items() if t}
+
+
+def test_permutation_goes_back():
+    for size in (1, 2, 3, 64, 1000):
+        key = np.full(size, 12345, np.uint64)
+        there = mixing.permuted(np.arange(size), np.full(size, size), key)
+        assert sorted(there) == list(range(size))
+        assert np.array_equal(mixing.permuted(there, np.full(size, size), key, back=True), np.arange(size))

@@ -34,6 +34,8 @@ class Source:
     target: float
     blocks: int
     slots: int
+    #: Words that the last slot takes of its block.
+    last: int
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MAX_REPEATS) -> list[float]:
@@ -70,16 +72,42 @@ def plan_sources(sized: DataFrame, weights: dict | None = None, block: int = BLO
     share = [weights[r["source"]] if weights else 1 + k % 3 for k, r in enumerate(rows)]
     out = []
     for r, target in zip(rows, targets([r["words"] for r in rows], share), strict=True):
-        words, blocks, slots = r["words"], -(-r["words"] // block), 0
-        if words:
-            rounds = int(target // words)
-            slots = rounds * blocks + min(blocks, round((target - rounds * words) / block))
-        out.append(Source(r["source"], words, target, blocks, slots))
+        words, blocks = r["words"], -(-r["words"] // block)
+        slots, last = _slots_for(len(out), words, blocks, target, block) if words else (0, block)
+        out.append(Source(r["source"], words, target, blocks, slots, last))
     return out
 
 
-def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Where a keyed permutation of 0..size-1 puts each index.
+def _slots_for(code: int, words: int, blocks: int, target: float, block: int) -> tuple[int, int]:
+    """(slots, words of the last one) that take round(target) words of a source's blocks.
+
+    Whole rounds take every block once. In the round begun then, the short last
+    block of the stream stands somewhere among the slots, and the final slot takes
+    what is left.
+    """
+    rounds = int(target // words)
+    rest = round(target - rounds * words)
+    if not rest:
+        return rounds * blocks, block
+    short = words - (blocks - 1) * block
+    place = int(permuted(np.array([blocks - 1]), np.array([blocks]), _round_keys(np.array([code]), np.array([rounds])), back=True)[0])
+
+    def taken(slots: int) -> int:
+        return slots * block - (block - short if place < slots else 0)
+
+    slots = -(-rest // block)
+    slots += taken(slots) < rest
+    return rounds * blocks + slots, rest - taken(slots - 1)
+
+
+def _round_keys(code: np.ndarray, turn: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The key of the permutation that a source has in a round."""
+    key = (code.astype(np.uint64) << np.uint64(20)) + turn.astype(np.uint64) + np.uint64(seed << 52)
+    return key * np.uint64(0xD6E8FEB86659FD93)
+
+
+def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Where a keyed permutation of 0..size-1 puts each index, or, going back, which index comes there.
 
     A Feistel network over the next even number of bits, applied again while the
     result lies outside.
@@ -92,17 +120,21 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     while len(todo):
         b, m, k = bits[todo], mask[todo], key[todo]
         left, right = out[todo] >> b, out[todo] & m
-        for turn in range(4):
+        if back:
+            left, right = right, left
+        for turn in range(3, -1, -1) if back else range(4):
             x = (right + k + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & m)
+        if back:
+            left, right = right, left
         out[todo] = (left << b) | right
         todo = todo[out[todo] >= size[todo].astype(np.uint64)]
     return out.astype(np.int64)
 
 
 def slots(spark, sources: list[Source], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(code, block, round, shard, slot): which block of which source fills each slot.
+    """(code, block, round, shard, slot, take): which block of which source fills each slot, and how many words of it.
 
     `code` is the source's place in the list. The driver draws shards numbers a
     source; the slots themselves are made by the tasks.
@@ -114,26 +146,26 @@ def slots(spark, sources: list[Source], shards: int = SHARDS, seed: int = SEED)
             counts = draw.multinomial(s.slots, np.full(shards, 1 / shards))
             firsts = np.cumsum(counts) - counts
             plan += [
-                (code, shard, int(a), int(a + n), s.blocks)
+                (code, shard, int(a), int(a + n), s.blocks, s.slots - 1, s.last)
                 for shard, (a, n) in enumerate(zip(firsts, counts, strict=True)) if n
             ]
-    table = small_table(spark, plan, "code int, shard int, first bigint, last bigint, blocks bigint")
+    table = small_table(spark, plan, "code int, shard int, first bigint, last bigint, blocks bigint, final bigint, rest bigint")
     each = table.repartition(partitions_for(spark, len(plan), 1_000), "code", "shard").select(
-        "code", "shard", "blocks", F.explode(F.sequence("first", F.col("last") - 1)).alias("k")
+        "code", "shard", "blocks", F.explode(F.sequence("first", F.col("last") - 1)).alias("k"), "final", "rest"
     )
 
     def choose(batches):
         for batch in batches:
-            code, shard, blocks, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            code, shard, blocks, k, final, rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             turn = k // blocks
-            key = (code.astype(np.uint64) << np.uint64(20)) + turn.astype(np.uint64) + np.uint64(seed << 52)
-            block = permuted(k % blocks, blocks, key * np.uint64(0xD6E8FEB86659FD93))
+            block = permuted(k % blocks, blocks, _round_keys(code, turn, seed))
+            take = np.where(k == final, rest, BLOCK_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code), pa.array(block), pa.array(turn), pa.array(shard), pa.array(k)],
-                names=["code", "block", "round", "shard", "slot"],
+                [pa.array(code), pa.array(block), pa.array(turn), pa.array(shard), pa.array(k), pa.array(take)],
+                names=["code", "block", "round", "shard", "slot", "take"],
             )
 
-    return each.mapInArrow(choose, "code int, block bigint, round bigint, shard int, slot bigint")
+    return each.mapInArrow(choose, "code int, block bigint, round bigint, shard int, slot bigint, take bigint")
 
 
 def sized_rows(docs: DataFrame, row: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -184,11 +216,11 @@ def pieces(placed: DataFrame, chosen: DataFrame, block: int = BLOCK_WORDS) -> Da
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"),
     )
     first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    last = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
+    last = F.least(F.col("block") * block + F.col("take") - F.col("start"), F.col("size"))
     # The planner takes the slots for a small table, but they grow with the words.
     return spans.join(chosen.hint("merge"), ["code", "block"]).select(
         "row", "round", first.cast("bigint").alias("first"), last.cast("bigint").alias("last"), "shard", "slot"
-    )
+    ).where("last > first")
 
 
 def taken_words(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
