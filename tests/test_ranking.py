@@ -246,3 +246,32 @@ def test_large_label_sides_are_sifted_by_a_bloom_filter(spark):
     assert plain.count() == 201
     plan = sifted._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "Union" in plan
+
+
+def test_quotas_of_many_labels_need_no_window_over_all(spark):
+    n = 100_000
+    counts = spark.range(n).select(
+        F.format_string("label %06d", "id").alias("y"), (F.col("id") % 3 + 2).alias("n")
+    ).repartition(5)
+    sizes = {f"label {i:06d}": i % 3 + 2 for i in range(n)}
+    total = sum(sizes.values())
+    wanted = total // 4
+    quota = {y: wanted * m // total for y, m in sizes.items()}
+    rest = sorted(sizes, key=lambda y: (-(wanted * sizes[y] % total), y))
+    for y in rest[: wanted - sum(quota.values())]:
+        quota[y] += 1
+    found = splits.class_quotas(counts, "y", wanted)
+    assert {r["y"]: r["target"] for r in found.collect()} == quota
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString().replace("Subquery", "")
+
+
+def test_sums_before_follow_any_order(spark):
+    rows = [(i, i * 7 % 50, f"c{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, n long, c string").repartition(6)
+    found = ranking.sums_before(df, F.struct(F.col("n"), F.col("c")), "id", "before").collect()
+    ordered, total, want = sorted(rows, key=lambda r: (r[1], r[2])), 0, {}
+    for i, _, c in ordered:
+        want[c], total = total, total + i
+    assert {r["c"]: r["before"] for r in found} == want
+    assert ranking.nth_place(df, F.col("c"), 201).collect() == []
+    assert ranking.nth_place(df, F.col("c"), 3).first()[0] == sorted(r[2] for r in rows)[2]

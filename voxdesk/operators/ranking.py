@@ -98,6 +98,42 @@ def _place_among(splitters: list[bytes]):
     return of
 
 
+def _in_order(df: DataFrame, place: Column) -> DataFrame:
+    """df sorted by all tasks and written, with its row's partition `__part` and place in it `__at`."""
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.withColumn("__place", place).orderBy("__place").withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    return placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1))
+
+
+def nth_place(df: DataFrame, place: Column, n: int) -> DataFrame:
+    """One row `place`: the n-th (from 1) in the order of a column of any type; none if there are fewer rows.
+
+    Rows are sorted by all tasks; the driver gets one count a partition.
+    """
+    placed = _in_order(df, place)
+    left = n
+    for part, rows in sorted(tuple(r) for r in placed.groupBy("__part").count().collect()):
+        if left <= rows:
+            found = placed.where((F.col("__part") == part) & (F.col("__at") == left - 1))
+            return found.select(F.col("__place").alias("place"))
+        left -= rows
+    return placed.limit(0).select(F.col("__place").alias("place"))
+
+
+def sums_before(df: DataFrame, place: Column, value: str, into: str) -> DataFrame:
+    """Add the sum of `value` over all rows before each one in the order of a column of any type."""
+    placed = _in_order(df, place)
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a partition.
+    bases = placed.groupBy("__part").agg(F.sum(value).alias("__sum")).select(
+        "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base")
+    )
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(small_side(bases), "__part")
+    before = F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("__base")
+    return joined.withColumn(into, before).select(*df.columns, into)
+
+
 def bucket_counts(rows: DataFrame, group: str, *extra: Column) -> DataFrame:
     """Rows per (group, bucket), written once since several steps read them."""
     ensure_checkpoint_dir(rows.sparkSession)

@@ -16,7 +16,9 @@ from voxdesk.operators.ranking import (
     bucket_counts,
     hash_bucket,
     hash_key,
+    nth_place,
     rank_cutoffs,
+    sums_before,
     value_buckets,
 )
 from voxdesk.operators.sizing import small_side
@@ -115,21 +117,23 @@ def _plan(class_counts: DataFrame, fraction: float, need_room: bool) -> SplitPla
 def class_quotas(class_counts: DataFrame, label: str, test_rows: int) -> DataFrame:
     """Test rows per class: proportional floor, then largest remainder by label.
 
-    Works on one row (label, n) per class.
+    Works on one row (label, n) per class. The classes that get one more row are
+    those up to a cut-off in the order of remainders, which all tasks sort.
     """
-    everything = Window.partitionBy()
+    total = class_counts.agg(F.sum("n")).first()[0] or 0
     # exact in decimals; the product of two counts would overflow a long
     product = f"(CAST({test_rows} AS DECIMAL(18, 0)) * CAST(n AS DECIMAL(18, 0)))"
-    parts = class_counts.withColumn("total", F.sum("n").over(everything)).select(
-        label,
-        F.expr(f"{product} div total").alias("floor"),
-        F.expr(f"{product} % total").alias("rest"),
-    )
-    missing = F.lit(test_rows).cast("long") - F.sum("floor").over(everything)
-    place = F.row_number().over(Window.orderBy(F.col("rest").desc(), label))
-    return parts.select(
-        label, (F.col("floor") + F.when(place <= missing, 1).otherwise(0)).cast("long").alias("target")
+    whole = f"CAST({max(total, 1)} AS DECIMAL(18, 0))"
+    parts = class_counts.select(
+        label, F.expr(f"{product} div {whole}").alias("floor"), F.expr(f"{product} % {whole}").alias("rest")
     )
+    missing = test_rows - (parts.agg(F.sum("floor")).first()[0] or 0)
+    if missing <= 0:
+        return parts.select(label, F.col("floor").cast("long").alias("target"))
+    place = F.struct((-F.col("rest")).alias("rest"), F.col(label).alias("label"))
+    cut = nth_place(parts, place, int(missing))
+    one_more = F.coalesce(place <= cut.scalar(), F.lit(True))
+    return parts.select(label, (F.col("floor") + one_more.cast("int")).cast("long").alias("target"))
 
 
 def split(
@@ -220,8 +224,7 @@ def assign_folds(
     rows = value_buckets(_with_class(df, label).select(id_col, _CLASS), id_col)
     counts = bucket_counts(rows, _CLASS, F.min(id_col).alias("first"))
     classes = counts.groupBy(_CLASS).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    earlier = Window.orderBy("first", _CLASS).rowsBetween(Window.unboundedPreceding, -1)
-    starts = classes.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    starts = sums_before(classes, F.struct("first", _CLASS), "n", "start")
 
     def positions_below(limit: Column, i: Column) -> Column:
         # how many p in [0, limit) leave the remainder i modulo k
