@@ -269,7 +269,7 @@ QUERIES = {
     "messages_csv": _csv_read,
     "inbound_csv": lambda t: read_inbound(t.spark, _written_csv(t)).select("tweet_id", "text"),
     "labels_file": _labels_file,
-    "labels_appended": _labels_appended,
+    "label_commits": _labels_appended,
     "ratings_file": _ratings_file,
     "encoder_tables": _encoders,
     "intent_predictions": lambda t: _pairs(t, "intent"),
@@ -319,7 +319,7 @@ UNION ALL SELECT 'Support (outbound)', count(*) FILTER (NOT inbound) FROM kept""
     "stream_monthly_volume": CORPUS_ORACLE["monthly_volume"],
     "stream_top_authors": CORPUS_ORACLE["top_authors"],
 }
-ORACLE["labels_appended"] = ORACLE["labels_file"]
+ORACLE["label_commits"] = ORACLE["labels_file"]
 
 
 def _score_facts_sql(label: str) -> str:
