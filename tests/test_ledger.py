@@ -177,3 +177,25 @@ def test_label_batches(spark):
     assert [tuple(r) for r in read_label_batches(table).collect()] == [("t", "a", "1")] * 2
 
 
+
+
+@pytest.mark.parametrize("rows", [0, 1, 999, 1_000, 2_500, 77_777, 5_000_000])
+def test_rows_of_a_wave_have_its_levels(spark, rows):
+    shares = [0, 1, *[1 << b for b in range(24)], *[(1 << b) - 1 for b in range(1, 25)], *range(7, 1 << 24, 99_991)]
+    places = spark.createDataFrame([(f"{s:06x}",) for s in shares], "place string")
+    found = places.select(ledger.wave_of(F.col("place"), rows).alias("w"), ledger.level_of(F.col("place")).alias("l")).collect()
+    for r in found:
+        low, high = ledger.levels_of_wave(r["w"], rows)
+        assert low <= r["l"] <= high and (r["w"] < 2 or high - low <= 2 or rows > 4_000_000)
+
+
+def test_a_model_sees_few_texts_at_once(spark):
+    from voxdesk.operators import asking
+
+    def sizes(batch: pd.DataFrame):
+        for _ in batch["prompt"]:
+            yield str(len(batch)), None
+
+    df = spark.range(1_000).select(F.lit("x").alias("prompt")).coalesce(1)
+    got = [int(r["answer"]) for r in asking.ask(df, sizes).collect()]
+    assert len(got) == 1_000 and max(got) <= 256

@@ -28,6 +28,9 @@ Model = Callable[[pd.DataFrame], Iterable[tuple[str | None, str | None]]]
 #: Texts and candidate labels to one (list of (label, score), error) pair per text.
 Scorer = Callable[[list[str], list[str]], Iterable[tuple[list[tuple[str, float]] | None, str | None]]]
 
+#: Rows of an Arrow batch that a model sees at once, so that its texts are not all held twice.
+ASK_ROWS = 256
+
 
 def per_row(
     answer_one: Callable[[str], str], column: str = "prompt", delay: float = 0.0
@@ -93,7 +96,7 @@ def ask(
     its answers one by one; its later rows get the status 'quota'. order sorts
     each caller's rows, so that all rows it leaves out stand behind the error.
 
-    The model sees a pandas batch in which whole numbers stay whole numbers even
+    The model sees a pandas batch of ASK_ROWS rows at most, in which whole numbers stay whole numbers even
     beside nulls; the rows themselves never pass through pandas.
     """
     ship_package(df.sparkSession)
@@ -103,17 +106,20 @@ def ask(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stopped = False
-        for batch in batches:
-            asked = batch.column(needs).is_valid()
-            rows = batch.filter(asked).to_pandas(integer_object_nulls=True)
-            if stopped:
-                pairs = [(None, V.NOT_ASKED)] * len(rows)
-            else:
-                pairs, stopped = _answers(model, rows, stop_on_quota)
-            found = iter(pairs)
-            listed = [next(found) if a else (None, None) for a in asked.to_pylist()]
-            columns = [pa.array([pair[k] for pair in listed], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ASK_ROWS):
+                batch = whole.slice(at, ASK_ROWS)
+                asked = batch.column(needs).is_valid()
+                rows = batch.filter(asked).to_pandas(integer_object_nulls=True)
+                if stopped:
+                    pairs = [(None, V.NOT_ASKED)] * len(rows)
+                else:
+                    pairs, stopped = _answers(model, rows, stop_on_quota)
+                found = iter(pairs)
+                listed = [next(found) if a else (None, None) for a in asked.to_pylist()]
+                columns = [pa.array([pair[k] for pair in listed], pa.string()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+            pa.default_memory_pool().release_unused()
 
     spread = df.repartition(parallelism) if parallelism else df
     if order is not None:

@@ -26,6 +26,8 @@ from voxdesk.sources.commits import CommittedTable
 FIRST_WAVE = 1_000
 #: Hex digits of the hash that deal rows out to waves.
 WAVE_DIGITS = 6
+#: Shares of fewer bits have one level: a four-thousandth of all rows.
+LEVEL_BITS = 12
 
 CALLS = (
     "kind string, call_key string, digest string, run string, wave int, turn int, place string, answer string, "
@@ -52,6 +54,21 @@ def wave_of(place: Column, rows: int, first: int = FIRST_WAVE) -> Column:
     return F.when(before == 0, 0).otherwise(F.length(F.bin(before))).cast("int")
 
 
+def level_of(place: Column) -> Column:
+    """The bit length of a row's share of the hash, from LEVEL_BITS on: rows of a wave have a level or two."""
+    share = F.conv(F.substring(place, 1, WAVE_DIGITS), 16, 10).cast("bigint")
+    above = F.shiftright(share, LEVEL_BITS)
+    return F.when(above == 0, 0).otherwise(F.length(F.bin(above))).cast("int")
+
+
+def levels_of_wave(wave: int, rows: int, first: int = FIRST_WAVE) -> tuple[int, int]:
+    """The lowest and highest level that rows of a wave can have."""
+    size, of = 1 << 4 * WAVE_DIGITS, max(1, -(-rows // first))
+    low = -(-(1 << wave - 1) * size // of) if wave else 0
+    high = min(size - 1, -(-(1 << wave) * size // of) - 1)
+    return (low >> LEVEL_BITS).bit_length(), (high >> LEVEL_BITS).bit_length()
+
+
 class CallLedger:
     """The calls of one run on a folder; several frames and kinds may use it one after the other.
 
@@ -98,23 +115,34 @@ class CallLedger:
         """
         frame, self.frames = self.frames, self.frames + 1
         place = hash_key(self.seed, *key)
-        # Rows and prompts are written once, before anything is paid for.
-        named = df.withColumn("__place", place).withColumns({f"__{c.kind}": c.prompt for c in calls}).checkpoint()
-        rows = named.count()
+        named, rows = self._written(df, calls, place)
         named = named.withColumn("__wave", wave_of(F.col("__place"), rows, self.first_wave))
         last = named.agg(F.max("__wave")).first()[0]
         for wave in range(0 if last is None else last + 1):
+            own = F.col("__level").between(*levels_of_wave(wave, rows, self.first_wave)) & (F.col("__wave") == wave)
             for turn, call in enumerate(calls):
                 if self.stopped:
                     break
-                self._call_wave(named.where(F.col("__wave") == wave), call, frame, wave, turn, key)
+                self._call_wave(named.where(own), call, frame, wave, turn, key)
         return self._answered(named, calls, frame, key, df.columns)
 
+    def _written(self, df: DataFrame, calls: list[Call], place: Column) -> tuple[DataFrame, int]:
+        """Rows, prompts and their digests, written once before anything is paid for, and how many rows these are.
+
+        They lie in folders by level, so that a wave reads its own rows and not those of all waves.
+        """
+        prompts = df.withColumns({"__place": place, "__level": level_of(place)} | {f"__{c.kind}": c.prompt for c in calls})
+        named = prompts.withColumns({f"__{c.kind}_digest": F.sha2(f"__{c.kind}", 256) for c in calls})
+        path = shared_dir(self.spark, "asked")
+        named.write.partitionBy("__level").parquet(path)
+        written = self.spark.read.schema(named.schema).parquet(path)
+        return written, written.count()
+
     def _requests(self, named: DataFrame, call: Call, key: tuple) -> DataFrame:
         prompt = F.col(f"__{call.kind}")
         call_key = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
         return named.where(prompt.isNotNull()).select(
-            call_key.alias("call_key"), F.sha2(prompt, 256).alias("digest"), "__place", prompt.alias("prompt"), *call.also
+            call_key.alias("call_key"), F.col(f"__{call.kind}_digest").alias("digest"), "__place", prompt.alias("prompt"), *call.also
         )
 
     def _call_wave(self, named: DataFrame, call: Call, frame: int, wave: int, turn: int, key: tuple) -> None:
@@ -142,13 +170,14 @@ class CallLedger:
         stop = self._stop()
         made = self.made()
         call_key = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
-        out = named.withColumn("call_key", call_key)
+        # Prompts have been used; only their digests go through the joins.
+        out = named.drop(*[f"__{c.kind}" for c in calls]).withColumn("call_key", call_key)
         for turn, call in enumerate(calls):
             own = made.where(F.col("kind") == call.kind).select(
                 "call_key", F.col("digest").alias("__digest"), F.col("answer").alias("__answer"), F.col("error").alias("__error"),
                 F.col("status").alias("__status"),
             )
-            out = out.withColumn("__digest", F.sha2(f"__{call.kind}", 256)).join(own, ["call_key", "__digest"], "left")
+            out = out.withColumnRenamed(f"__{call.kind}_digest", "__digest").join(own, ["call_key", "__digest"], "left")
             before = F.lit(True)
             if stop:
                 here = F.struct(F.lit(frame), F.col("__wave"), F.lit(turn), F.col("__place"))
@@ -157,7 +186,7 @@ class CallLedger:
             out = out.withColumns({
                 f"{call.kind}_answer": F.when(kept, F.col("__answer")),
                 f"{call.kind}_error": F.when(kept, F.col("__error")),
-                f"{call.kind}_status": F.when(F.col(f"__{call.kind}").isNotNull(), F.when(kept, F.col("__status")).otherwise("quota")),
+                f"{call.kind}_status": F.when(F.col("__digest").isNotNull(), F.when(kept, F.col("__status")).otherwise("quota")),
             }).drop("__digest", "__answer", "__error", "__status")
         added = [f"{c.kind}_{part}" for c in calls for part in ("answer", "error", "status")]
         return out.select(*columns, *added)
