@@ -98,3 +98,33 @@ def test_vocabulary_cut_amid_ties(spark):
     df = docs(spark, [(i, f"w{i:03d}") for i in range(50)] + [(99, "top top")])
     rows = features.ngram_vocabulary(df, 4).orderBy("idx").collect()
     assert [r["term"] for r in rows] == ["top", "top top", "w000", "w001"]
+
+
+def test_grams_of_rows_beside_each_other_are_counted_together(spark):
+    rows = [(i, "aa bb aa bb") for i in range(100)] + [(100, None), (101, " "), (102, "cc")]
+    df = docs(spark, rows).coalesce(1)
+    assert features._marks(df).count() == 5  # one row a gram, where each text had six
+    got = {r["term"]: (r["n"], r["docs"]) for r in features.ngram_counts(df).collect()}
+    assert got == {"aa": (200, 100), "bb": (200, 100), "aa bb": (200, 100), "bb aa": (100, 100), "cc": (1, 1)}
+
+
+def test_small_pieces_and_folds_count_alike(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 9)), [0, 1, None][i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fold int")
+    whole = sorted(map(tuple, features.ngram_counts(df).collect()))
+    counts = features.fold_counts(df, 2)
+    assert sorted((r["term"], r["n"], r["docs"]) for r in counts.terms.collect()) == whole
+    own = {r["term"]: (r["n"], r["docs"]) for r in features.ngram_counts(df.where("fold = 1")).collect()}
+    assert {r["term"]: (r["n_in"][1], r["docs_in"][1]) for r in counts.terms.collect() if r["n_in"][1]} == own
+    monkeypatch.setattr(features, "PIECE_BYTES", 10)
+    assert sorted(map(tuple, features.ngram_counts(df).collect())) == whole
+
+
+def test_smaller_vocabulary_is_the_head_of_the_largest(spark):
+    rows = [(i, f"w{i % 5}a w{i % 3}b", i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fold int")
+    found, n = features.vocabularies_without(features.fold_counts(df, 2), 0, [3, 6])
+    own = df.where("fold = 1")
+    assert n == own.count()
+    for k, vocabulary in zip((3, 6), found):
+        assert sorted(map(tuple, vocabulary.collect())) == sorted(map(tuple, features.ngram_vocabulary(own, k).collect()))
