@@ -9,7 +9,7 @@ from voxdesk.functions.prompts import explanation_prompt, reply_prompt
 from voxdesk.functions.responses import explanation_or_fallback, reply_or_fallback
 from voxdesk.functions.text import clean_text, is_blank
 from voxdesk.operators.asking import Model
-from voxdesk.operators.classifiers import predict
+from voxdesk.operators.classifiers import predict_tasks
 from voxdesk.operators.ledger import Call, CallLedger
 
 
@@ -45,8 +45,7 @@ def score_messages(
     """
     raw = df.select(*keep, F.col("text").alias("__raw"), clean_text(F.col("text")).alias("__clean"))
     scored = raw.withColumn("text", F.coalesce("__clean", F.lit("")))
-    for model in (intent_model, severity_model):
-        scored = predict(model, scored).drop("prediction", "probability")
+    scored = predict_tasks([intent_model, severity_model], scored)
     empty = is_blank(F.col("__clean"))
     rows = scored.select(
         *keep,
