@@ -302,6 +302,31 @@ def test_families_of_edits_lose_no_link(spark, scratch, monkeypatch, seed, small
     assert found_near(df, scratch) == plain_near(rows)
 
 
+def star_of(spark, residues):
+    rows = [(a, b, (True, residue, 9, 9, 40)) for a, b, residue in residues]
+    kind = "a bigint, b bigint, c struct<linked boolean, residue array<bigint>, to_far int, to_near int, size bigint>"
+    return spark.createDataFrame(rows, kind)
+
+
+def test_most_hold_counts_shingles_across_slices(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLICE_ROWS", 4)
+    draw = random.Random(3)
+    residues = [(star, 100 + b, sorted(draw.sample(range(12), 6))) for star in (1, 2, 3) for b in range(5 * star)]
+    draw.shuffle(residues)
+    found = {r["a"]: set(r["common"]) for r in near_dedup._most_hold(star_of(spark, residues).repartition(3)).collect()}
+    for star in (1, 2, 3):
+        own = [r for a, _, r in residues if a == star]
+        held = Counter(t for r in own for t in r)
+        assert found.get(star, set()) == {t for t, m in held.items() if 2 * m > len(own)}
+
+
+def test_a_star_that_is_connected_hands_no_shingle_on(spark, scratch):
+    compared = star_of(spark, [(1, b, [7, 8, 9]) for b in range(2, 30)])
+    roots = spark.createDataFrame([(b, 1) for b in range(2, 30)], "class bigint, root bigint")
+    assert near_dedup._next_buckets(compared, roots, scratch, 1, 85).count() == 0
+    assert spark.read.parquet(f"{scratch.folder}/keyed-1").count() == 0
+
+
 def test_prefixes_meet_wherever_two_sets_are_similar():
     draw = random.Random(9)
     linked = 0
