@@ -1,4 +1,5 @@
 import hashlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ from voxdesk import fixed_values as V
 from voxdesk.operators import classifiers, evaluation, scoring, splits
 from voxdesk.operators.classifiers import Candidate
 from voxdesk.operators.ledger import CallLedger
+from voxdesk.plans import model_queries
+from voxdesk.session import ensure_checkpoint_dir
 from voxdesk.sources import results
 
 SF = "/root/testdata/sf0.001"
@@ -209,3 +212,49 @@ def test_a_repeated_stream_batch_makes_no_call_twice(spark, intent_model, severi
     assert all(r["reply"] == ("thanks" if r["message_id"] % 4 else V.EMPTY_REPLY) for r in rows)
     assert all(r["explanation"] is None or r["message_id"] % 4 == 0 for r in rows)
     assert len(run().collect()) == 12 and len(log.read_text().splitlines()) == 9
+
+
+def test_tasks_on_the_same_texts_weigh_them_once(labeled, intent_model, severity_model):
+    vectorizer, calls = classifiers.fit_vectorizer(labeled), []
+
+    class Counted:
+        stages = vectorizer.stages
+
+        def transform(self, df):
+            calls.append(df)
+            return vectorizer.transform(df)
+
+    both = classifiers.fit_tasks(labeled, {"intent": "auto", "severity": "multinomial"}, Counted())
+    assert len(calls) == 1
+    for own, model in zip((intent_model, severity_model), both, strict=True):
+        assert own.stages[-1].getLabels() == model.stages[-1].getLabels()
+        far = abs(own.stages[-2].coefficientMatrix.toArray() - model.stages[-2].coefficientMatrix.toArray()).max()
+        assert far < 1e-6
+
+
+def test_evaluation_cleans_the_texts_once(spark, labeled, monkeypatch):
+    calls = []
+    monkeypatch.setattr(model_queries, "_labeled", lambda t: calls.append(t) or labeled)
+    pairs = labeled.select(F.col("intent").alias("y_true"), F.col("intent").alias("y_pred"))
+    monkeypatch.setattr(model_queries, "_pairs", lambda *_: pairs)
+    model_queries._evaluation(None).collect()
+    assert len(calls) == 1
+
+
+def test_score_facts_compute_each_probability_once(spark, labeled, monkeypatch):
+    seen, scores = spark.sparkContext.accumulator(0), classifiers.class_scores
+
+    def counted(score):
+        seen.add(1)
+        return score
+
+    def class_scores(*given):
+        rows = scores(*given)
+        return rows.withColumn("score", F.udf(counted, "double").asNondeterministic()("score"))
+
+    monkeypatch.setattr(classifiers, "class_scores", class_scores)
+    monkeypatch.setattr(model_queries, "_labeled", lambda t: labeled)
+    ensure_checkpoint_dir(spark)
+    facts = model_queries._score_differences(SimpleNamespace(spark=spark), "intent").collect()
+    assert [(r["checked"], r["violations"]) for r in facts] == [(270, 0), (90, 0), (90, 0)]
+    assert seen.value == 270
