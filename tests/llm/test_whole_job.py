@@ -42,6 +42,35 @@ def test_short_lines_of_the_documents(spark):
     found = line_dedup.line_counts(documents(spark), Scratch(spark, "t"), min_words=1).collect()
     assert {r["doc_id"]: r["removed_lines"] for r in found} == removed_of_all(rows)
 
+class Counting(Scratch):
+    """Keeps how many rows the largest table of each name had."""
+
+    def store(self, df, name, **options):
+        out = super().store(df, name, **options)
+        self.rows = getattr(self, "rows", {})
+        self.rows[name] = max(self.rows.get(name, 0), out.count())
+        return out
+
+
+def test_near_copies_of_a_line_give_no_pair_for_each_two(spark):
+    base = [f"word{k}" for k in range(30)]
+    rows = [(k, " ".join([*base[: k % 29], f"own{k}", *base[k % 29 + 1 :]]) + f"\nline {k} alone") for k in range(300)]
+    docs, scratch = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Counting(spark, "t")
+    found = line_dedup.line_counts(docs, scratch).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in found} == removed_of_all(rows)
+    assert max(n for name, n in scratch.rows.items() if name in ("pairs", "near")) < 30 * len(rows)
+
+
+def test_sizes_at_both_ends_of_a_band_are_compared(spark):
+    words = [f"word{k}" for k in range(80)]
+    sizes = [1, 2, 3, 4, 5, 7, 8, 9, 10, 13, 15, 16, 17, 20, 26, 31, 32, 33, 40, 52, 63, 64, 65, 80]
+    for order in (sizes, sizes[::-1]):
+        rows = [(k, " ".join(words[:n])) for k, n in enumerate(order)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = line_dedup.line_counts(docs, Scratch(spark, "t")).collect()
+        assert {r["doc_id"]: r["removed_lines"] for r in found} == removed_of_all(rows)
+
+
 # Quality
 
 

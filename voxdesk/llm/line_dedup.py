@@ -25,6 +25,10 @@ STEPS = 4
 BROADCAST_ROWS = 400_000
 #: Signatures of 64 bits that together are a wide one; a power of two.
 LANES = 4
+#: Words of a sketch.
+SKETCH_WORDS = 3
+#: A task's words fit in one dictionary of the stored table, which then takes half the room.
+DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 _LAST = (1 << 63) - 1
 
 
@@ -37,45 +41,50 @@ def _plain(text: Column) -> Column:
 
 
 def word_set(line: Column) -> Column:
-    """Hashes of a line's distinct lower-cased words."""
+    """Hashes of the distinct words of a line in plain form, in order."""
     # Splitting at one character needs no regular expression.
-    words = F.array_distinct(F.transform(F.split(_plain(line), " "), lambda w: F.xxhash64(w)))
-    return F.array_remove(words, F.xxhash64(F.lit("")))
+    words = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.array_remove(words, F.xxhash64(F.lit(""))))
 
 
 def _lines(named: DataFrame) -> DataFrame:
+    """(key, id, line_no, line): all lines in plain form."""
     # The outer form: the plain one makes the optimiser split every text twice.
-    return named.select("key", "id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where(
-        "line_no IS NOT NULL"
-    )
+    plain = named.select("key", "id", _plain(F.col("text")).alias("text"))
+    lines = plain.select("key", "id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where("line_no IS NOT NULL")
+
+
+def hashed_lines(named: DataFrame) -> DataFrame:
+    """(key, id, line_no, words): the word sets of all lines."""
+    # No filter on the sets: it would make the optimiser build them twice.
+    return _lines(named).select("key", "id", "line_no", word_set(F.col("line")).alias("words"))
 
 
 def _bucket(word: Column) -> Column:
     return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(texts: DataFrame) -> bytes:
-    """For each bucket of words how common they are, a byte each.
+def rarity(sets: DataFrame) -> list[int]:
+    """For each bucket of words how common they are, from 0 to 127.
 
-    Every word of every text is counted. BUCKETS rows at most reach the driver,
-    and BUCKETS bytes go out to the tasks.
+    Every word of every line is counted. BUCKETS rows at most reach the driver,
+    and BUCKETS small numbers go out to the tasks.
     """
-    text = F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" "))
-    words = texts.select(F.explode_outer(F.split(text, " ")).alias("word")).where("word != ''")
-    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().collect()
-    out = bytearray(BUCKETS)
-    for r in counts:
+    words = sets.select(F.explode("words").alias("word"))
+    out = [0] * BUCKETS
+    for r in words.groupBy(_bucket(F.col("word")).alias("bucket")).count().collect():
         out[r["bucket"]] = min(127, int(STEPS * math.log2(r["count"] + 1)))
-    return bytes(out)
+    return out
 
 
-def by_rarity(words: Column, common: bytes) -> Column:
+def by_rarity(words: Column, common: list[int]) -> Column:
     """The words in order: those of rare buckets first, then by hash."""
+    steps = F.split(F.lit(",".join(map(str, common))), ",").cast("array<tinyint>")
 
     def key(word: Column) -> Column:
-        step = F.ascii(F.substring(F.lit(common), _bucket(word) + 1, F.lit(1)).cast("string"))
         low = word.bitwiseAND(F.lit((1 << 56) - 1))
-        return low.bitwiseOR(F.shiftleft(step.cast("bigint"), 56))
+        return low.bitwiseOR(F.shiftleft(F.get(steps, _bucket(word)).cast("bigint"), 56))
 
     return F.sort_array(F.transform(words, key))
 
@@ -99,6 +108,16 @@ def wide_signature(words: Column) -> list[Column]:
     return [of(k) for k in range(LANES)]
 
 
+def sketches(words: Column, n: Column, below: Column) -> Column:
+    """Four hashes of the word set, each of which two sets with similarity s share about once in s^-3.
+
+    Each is of the three words whose hashes are nearest to an end of the order,
+    or nearest to zero on one side; `below` of the n words are below zero.
+    """
+    parts = [(F.lit(1), 0), (F.greatest(n - 2, F.lit(1)), 1), (F.greatest(below - 2, F.lit(1)), 2), (F.least(below + 1, n), 3)]
+    return F.array(*(F.xxhash64(F.lit(k), F.slice(words, begin, SKETCH_WORDS)) for begin, k in parts))
+
+
 def _at_least(part: Column) -> Column:
     """The smallest whole number that is SIMILAR times part or more."""
     top, bottom = SIMILAR
@@ -116,7 +135,8 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     """(named rows, lines, classes): lines with equal word sets are one class.
 
     A class has the first of its lines by (id, key, line number), the number of
-    words and the prefix of words a similar set must share one of.
+    its lines, the number of words, their sketches and the prefix of words a
+    similar set must share one of.
     """
     text = F.col(text_col)
     named = docs.select(
@@ -124,50 +144,76 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"),
         F.col(id_col).alias("doc"), text.alias("text"),
     )
-    words = by_rarity(word_set(F.col("line")), rarity(named.select("text")))
-    ranked = _lines(named).select("key", "id", "line_no", words.alias("words"))
-    n = F.size("words")
+    sets = scratch.store(hashed_lines(named), "sets", **DICTIONARY)
+    ranked = sets.where(F.size("words") >= min_words).select(
+        "key", "id", "line_no", "words", F.size("words").alias("n"),
+        F.size(F.filter("words", lambda w: w < 0)).alias("below"), by_rarity(F.col("words"), rarity(sets)).alias("ranked"),
+    )
+    words, n, below = F.col("words"), F.col("n"), F.col("below")
     # For candidates 32 bits of a word do; the verification compares all 64.
-    prefix = F.transform(F.slice("words", 1, n - _at_least(n) + 1), lambda w: F.hash(w))
+    prefix = F.transform(F.slice("ranked", 1, n - _at_least(n) + 1), lambda w: F.hash(w))
     lines = scratch.store(
         ranked.select(
-            "key", "id", "line_no", n.alias("n"),
-            F.when(n >= min_words, F.xxhash64("words")).alias("h1"),
-            F.when(n >= min_words, F.xxhash64(F.lit(1), "words")).alias("h2"),
-            F.when(n >= min_words, signature(F.col("words"))).alias("bits"),
-            F.when(n >= min_words, prefix).alias("prefix"),
+            "key", "id", "line_no", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
+            signature(F.slice(words, 1, below)).alias("bits"), signature(F.slice(words, below + 1, n - below)).alias("more"),
+            sketches(words, n, below).alias("sketches"), prefix.alias("prefix"),
         ), "lines",
     )
     classes = (
-        lines.where("h1 IS NOT NULL").groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "key", "line_no")).alias("first"), F.first("n").alias("n"),
-             F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+        lines.groupBy("h1", "h2")
+        .agg(F.min(F.struct("id", "key", "line_no")).alias("first"), F.count("*").alias("members"),
+             *(F.first(c).alias(c) for c in ("n", "bits", "more", "sketches", "prefix")))
         .withColumn("class", F.monotonically_increasing_id())
     )
+    scratch.drop("sets")
     return named, lines, scratch.store(classes, "classes")
 
 
+def _apart(one: str, other: str) -> Column:
+    """Bits in which two signatures differ, of columns with these endings."""
+    return sum((F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{other}"))) for c in ("bits", "more")), F.lit(0))
+
+
+def leader_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b, na, nb): of the classes that share a sketch, each with one whose line is early.
+
+    Sizes and signatures leave out pairs that cannot be similar.
+    """
+    rows = classes.select("class", F.col("first.id").alias("id"), F.explode("sketches").alias("sketch"))
+    leaders = rows.groupBy("sketch").agg(F.min_by("class", "id").alias("a"), F.count("*").alias("rows"))
+    pairs = rows.join(leaders.where("rows > 1").select("sketch", "a"), "sketch").where("class != a")
+    pairs = pairs.select("a", F.col("class").alias("b")).distinct()
+    for side in ("a", "b"):
+        own = (F.col(c).alias(f"{c}_{side}") for c in ("n", "bits", "more"))
+        pairs = pairs.join(classes.select(F.col("class").alias(side), *own), side)
+    na, nb = F.col("n_a"), F.col("n_b")
+    fits = (na >= _at_least(nb)) & (nb >= _at_least(na)) & (_apart("_a", "_b") <= na + nb - 2 * _shared_at_least(na, nb))
+    return pairs.where(fits).select("a", "b", na.alias("na"), nb.alias("nb"))
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a prefix word and pass the other filters; a is no larger.
+    """(a, b, na, nb): classes that share a prefix word and pass the other filters; a is no larger.
 
+    Classes come with `done`: an earlier similar class is known. Pairs of two such
+    are left out, so a group of near copies gives no pair for each two of it.
     The length filter leaves pairs whose sizes allow the similarity, and the
     signatures those that may differ in few enough words. The position filter
     takes the shared word for the first one: enough words must stand behind it in
-    both sets. A pair whose words before it are equal was found at those.
+    both sets. Both sides are the same rows, so they are dealt out once.
     """
-    columns = ("class", "n", "bits", "place", "before")
-    words = classes.select("class", "n", "bits", "prefix", F.posexplode("prefix").alias("place", "word")).withColumn(
-        "before", F.get("prefix", F.col("place") - 1)
-    )
+    columns = ("class", "done", "n", "bits", "more", "place")
+    words = classes.select("class", "done", "n", "bits", "more", F.posexplode("prefix").alias("place", "word"))
     a = words.select("word", *(F.col(c).alias(f"{c}_a") for c in columns))
     b = words.select("word", *(F.col(c).alias(f"{c}_b") for c in columns))
     na, nb, pa, pb = (F.col(c) for c in ("n_a", "n_b", "place_a", "place_b"))
     first = (na < nb) | ((na == nb) & (F.col("class_a") < F.col("class_b")))
-    least = _shared_at_least(na, nb)
-    position = F.least(na - pa, nb - pb) >= least
-    new = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
-    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * least
-    pairs = a.join(b, "word").where(first & (na >= _at_least(nb)) & apart & position & new)
+    top, bottom = SIMILAR
+    # In whole numbers: what _at_least and _shared_at_least say, at less cost a pair.
+    sizes = na * bottom >= nb * top
+    position = F.least(na - pa, nb - pb) * (top + bottom) >= (na + nb) * top
+    near = _apart("_a", "_b") * (top + bottom) <= (na + nb) * (bottom - top)
+    open_ = ~(F.col("done_a") & F.col("done_b"))
+    pairs = a.join(b, "word").where(sizes & first & position & open_ & near)
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
@@ -183,24 +229,41 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFram
     return pairs.where(apart <= na + nb - 2 * _shared_at_least(na, nb)).select("a", "b", "na", "nb")
 
 
-def similar_classes(named: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of all classes whose sets have a Jaccard similarity of SIMILAR or more."""
-    pairs = scratch.store(candidates(classes), "pairs")
+def later_classes(pairs: DataFrame, named: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class): of each pair whose sets have a Jaccard similarity of SIMILAR or more, the later one."""
+    pairs = scratch.store(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     places = scratch.store(
-        classes.join(wanted, "class").select("class", F.col("first.key").alias("key"), F.col("first.line_no").alias("line_no")),
+        classes.join(wanted, "class").select("class", F.col("first.key").alias("key"), F.col("first.line_no").alias("line_no"), "first"),
         "places",
     )
-    sets = scratch.store(
-        _lines(named).join(if_small(places, BROADCAST_ROWS), ["key", "line_no"])
-        .select("class", word_set(F.col("line")).alias("words")).dropDuplicates(["class"]), "sets",
+    own = scratch.store(
+        _lines(named).join(if_small(places.drop("first"), BROADCAST_ROWS), ["key", "line_no"])
+        .select("class", word_set(F.col("line")).alias("words")).dropDuplicates(["class"]), "own",
     )
-    near = scratch.store(_near_pairs(pairs, sets, scratch), "near")
-    scratch.drop("pairs", "places", "wide")
-    both = near.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    near = scratch.store(_near_pairs(pairs, own, scratch), "near")
+    full = own.join(places.select("class", "first"), "class").select("class", "words", "first")
+    both = near.join(full.toDF("a", "wa", "fa"), "a").join(full.toDF("b", "wb", "fb"), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     top, bottom = SIMILAR
-    return both.where(shared * bottom >= (F.col("na") + F.col("nb") - shared) * top).select("a", "b")
+    similar = both.where(shared * bottom >= (F.col("na") + F.col("nb") - shared) * top)
+    later = similar.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct()
+    return later
+
+
+def matched_classes(named: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class) of all classes to which an earlier class has a Jaccard similarity of SIMILAR or more.
+
+    Most near copies are found with one early class of a shared sketch, a pair
+    for each; the join on prefixes finds all others.
+    """
+    done = scratch.store(later_classes(leader_pairs(classes), named, classes, scratch), "done")
+    scratch.drop("pairs", "places", "own", "wide", "near")
+    marked = classes.join(if_small(done.withColumn("done", F.lit(True))), "class", "left")
+    marked = marked.withColumn("done", F.coalesce("done", F.lit(False)))
+    found = scratch.store(later_classes(candidates(marked), named, classes, scratch), "found")
+    scratch.drop("pairs", "places", "own", "wide", "near")
+    return done.union(found)
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
@@ -214,18 +277,12 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     texts, stay. Every line is judged on the input, not on what is left.
     """
     named, lines, classes = line_classes(docs, scratch, id_col, text_col, min_words)
-    found = similar_classes(named, classes, scratch)
-    place = classes.select("class", "first")
-    ordered = (
-        found.join(place.toDF("a", "fa"), "a").join(place.toDF("b", "fb"), "b")
-        .select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("class"))
-        .distinct().withColumn("matched", F.lit(True))
-    )
-    judged = classes.join(ordered, "class", "left").select("h1", "h2", "first", "matched")
+    matched = matched_classes(named, classes, scratch).distinct().withColumn("matched", F.lit(True))
+    judged = classes.select("class", "h1", "h2", "first", "members").join(if_small(matched), "class", "left")
+    judged = judged.where("members > 1 OR matched").select("h1", "h2", "first", "matched")
     own = F.struct("id", "key", "line_no")
-    gone = (
-        lines.select("key", "id", "line_no", "h1", "h2").where("h1 IS NOT NULL").join(judged, ["h1", "h2"])
-        .where(F.col("matched") | (own > F.col("first")))
+    gone = lines.select("key", "id", "line_no", "h1", "h2").join(judged, ["h1", "h2"]).where(
+        F.col("matched") | (own > F.col("first"))
     )
     listed = gone.groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     return named, listed
@@ -235,8 +292,8 @@ def line_counts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
                 min_words: int = MIN_WORDS) -> DataFrame:
     """(id_col, n_lines, n_removed, removed_lines) of each row of docs; the line numbers are comma-joined."""
     named, removed = removed_lines(docs, scratch, id_col, text_col, min_words)
-    sizes = named.select("key", "doc", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"))
-    sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    sizes = named.select("key", "doc", F.coalesce(ends + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     return sizes.join(removed, "key", "left").select(
         F.col("doc").alias(id_col), "n_lines",
         F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed"),
