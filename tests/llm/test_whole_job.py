@@ -45,8 +45,8 @@ def test_short_lines_of_the_documents(spark):
 class Counting(Scratch):
     """Keeps how many rows the largest table of each name had."""
 
-    def store(self, df, name, **options):
-        out = super().store(df, name, **options)
+    def store(self, df, name):
+        out = super().store(df, name)
         self.rows = getattr(self, "rows", {})
         self.rows[name] = max(self.rows.get(name, 0), out.count())
         return out

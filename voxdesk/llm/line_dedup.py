@@ -27,8 +27,6 @@ BROADCAST_ROWS = 400_000
 LANES = 4
 #: Words of a sketch.
 SKETCH_WORDS = 3
-#: A task's words fit in one dictionary of the stored table, which then takes half the room.
-DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 _LAST = (1 << 63) - 1
 
 
@@ -55,25 +53,20 @@ def _lines(named: DataFrame) -> DataFrame:
     return lines.where("line_no IS NOT NULL")
 
 
-def hashed_lines(named: DataFrame) -> DataFrame:
-    """(key, id, line_no, words): the word sets of all lines."""
-    # No filter on the sets: it would make the optimiser build them twice.
-    return _lines(named).select("key", "id", "line_no", word_set(F.col("line")).alias("words"))
-
-
 def _bucket(word: Column) -> Column:
     return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(sets: DataFrame) -> list[int]:
+def rarity(texts: DataFrame) -> list[int]:
     """For each bucket of words how common they are, from 0 to 127.
 
-    Every word of every line is counted. BUCKETS rows at most reach the driver,
+    Every word of every text is counted. BUCKETS rows at most reach the driver,
     and BUCKETS small numbers go out to the tasks.
     """
-    words = sets.select(F.explode("words").alias("word"))
+    text = F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" "))
+    words = texts.select(F.explode_outer(F.split(text, " ")).alias("word")).where("word != ''")
     out = [0] * BUCKETS
-    for r in words.groupBy(_bucket(F.col("word")).alias("bucket")).count().collect():
+    for r in words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().collect():
         out[r["bucket"]] = min(127, int(STEPS * math.log2(r["count"] + 1)))
     return out
 
@@ -114,7 +107,7 @@ def sketches(words: Column, n: Column, below: Column) -> Column:
     Each is of the three words whose hashes are nearest to an end of the order,
     or nearest to zero on one side; `below` of the n words are below zero.
     """
-    parts = [(F.lit(1), 0), (F.greatest(n - 2, F.lit(1)), 1), (F.greatest(below - 2, F.lit(1)), 2), (F.least(below + 1, n), 3)]
+    parts = [(F.lit(1), 0), (F.greatest(n - 2, F.lit(1)), 1), (F.greatest(below - 2, F.lit(1)), 2), (F.greatest(F.least(below + 1, n), F.lit(1)), 3)]
     return F.array(*(F.xxhash64(F.lit(k), F.slice(words, begin, SKETCH_WORDS)) for begin, k in parts))
 
 
@@ -144,10 +137,11 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"),
         F.col(id_col).alias("doc"), text.alias("text"),
     )
-    sets = scratch.store(hashed_lines(named), "sets", **DICTIONARY)
-    ranked = sets.where(F.size("words") >= min_words).select(
-        "key", "id", "line_no", "words", F.size("words").alias("n"),
-        F.size(F.filter("words", lambda w: w < 0)).alias("below"), by_rarity(F.col("words"), rarity(sets)).alias("ranked"),
+    # No filter on the sets before they are stored: it would make the optimiser build them twice.
+    sets = _lines(named).select("key", "id", "line_no", word_set(F.col("line")).alias("words"))
+    ranked = sets.select(
+        "key", "id", "line_no", "words", F.size("words").alias("n"), F.size(F.filter("words", lambda w: w < 0)).alias("below"),
+        by_rarity(F.col("words"), rarity(named.select("text"))).alias("ranked"),
     )
     words, n, below = F.col("words"), F.col("n"), F.col("below")
     # For candidates 32 bits of a word do; the verification compares all 64.
@@ -158,14 +152,13 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
             signature(F.slice(words, 1, below)).alias("bits"), signature(F.slice(words, below + 1, n - below)).alias("more"),
             sketches(words, n, below).alias("sketches"), prefix.alias("prefix"),
         ), "lines",
-    )
+    ).where(F.col("n") >= min_words)
     classes = (
         lines.groupBy("h1", "h2")
         .agg(F.min(F.struct("id", "key", "line_no")).alias("first"), F.count("*").alias("members"),
              *(F.first(c).alias(c) for c in ("n", "bits", "more", "sketches", "prefix")))
         .withColumn("class", F.monotonically_increasing_id())
     )
-    scratch.drop("sets")
     return named, lines, scratch.store(classes, "classes")
 
 
