@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from voxdesk import fixed_values as V
 from voxdesk.operators.asking import Model, ask
 from voxdesk.operators.ranking import hash_key
+from voxdesk.operators.sizing import small_side
 from voxdesk.session import ensure_checkpoint_dir, shared_dir
 from voxdesk.sources.commits import CommittedTable
 
@@ -28,6 +29,8 @@ FIRST_WAVE = 1_000
 WAVE_DIGITS = 6
 #: Shares of fewer bits have one level: a four-thousandth of all rows.
 LEVEL_BITS = 12
+#: Characters of a key up to which it is kept as it is: those of a digest.
+KEY_CHARS = 64
 
 CALLS = (
     "kind string, call_key string, digest string, run string, wave int, turn int, place string, answer string, "
@@ -69,6 +72,16 @@ def levels_of_wave(wave: int, rows: int, first: int = FIRST_WAVE) -> tuple[int,
     return (low >> LEVEL_BITS).bit_length(), (high >> LEVEL_BITS).bit_length()
 
 
+def _short(key: Column) -> Column:
+    """A key, or the digest of one that is longer, so that no text is kept with each call."""
+    return F.when(F.length(key) > KEY_CHARS, F.sha2(key, 256)).otherwise(key)
+
+
+def _keyed(made: DataFrame) -> DataFrame:
+    """Calls with short keys; ledgers written earlier hold long ones as well."""
+    return made.withColumn("call_key", _short(F.col("call_key")))
+
+
 class CallLedger:
     """The calls of one run on a folder; several frames and kinds may use it one after the other.
 
@@ -114,8 +127,9 @@ class CallLedger:
         next run. Calls that fail otherwise are not repeated.
         """
         frame, self.frames = self.frames, self.frames + 1
-        place = hash_key(self.seed, *key)
-        named, rows = self._written(df, calls, place)
+        # Rows of equal keys are in one wave, so only calls made before this frame can have been theirs.
+        before = list(self.table.commits())
+        named, rows = self._written(df, calls, key)
         named = named.withColumn("__wave", wave_of(F.col("__place"), rows, self.first_wave))
         last = named.agg(F.max("__wave")).first()[0]
         for wave in range(0 if last is None else last + 1):
@@ -123,37 +137,48 @@ class CallLedger:
             for turn, call in enumerate(calls):
                 if self.stopped:
                     break
-                self._call_wave(named.where(own), call, frame, wave, turn, key)
-        return self._answered(named, calls, frame, key, df.columns)
+                self._call_wave(named.where(own), call, frame, wave, turn, before)
+        return self._answered(named, calls, frame, df.columns)
 
-    def _written(self, df: DataFrame, calls: list[Call], place: Column) -> tuple[DataFrame, int]:
-        """Rows, prompts and their digests, written once before anything is paid for, and how many rows these are.
+    def _written(self, df: DataFrame, calls: list[Call], key: tuple) -> tuple[DataFrame, int]:
+        """Rows and the digests of their keys and prompts, written once before anything is paid for, and how many rows these are.
 
-        They lie in folders by level, so that a wave reads its own rows and not those of all waves.
+        They lie in folders by level, so that a wave reads its own rows and not those of all waves. Prompts are made
+        again from these rows where they are used.
         """
-        prompts = df.withColumns({"__place": place, "__level": level_of(place)} | {f"__{c.kind}": c.prompt for c in calls})
-        named = prompts.withColumns({f"__{c.kind}_digest": F.sha2(f"__{c.kind}", 256) for c in calls})
+        place = hash_key(self.seed, *key)
+        own = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
+        digests = {"__key": _short(own)} | {f"__{c.kind}_digest": F.sha2(c.prompt, 256) for c in calls}
+        named = df.withColumns({"__place": place, "__level": level_of(place), "__row": F.monotonically_increasing_id()} | digests)
         path = shared_dir(self.spark, "asked")
         named.write.partitionBy("__level").parquet(path)
         written = self.spark.read.schema(named.schema).parquet(path)
         return written, written.count()
 
-    def _requests(self, named: DataFrame, call: Call, key: tuple) -> DataFrame:
-        prompt = F.col(f"__{call.kind}")
-        call_key = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
-        return named.where(prompt.isNotNull()).select(
-            call_key.alias("call_key"), F.col(f"__{call.kind}_digest").alias("digest"), "__place", prompt.alias("prompt"), *call.also
-        )
-
-    def _call_wave(self, named: DataFrame, call: Call, frame: int, wave: int, turn: int, key: tuple) -> None:
+    def _left_out(self, wanted: DataFrame, kind: str, before: list[str]) -> DataFrame:
+        """(__row) of the wanted (__row, call_key, digest) that share a call with an earlier row or were answered before."""
+        same = wanted.groupBy("call_key", "digest").agg(F.min("__row").alias("first"), F.count(F.lit(1)).alias("n"))
+        repeated = wanted.join(same.where("n > 1"), ["call_key", "digest"]).where("__row != first").select("__row")
+        if not before:
+            return repeated
+        done = _keyed(self.table.read(before).where("status != 'quota'")).where(F.col("kind") == kind)
+        known = wanted.join(done, ["call_key", "digest"], "left_semi").select("__row")
+        return repeated.unionByName(known)
+
+    def _call_wave(self, own: DataFrame, call: Call, frame: int, wave: int, turn: int, before: list[str]) -> None:
         token = f"{self.run}-{frame}-{wave}-{turn}"
         if token not in self.table.commits():
-            wanted = self._requests(named, call, key).dropDuplicates(["call_key", "digest"])
-            done = self.made().where(F.col("kind") == call.kind).select("call_key", "digest")
-            todo = wanted.join(done, ["call_key", "digest"], "left_anti")
-            answered = ask(
-                todo, call.model, parallelism=self.parallelism, stop_on_quota=True, order=F.col("__place")
+            digest = F.col(f"__{call.kind}_digest")
+            asked = own.where(digest.isNotNull())
+            wanted = asked.select("__row", F.col("__key").alias("call_key"), digest.alias("digest"))
+            # The texts stay where they are unless many rows are left out.
+            left_out = small_side(self._left_out(wanted, call.kind, before))
+            todo = asked.join(left_out, "__row", "left_anti").select(
+                F.col("__key").alias("call_key"), digest.alias("digest"), "__place", call.prompt.alias("prompt"), *call.also
             )
+            cores = self.spark.sparkContext.defaultParallelism
+            spread = self.parallelism or (cores if own.rdd.getNumPartitions() < cores else None)
+            answered = ask(todo, call.model, parallelism=spread, stop_on_quota=True, order=F.col("__place"))
             given = {"kind": call.kind, "run": self.run, "wave": wave, "turn": turn}
             self.table.append(
                 answered.withColumns({c: F.lit(v) for c, v in given.items()}).withColumn("place", F.col("__place")), token
@@ -166,18 +191,18 @@ class CallLedger:
         if not found.isEmpty():
             self.stops.append(found, f"{self.run}")
 
-    def _answered(self, named: DataFrame, calls: list[Call], frame: int, key: tuple, columns: list[str]) -> DataFrame:
+    def _answered(self, named: DataFrame, calls: list[Call], frame: int, columns: list[str]) -> DataFrame:
         stop = self._stop()
-        made = self.made()
-        call_key = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
-        # Prompts have been used; only their digests go through the joins.
-        out = named.drop(*[f"__{c.kind}" for c in calls]).withColumn("call_key", call_key)
+        made = _keyed(self.made())
+        out = named
         for turn, call in enumerate(calls):
+            digest = F.col(f"__{call.kind}_digest")
             own = made.where(F.col("kind") == call.kind).select(
-                "call_key", F.col("digest").alias("__digest"), F.col("answer").alias("__answer"), F.col("error").alias("__error"),
-                F.col("status").alias("__status"),
+                "call_key", "digest", F.col("answer").alias("__answer"), F.col("error").alias("__error"), F.col("status").alias("__status")
             )
-            out = out.withColumnRenamed(f"__{call.kind}_digest", "__digest").join(own, ["call_key", "__digest"], "left")
+            # Answers find their rows by digests alone; all kinds meet the texts by one column, in one shuffle.
+            asked = named.where(digest.isNotNull()).select("__row", F.col("__key").alias("call_key"), digest.alias("digest"))
+            out = out.join(asked.join(own, ["call_key", "digest"]).drop("call_key", "digest"), "__row", "left")
             before = F.lit(True)
             if stop:
                 here = F.struct(F.lit(frame), F.col("__wave"), F.lit(turn), F.col("__place"))
@@ -186,8 +211,8 @@ class CallLedger:
             out = out.withColumns({
                 f"{call.kind}_answer": F.when(kept, F.col("__answer")),
                 f"{call.kind}_error": F.when(kept, F.col("__error")),
-                f"{call.kind}_status": F.when(F.col("__digest").isNotNull(), F.when(kept, F.col("__status")).otherwise("quota")),
-            }).drop("__digest", "__answer", "__error", "__status")
+                f"{call.kind}_status": F.when(digest.isNotNull(), F.when(kept, F.col("__status")).otherwise("quota")),
+            }).drop("__answer", "__error", "__status")
         added = [f"{c.kind}_{part}" for c in calls for part in ("answer", "error", "status")]
         return out.select(*columns, *added)
 
